@@ -121,7 +121,9 @@ def inside(first: np.ndarray, n: int) -> np.ndarray:
 
 
 def sums(x: np.ndarray, ofs: np.ndarray) -> np.ndarray:
-    """Sums of ``x`` between neighbouring offsets."""
+    """Sums of ``x`` between neighbouring offsets; of booleans, how many are true."""
+    if x.dtype == bool:
+        return np.diff(np.searchsorted(np.flatnonzero(x), ofs))
     total = np.zeros(len(x) + 1, np.int64)
     np.cumsum(x, out=total[1:])
     return np.diff(total[ofs])
