@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.store import new_path, tasks
+from strataform.llm.store import new_path
 
 #: Payload bytes of an archive file, of a record before it is segmented, and of a chunk of the framing.
 FILE_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 16 << 20, 32 << 10, 4 << 10
@@ -108,14 +107,14 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, segment_bytes: in
     """Write ``pages`` (page_id, url, html) as archives below ``folder``."""
     spark = pages.sparkSession
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    ids = src.select("page_id", "sha1", F.octet_length("payload").alias("n"))
-    total = ids.agg(F.sum("n")).first()[0] or 0
-    # The payload's response by digest, then by page: payloads move once, by a key that is never hot.
+    src = src.withColumn("k", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    ids = src.select("page_id", "k", "sha1", F.octet_length("payload").alias("n"))
+    mean = (ids.agg(F.avg("n")).first()[0] or 0) + 1024
+    # The payload's response by digest, then by page: payloads move once, by a key that is never hot, and stay
+    # where the join put them.
     last = ids.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1 AND last IS NOT NULL").select("sha1", "last")
-    revisits = ids.select("page_id", "sha1").distinct().join(last, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "last")
-    files = max(tasks(spark), math.ceil(total / FILE_BYTES))
-    placed = src.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left").drop("p", "s")
-    placed = placed.repartition(files, "page_id", "sha1").withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")) - 1)
+    revisits = ids.select("page_id", "k", "sha1").distinct().join(last, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("last"))).select("k", "sha1", "last")
+    placed = src.join(revisits, ["k", "sha1"], "left").withColumn("copy", F.row_number().over(Window.partitionBy("k", "sha1").orderBy("url")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,7 +126,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, segment_bytes: in
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = placed.select("page_id", "url", "payload", "sha1", "last", "copy").mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00").text(folder)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", max(1, int(FILE_BYTES / mean))).text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
