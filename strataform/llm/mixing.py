@@ -43,6 +43,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(source, source_size, target) from (source, source_size), by rounds of clamping.
 
@@ -84,15 +88,16 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), rows_per_slice: int = 20_00
     """``docs`` with size, source_size, target and taken; without ``wide``, of the columns of ``docs`` only doc_id and source."""
     src = docs.select([c for c in docs.columns if c not in COLUMNS])
     sized = src.withColumn("size", word_count(F.col("text")))
-    light = materialize(docs.select("doc_id", "source", F.xxhash64("text").alias("_text"), word_count(F.col("text")).alias("size")), "sizes")
+    light = materialize(docs.select("doc_id", "source", _digest().alias("_text"), word_count(F.col("text")).alias("size")), "sizes")
     by_source = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     found = materialize(by_source, "by-source")
     shared = targets(found.select("source", "source_size"), mix)
     most = found.agg(F.max("n")).first()[0] or 1
-    bits = max(4, (most // rows_per_slice).bit_length())
+    bits = max(8, (most // rows_per_slice).bit_length())
     # Order within a source: a seeded hash, whose range is cut into slices.
-    spot = F.xxhash64(F.lit(mix.seed), F.col("doc_id"), F.col("_text"))
-    placed = light.withColumn("_spot", spot).withColumn("_slice", F.shiftrightunsigned("_spot", 64 - bits))
+    key = F.concat_ws("|", F.lit(str(mix.seed)), F.col("doc_id").cast("string"), "_text").cast("binary")
+    spot = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")  # 60 bits, in every engine the same
+    placed = light.withColumn("_spot", spot).withColumn("_slice", F.shiftrightunsigned("_spot", 60 - bits))
     sums = placed.groupBy("source", "_slice").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     sums = sums.select("source", "_slice", upto.alias("_before"))
@@ -109,10 +114,29 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), rows_per_slice: int = 20_00
     # Other columns come back by id, text and number among equal rows.
     twin = F.row_number().over(Window.partitionBy("doc_id", "_text", "source").orderBy("size"))
     few = taken.withColumn("_twin", twin).select(F.col("doc_id").alias("i"), F.col("_text").alias("t"), F.col("source").alias("s"), F.col("_twin").alias("w"), "source_size", "target", "taken")
-    full = sized.withColumn("_text", F.xxhash64("text")).withColumn("_twin", twin)
+    full = sized.withColumn("_text", _digest()).withColumn("_twin", twin)
     return full.join(few, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_text") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("_twin") == F.col("w"))).select(*src.columns, *COLUMNS)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix_documents(docs, wide=False).select("doc_id", *COLUMNS)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS t, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 2.0 * n AS cap FROM s),
+l AS (SELECT *, cap / w AS level FROM w),
+k AS (SELECT 0.0 AS lo, (SELECT 1.5 * sum(n) / sum(w) FROM w) AS lam, (SELECT min(level) FROM l) AS hi
+      UNION ALL
+      SELECT level, (1.5 * sum(n) OVER () - sum(cap) OVER o) / nullif(sum(w) OVER () - sum(w) OVER o, 0), lead(level) OVER (ORDER BY level, i)
+      FROM l WINDOW o AS (ORDER BY level, i)),
+lam AS (SELECT min(lam) AS lam FROM k WHERE lam <= hi AND lam >= lo),
+g AS (SELECT source, n, least(cap, w * lam) AS target FROM l, lam),
+r AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM g),
+q AS (SELECT *, CAST(round(target - whole * n) AS BIGINT) AS rest FROM r),
+o AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(md5('7|' || doc_id || '|' || t), 1, 15) AS BIGINT), doc_id, t ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
+SELECT doc_id, size, n AS source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
+"""

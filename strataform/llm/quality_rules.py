@@ -104,3 +104,33 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document, then the shares."""
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.drop("text")
+
+
+def _oracle(rules: Rules = Rules()) -> str:
+    """The same measures in DuckDB's SQL."""
+    ctes, shares = [], []
+    for k in rules.lengths:
+        ctes.append(
+            f"g{k} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, array_to_string(w[i : i + {k - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM w WHERE len(w) >= {k}))),"
+            f" c{k} AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, {k})) AS j FROM g{k} WHERE c > 1)),"
+            f" s{k} AS (SELECT doc_id, count(*) AS n, sum(length(x)) AS chars FROM c{k} JOIN p USING (doc_id, i) GROUP BY doc_id)"
+        )
+        shares.append(f"coalesce(s{k}.chars, 0) / greatest(word_chars, 1)::DOUBLE AS dup_{k}gram_share")
+    joins = " ".join(f"LEFT JOIN s{k} USING (doc_id)" for k in rules.lengths)
+    bad = " OR ".join([f"dup_line_share > {rules.line_limit}", *(f"dup_{k}gram_share > {m}" for k, m in zip(rules.lengths, rules.limits, strict=True))])
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+{", ".join(ctes)},
+l AS (SELECT doc_id, l, length(regexp_replace(l, '{blank}', '', 'g')) AS chars, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) GROUP BY ALL),
+dup AS (SELECT doc_id, sum(c - 1) AS n, sum((c - 1) * chars) AS chars FROM l WHERE chars > 0 GROUP BY doc_id),
+b AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{blank}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+m AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(s{rules.lengths[0]}.n, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(dup.chars, 0) / greatest(word_chars, 1)::DOUBLE AS dup_line_share, {", ".join(shares)} FROM b LEFT JOIN dup USING (doc_id) {joins}),
+f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT ({bad}) AS kept FROM f
+"""
+
+
+ORACLE_SQL = _oracle()
