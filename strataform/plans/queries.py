@@ -577,3 +577,30 @@ def t3_tokens_bpe(spark, sf):
 
     rows = chunks(spark, sf).select("label", F.explode(token_ids("text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)).alias("id"))
     return rows.groupBy("label", "id").agg(F.count("*").alias("cnt"))
+
+
+@query
+def x3_standalone(spark, sf):
+    from strataform.plans.analyses import standalone
+
+    rows = indexed(spark, sf)
+    return rounded(standalone(rows, semantic.embed(rows)), "lzma_ratio", "total_variance", "top1_share", "top5_share")
+
+
+@query
+def x3_pair_metrics(spark, sf):
+    """All six metrics of broad and targeted corpora's ordered pairs, over the stand-in encoder's vectors."""
+    from strataform.plans.analyses import pair_metrics, standalone
+
+    p, rows = studied(panel(spark, sf)), indexed(spark, sf)
+    vecs = semantic.embed(rows).selectExpr("label", "chunk_index AS vec_id", "embedding").join(p.select("label"), "label")
+    out = pair_metrics(p, rows, vecs, standalone(rows, vecs))
+    return rounded(out, *(c for c in out.columns if dict(out.dtypes)[c] == "double"))
+
+
+@query
+def x12_continuous(spark, sf):
+    from strataform.plans.analyses import continuous
+
+    out = continuous(vector_panel(spark, sf), vectors(spark, sf), _fixed(spark, sf), 64)
+    return rounded(out, *(c for c in out.columns if dict(out.dtypes)[c] == "double"))
