@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataform.llm.store import delete, materialize, range_bucket, tasks
+from strataform.llm.store import discard, materialize, range_bucket, tasks
 
 STRETCH = 256
 #: Cells of each table of a fingerprint, and rounds of peeling.
@@ -119,7 +119,7 @@ def _as_rows(pairs: DataFrame) -> DataFrame:
             cells = add(moved)
         cells = materialize(cells.filter("cell < 0 OR n <> 0 OR k <> 0 OR h <> 0"), "cells")
         r = cells.agg(F.sum(F.when(F.col("cell") < 0, F.col("n"))).alias("found"), F.count_if(F.col("cell") >= 0).alias("open")).first()
-        delete(last.sparkSession, last.inputFiles()[0].rsplit("/", 1)[0]) if last.inputFiles() else None
+        discard(last)
         if not r.open or r.found == before:
             break
         before = r.found

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.store import materialize
+from strataform.llm.store import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,8 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(clean, "edges")
     state = _state(now)
     while state[0]:
-        now = materialize(_star(_star(now, True), False), "stars")
+        last, now = now, materialize(_star(_star(now, True), False), "stars")
         before, state = state, _state(now)
+        discard(last)
         if state == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -24,6 +24,7 @@ gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strataform.llm import words as W
 from strataform.llm.graph import components
-from strataform.llm.store import materialize, steps, text_buffers
+from strataform.llm.store import discard, materialize, steps, text_buffers
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that may be put last for being common; counters of a task's pass over them, and how many documents
@@ -41,6 +42,8 @@ SHINGLE, PERCENT = 5, 80
 COMMON, COUNTERS, MET = 200_000, 1 << 23, 6
 #: A group's number holds its size in the low bits.
 SIZE_BITS = 20
+#: Bits of the filter over ids of documents with candidates.
+SPOTS = 1 << 25
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -179,10 +182,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     shared = materialize(tokens.withColumn("cnt", F.count("*").over(by_token)).filter("cnt > 1"), "shared")
     weight = shared.groupBy("grp").agg(F.sum("cnt").alias("w"))
 
-    # Round 1: groups with the weightiest of their bucket and with their neighbour; within groups likewise.
+    # Round 1: each group with the weightiest group, and with the neighbour, that it meets in most buckets.
     order = by_token.orderBy(F.desc("w"), "grp")
-    met = shared.join(weight, "grp").withColumn("top", F.first("grp").over(order)).withColumn("near", F.lag("grp").over(order))
-    pairs = met.filter("near IS NOT NULL").select("grp", F.explode(F.array_distinct(F.array("top", "near"))).alias("other")).filter(_near_size("grp", "other")).distinct()
+    met = shared.join(weight, "grp").withColumn("top", F.first("grp").over(order)).withColumn("near", F.lag("grp").over(order)).filter("near IS NOT NULL")
+    pairs = None
+    for kind in ("top", "near"):
+        often = met.select("grp", F.col(kind).alias("other")).filter(_near_size("grp", "other")).groupBy("grp", "other").agg(F.count("*").alias("k"))
+        best = often.groupBy("grp").agg(F.max(F.struct("k", "other")).alias("m")).select("grp", F.col("m.other").alias("other"))
+        pairs = best if pairs is None else pairs.unionByName(best).distinct()
     of_group = classes.groupBy("grp").agg(F.min("cls").alias("cls"))
     across = pairs.join(of_group.withColumnRenamed("cls", "a"), "grp").join(of_group.select(F.col("grp").alias("other"), F.col("cls").alias("b")), "other").select("a", "b")
     inner = Window.partitionBy("grp").orderBy("cls")
@@ -191,7 +198,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     tried = materialize(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
 
     # The texts of classes that have candidates at all.
-    wanted = weight.select("grp").unionByName(same.select("grp")).distinct().join(classes, "grp").select("cls", F.col("doc_id").alias("id"))
+    wanted = materialize(weight.select("grp").unionByName(same.select("grp")).distinct().join(classes, "grp").select("cls", F.col("doc_id").alias("id")), "wanted")
     texts = materialize(_texts(docs, wanted), "texts")
     links = materialize(_verified(tried, texts), "links")
     label = materialize(components(links), "components")
@@ -208,6 +215,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         label = materialize(components(links.unionByName(more)), "components")
 
+    discard(shared, wanted, tried, texts, links, rest, more)
     least = classes.join(label, classes.cls == label.node, "left").select("cls", F.coalesce("component", "cls").alias("comp"), "doc_id")
     ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = least.join(ids, "comp").select("cls", "component_id")
@@ -228,18 +236,38 @@ def _reachable(a: str, b: str, s: str):
     return (F.col(s) + behind >= need) | (F.col(a) == F.col(b)) | (F.greatest(x, y) == top)
 
 
+def _spot(key: str) -> int:
+    return zlib.crc32(key.encode()) % SPOTS
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of the wanted classes (cls, id); of rows that share an id, those of the class are taken."""
-    met = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id)).select("cls", "text")
+    """(cls, text) of the wanted classes (cls, id).
+
+    A bitmap of fixed size over hashes of the wanted ids keeps most other texts from being shuffled; the join by
+    class is what decides. A task passes on one text of a class.
+    """
+    at = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % SPOTS + 1).alias("at")  # bitmaps count from 1
+    rows = wanted.select(at).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    size = 32768 // 8
+    bits = np.zeros(SPOTS // 8, np.uint8)
+    for r in rows:
+        bits[(r.k - 1) * size : r.k * size] = np.frombuffer(r.bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = shared.value, set()
         for b in steps(batches):
-            keys = b.column(0).to_pylist()
-            good = [i for i, s in enumerate(shingle_sets(b.column(1))) if len(s) and class_of(s) == keys[i]]
-            yield b.take(pa.array(good, pa.int64()))
-
-    # An id mostly has one row, and its class one text; repeated rows of an id leave one.
-    return met.mapInArrow(run, "cls binary, text string").groupBy("cls").agg(F.min("text").alias("text"))
+            at = np.array([_spot("" if i is None else str(i)) for i in b.column(0).to_pylist()], np.int64)
+            some = b.take(pa.array(np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)))
+            keys, good = [], []
+            for i, s in enumerate(shingle_sets(some.column(1)) if some.num_rows else []):
+                if len(s) and (key := class_of(s)) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), some.column(1).take(pa.array(good, pa.int64()))], names=["cls", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "cls binary, text string").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
