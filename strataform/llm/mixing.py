@@ -86,7 +86,7 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), rows_per_slice: int = 20_000, wide: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target and taken; without ``wide``, of the columns of ``docs`` only doc_id and source."""
-    src = docs.select([c for c in docs.columns if c not in COLUMNS])
+    src = docs.select([c for c in docs.columns if c not in {*COLUMNS, "_text", "_twin"}])
     sized = src.withColumn("size", word_count(F.col("text")))
     light = materialize(docs.select("doc_id", "source", _digest().alias("_text"), word_count(F.col("text")).alias("size")), "sizes")
     by_source = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -113,9 +113,11 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), rows_per_slice: int = 20_00
         return taken.select("doc_id", "source", *COLUMNS)
     # Other columns come back by id, text and number among equal rows.
     twin = F.row_number().over(Window.partitionBy("doc_id", "_text", "source").orderBy("size"))
-    few = taken.withColumn("_twin", twin).select(F.col("doc_id").alias("i"), F.col("_text").alias("t"), F.col("source").alias("s"), F.col("_twin").alias("w"), "source_size", "target", "taken")
+    key = {"_mix_id": "doc_id", "_mix_text": "_text", "_mix_source": "source"}
+    few = taken.withColumn("_mix_twin", twin).select(*(F.col(c).alias(k) for k, c in key.items()), "_mix_twin", *COLUMNS[1:])
     full = sized.withColumn("_text", _digest()).withColumn("_twin", twin)
-    return full.join(few, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_text") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("_twin") == F.col("w"))).select(*src.columns, *COLUMNS)
+    met = full.join(few, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_text") == F.col("_mix_text")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_twin") == F.col("_mix_twin")))
+    return met.select(*src.columns, *COLUMNS)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

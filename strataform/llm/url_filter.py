@@ -65,7 +65,7 @@ def judged(rows: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
         for r in sorted(rules, key=lambda r: (len(r.text), r.verdict == "allow")):  # the last to fit wins
             fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
             best, verdict = F.when(fits, F.lit(r.text)).otherwise(best), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-        return rows.withColumn("rule", best).withColumn("ruled", verdict)
+        return rows.withColumn("rule", best).withColumn("_ruled", verdict)
     table = rules if isinstance(rules, DataFrame) else rows.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
     table = table.select(F.col("host").alias("domain"), F.col("path").alias("start"), F.col("verdict").alias("says"))
     # Distinct hosts and paths are judged, and meet the rules by each of their parent domains.
@@ -73,8 +73,8 @@ def judged(rows: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
     parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
     met = places.withColumn("domain", F.explode(parents)).join(table, "domain").filter(F.col("path").startswith(F.col("start")))
     text = F.concat("domain", "start")
-    top = met.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), (F.col("says") == "allow").alias("allow"), text.alias("rule"), F.col("says").alias("ruled"))).alias("top"))
-    return rows.join(top.select("host", "path", "top.rule", "top.ruled"), ["host", "path"], "left")
+    top = met.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), (F.col("says") == "allow").alias("allow"), text.alias("rule"), F.col("says").alias("_ruled"))).alias("top"))
+    return rows.join(top.select("host", "path", "top.rule", "top._ruled"), ["host", "path"], "left")
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``redirects``: (from_url, to_url)."""
-    src = pages.select([c for c in pages.columns if c not in {"host", "path", "rule", "verdict"}])
+    src = pages.select([c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "_ruled", "_key", "_node", "_alias"}])
     ruled = judged(src.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))), rules)
     edges = link_edges(pages)
     if redirects is not None:
@@ -107,10 +107,10 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, re
     # A node is judged by its own host and path, whether or not it is a page.
     scheme = F.concat(F.lit("http://"), "node")
     nodes = judged(alias.withColumn("host", host_of(scheme)).withColumn("path", path_of(scheme)), rules)
-    said = nodes.groupBy("component").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    said = nodes.groupBy("component").agg(F.count_if(F.col("_ruled") == "allow").alias("allowed"), F.count_if(F.col("_ruled") == "block").alias("blocked"))
     blocked = alias.join(said.filter("allowed = 0 AND blocked > 0").select("component"), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
-    out = ruled.withColumn("_key", F.when(F.col("ruled").isNull(), key_of(F.col("url")))).join(blocked, F.col("_key") == F.col("_node"), "left")
-    return out.withColumn("verdict", F.coalesce("ruled", "_alias", F.lit("allow"))).select(*src.columns, "host", "path", "rule", "verdict")
+    out = ruled.withColumn("_key", F.when(F.col("_ruled").isNull(), key_of(F.col("url")))).join(blocked, F.col("_key") == F.col("_node"), "left")
+    return out.withColumn("verdict", F.coalesce("_ruled", "_alias", F.lit("allow"))).select(*src.columns, "host", "path", "rule", "verdict")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

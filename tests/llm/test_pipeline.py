@@ -47,3 +47,24 @@ def test_stages_equal_brute_force(spark):
         ids = codec.small(rows[i].text)
         want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(rows[i].text.encode()).hexdigest()] += n
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in P.run(spark, SF).collect()) == want
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in any column, blank and long texts, repeated rows, clashing and extra columns: every stage passes them on whole."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.helpers import frame, tricky
+
+    spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, tricky() + tricky()[:12] + [(None, "no id"), (None, None), (70, "word " * 30000)])
+    docs = docs.withColumn("n_chars", F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")))
+    odd = docs.select("*", *(F.lit("x").alias(c) for c in ("score", "predicted", "kept", "size", "taken", "target", "id", "i", "t", "s", "w", "n_words", "component_id", "n_tokens", "ids")))
+    for _, stage in P.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        rows = out.collect()
+        assert stage is P.STAGES[-1][1] or out.columns == P.COLUMNS
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    once = P.keep_one_of_each(spark, odd, str(tmp_path)).collect()
+    assert len(once) == len({r.doc_id for r in once}) and {0, 1, 2, 3} <= {r.doc_id for r in once}
+    assert len(P.encode(spark, odd, str(tmp_path)).collect()) == docs.count()
