@@ -9,8 +9,8 @@ whole sets.
 Classes that verified links already connect need no further pairs: the first round compares each bucket's
 groups with the one that shares most shingles with others and with their neighbours in that order, so that a
 family of near copies is joined by about as many pairs as it has members. The second round takes every pair
-left in a bucket whose classes lie in different components, drops those whose common prefix shingles can't
-reach the threshold, and verifies the rest. Components are found by distributed star steps.
+left in a bucket whose classes lie in different components, drops those that can't reach the threshold by the
+places at which their shingle stands (all shingles before the first shared one are lost), and verifies the rest. Components are found by distributed star steps.
 
 The order of shingles only decides how many candidates there are, never which links are found. It puts those
 last that workers met in many documents (``COMMON`` of them at most).
@@ -112,7 +112,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], tokens: bool) -> DataFrame:
-    """(doc_id, n, cls, grp) of every document, or (token, grp) of every prefix shingle."""
+    """(doc_id, n, cls, grp) of every document, or (token, grp, spot) of every prefix shingle; spot: its place."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common)
 
@@ -142,11 +142,12 @@ def _sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], tokens: bool)
             if tokens:
                 flat = np.concatenate(heads) if heads else np.zeros(0, W.U)
                 of = np.repeat(np.array([g for g in groups if g is not None], np.int64), [len(x) for x in heads])
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(of)], names=["token", "grp"])
+                spot = np.concatenate([np.arange(len(x), dtype=np.int32) for x in heads]) if heads else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(of), pa.array(spot)], names=["token", "grp", "spot"])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array(groups, pa.int64())], names=["doc_id", "n", "cls", "grp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, grp long" if tokens else "doc_id long, n long, cls binary, grp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, grp long, spot int" if tokens else "doc_id long, n long, cls binary, grp long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     # Shingles that prefixes of two groups hold, with how many.
     by_token = Window.partitionBy("token")
-    tokens = _sets(docs, common, True).repartition("token").dropDuplicates(["token", "grp"])
+    tokens = _sets(docs, common, True).repartition("token").dropDuplicates(["token", "grp", "spot"])
     shared = materialize(tokens.withColumn("cnt", F.count("*").over(by_token)).filter("cnt > 1"), "shared")
     weight = shared.groupBy("grp").agg(F.sum("cnt").alias("w"))
 
@@ -205,12 +206,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     # Round 2: what is left between components.
     named = classes.join(label, classes.cls == label.node, "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"))
-    buckets = shared.select("token", "grp").join(named, "grp").unionByName(named.join(same.select("grp").distinct(), "grp").select(F.col("grp").alias("token"), "grp", "cls", "comp"))
+    buckets = shared.select("token", "grp", "spot").join(named, "grp").unionByName(named.join(same.select("grp").distinct(), "grp").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("spot"), "cls", "comp"))
     mixed = buckets.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     rest = materialize(buckets.join(mixed, "token"), "rest")
-    left, right = rest.select("token", F.col("grp").alias("ga"), F.col("cls").alias("a"), F.col("comp").alias("ca")), rest.select("token", F.col("grp").alias("gb"), F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    met = left.join(right, (left.token == right.token) & (F.col("ca") < F.col("cb")) & _near_size("ga", "gb")).groupBy("a", "b", "ga", "gb").agg(F.count("*").alias("s"))
-    pending = met.filter(_reachable("ga", "gb", "s")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    side = lambda x: rest.select("token", F.col("grp").alias(f"g{x}"), F.col("spot").alias(f"s{x}"), F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
+    met = side("a").join(side("b"), "token").filter((F.col("ca") < F.col("cb")) & _near_size("ga", "gb") & _reachable("ga", "gb", "sa", "sb"))
+    pending = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_verified(pending, texts), "links")
     if more.limit(1).count():
         label = materialize(components(links.unionByName(more)), "components")
@@ -223,17 +224,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return light.filter("n > 0").join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
-def _reachable(a: str, b: str, s: str):
-    """Whether ``s`` common prefix shingles, and all behind the prefixes, can reach the threshold.
+def _reachable(a: str, b: str, sa: str, sb: str):
+    """Whether sets of the groups' sizes can reach the threshold if the shingle at these places is the first they share.
 
-    Behind the prefix that ends earlier in the common order lie at most as many shingles as that set has there,
-    so the larger of both counts bounds the overlap. Groups themselves as buckets count every prefix shingle.
+    Shingles before the first shared one aren't in the other set: they come before a shingle of its prefix, so they
+    would stand in that prefix and be shared. A pair that reaches the threshold passes where its first one meets.
     """
     top = (1 << SIZE_BITS) - 1
     x, y = F.col(a).bitwiseAND(top), F.col(b).bitwiseAND(top)
-    behind = F.greatest(*(F.ceil(v * PERCENT / 100) - 1 for v in (x, y)))
     need = F.ceil((x + y) * PERCENT / (100 + PERCENT) - 1e-6)
-    return (F.col(s) + behind >= need) | (F.col(a) == F.col(b)) | (F.greatest(x, y) == top)
+    return ((x - F.col(sa) >= need) & (y - F.col(sb) >= need)) | (F.greatest(x, y) == top)
 
 
 def _spot(key: str) -> int:
