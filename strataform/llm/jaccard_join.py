@@ -10,7 +10,7 @@ Classes that verified links already connect need no further pairs: the first rou
 groups with the one that shares most shingles with others and with their neighbours in that order, so that a
 family of near copies is joined by about as many pairs as it has members. The second round takes every pair
 left in a bucket whose classes lie in different components, drops those that can't reach the threshold by the
-places at which their shingle stands (all shingles before the first shared one are lost), and verifies the rest. Components are found by distributed star steps.
+places and the number of their common prefix shingles, and verifies the rest. Components are found by distributed star steps.
 
 The order of shingles only decides how many candidates there are, never which links are found. It puts those
 last that workers met in many documents (``COMMON`` of them at most).
@@ -180,12 +180,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # Shingles that prefixes of two groups hold, with how many.
     by_token = Window.partitionBy("token")
     tokens = _sets(docs, common, True).repartition("token").dropDuplicates(["token", "grp", "spot"])
-    shared = materialize(tokens.withColumn("cnt", F.count("*").over(by_token)).filter("cnt > 1"), "shared")
-    weight = shared.groupBy("grp").agg(F.sum("cnt").alias("w"))
+    met = tokens.withColumn("cnt", F.count("*").over(by_token)).filter("cnt > 1")
+    # A group's weight, and how many shared shingles stand before each of its.
+    by_group = Window.partitionBy("grp")
+    shared = materialize(met.withColumn("w", F.sum("cnt").over(by_group)).withColumn("before", F.row_number().over(by_group.orderBy("spot")) - 1).drop("cnt"), "shared")
 
     # Round 1: each group with the weightiest group, and with the neighbour, that it meets in most buckets.
     order = by_token.orderBy(F.desc("w"), "grp")
-    met = shared.join(weight, "grp").withColumn("top", F.first("grp").over(order)).withColumn("near", F.lag("grp").over(order)).filter("near IS NOT NULL")
+    met = shared.withColumn("top", F.first("grp").over(order)).withColumn("near", F.lag("grp").over(order)).filter("near IS NOT NULL")
     pairs = None
     for kind in ("top", "near"):
         often = met.select("grp", F.col(kind).alias("other")).filter(_near_size("grp", "other")).groupBy("grp", "other").agg(F.count("*").alias("k"))
@@ -199,19 +201,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     tried = materialize(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
 
     # The texts of classes that have candidates at all.
-    wanted = materialize(weight.select("grp").unionByName(same.select("grp")).distinct().join(classes, "grp").select("cls", F.col("doc_id").alias("id")), "wanted")
+    wanted = materialize(shared.select("grp").unionByName(same.select("grp")).distinct().join(classes, "grp").select("cls", F.col("doc_id").alias("id")), "wanted")
     texts = materialize(_texts(docs, wanted), "texts")
     links = materialize(_verified(tried, texts), "links")
     label = materialize(components(links), "components")
 
     # Round 2: what is left between components.
     named = classes.join(label, classes.cls == label.node, "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"))
-    buckets = shared.select("token", "grp", "spot").join(named, "grp").unionByName(named.join(same.select("grp").distinct(), "grp").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("spot"), "cls", "comp"))
+    buckets = shared.select("token", "grp", "spot", "before").join(named, "grp").unionByName(named.join(same.select("grp").distinct(), "grp").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("spot"), F.lit(0).alias("before"), "cls", "comp"))
     mixed = buckets.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     rest = materialize(buckets.join(mixed, "token"), "rest")
-    side = lambda x: rest.select("token", F.col("grp").alias(f"g{x}"), F.col("spot").alias(f"s{x}"), F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
-    met = side("a").join(side("b"), "token").filter((F.col("ca") < F.col("cb")) & _near_size("ga", "gb") & _reachable("ga", "gb", "sa", "sb"))
-    pending = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    side = lambda x: rest.select("token", F.col("grp").alias(f"g{x}"), F.col("spot").alias(f"s{x}"), F.col("before").alias(f"b{x}"), F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
+    met = side("a").join(side("b"), "token").filter((F.col("ca") < F.col("cb")) & _near_size("ga", "gb") & _reachable("ga", "gb"))
+    often = met.groupBy("a", "b", "ga", "gb").agg(F.count("*").alias("k")).filter(_often("ga", "gb", "k"))
+    pending = often.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_verified(pending, texts), "links")
     if more.limit(1).count():
         label = materialize(components(links.unionByName(more)), "components")
@@ -224,16 +227,31 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return light.filter("n > 0").join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
-def _reachable(a: str, b: str, sa: str, sb: str):
-    """Whether sets of the groups' sizes can reach the threshold if the shingle at these places is the first they share.
+TOP = (1 << SIZE_BITS) - 1
 
-    Shingles before the first shared one aren't in the other set: they come before a shingle of its prefix, so they
-    would stand in that prefix and be shared. A pair that reaches the threshold passes where its first one meets.
+
+def _sizes(a: str, b: str):
+    """Both sizes, the overlap that they need, and whether one is too large for a group's number."""
+    x, y = F.col(a).bitwiseAND(TOP), F.col(b).bitwiseAND(TOP)
+    return x, y, F.ceil((x + y) * PERCENT / (100 + PERCENT) - 1e-6), F.greatest(x, y) == TOP
+
+
+def _reachable(a: str, b: str):
+    """Whether two sets can reach the threshold, seen from one shingle that both prefixes hold.
+
+    Before it they share at most the fewer of the shingles there that other prefixes hold too, behind it at most
+    the fewer there are. This holds at every common shingle, so of a pair that links all rows pass.
     """
-    top = (1 << SIZE_BITS) - 1
-    x, y = F.col(a).bitwiseAND(top), F.col(b).bitwiseAND(top)
-    need = F.ceil((x + y) * PERCENT / (100 + PERCENT) - 1e-6)
-    return ((x - F.col(sa) >= need) & (y - F.col(sb) >= need)) | (F.greatest(x, y) == top)
+    x, y, need, large = _sizes(a, b)
+    return (F.least("ba", "bb") + F.least(x - F.col("sa"), y - F.col("sb")) >= need) | large
+
+
+def _often(a: str, b: str, k: str):
+    """Whether ``k`` common prefix shingles, and all behind the prefixes, can reach the threshold. Behind the prefix
+    that ends earlier lie as many shingles as that set has there; groups themselves as buckets count as all."""
+    x, y, need, large = _sizes(a, b)
+    behind = F.greatest(*(F.ceil(v * PERCENT / 100) - 1 for v in (x, y)))
+    return (F.col(k) + behind >= need) | (F.col(a) == F.col(b)) | large
 
 
 def _spot(key: str) -> int:
