@@ -6,11 +6,11 @@ share a shingle among the first few of each (their prefixes). Classes of the sam
 group; groups that share a prefix shingle are candidates; their members are expanded and verified by the
 whole sets.
 
-Classes that verified links already connect need no further pairs: the first round compares each bucket's
-groups with the one that shares most shingles with others and with their neighbours in that order, so that a
-family of near copies is joined by about as many pairs as it has members. The second round takes every pair
-left in a bucket whose classes lie in different components, drops those that can't reach the threshold by the
-places and the number of their common prefix shingles, and verifies the rest. Components are found by distributed star steps.
+Every pair of classes that the bounds let through is verified, once, whether or not other links connect it
+already: groups that share a prefix shingle are dropped if they can't reach the threshold by the places and the
+number of their common prefix shingles, the rest is expanded to classes. ``jaccard_join`` gives the links between
+classes and which documents a class has; counts of links and components follow from these. Texts meet in cells of
+about ``CELL`` by ``CELL`` classes, so that a family's texts travel once a cell and not once a pair.
 
 The order of shingles only decides how many candidates there are, never which links are found. It puts those
 last that workers met in many documents (``COMMON`` of them at most).
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.llm import words as W
@@ -44,6 +44,8 @@ COMMON, COUNTERS, MET = 200_000, 1 << 23, 6
 SIZE_BITS = 20
 #: Bits of the filter over ids of documents with candidates.
 SPOTS = 1 << 25
+#: Classes of a block; a task holds the sets of two blocks while it verifies their pairs.
+CELL = 64
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -65,6 +67,11 @@ def class_of(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def mark_of(text: str) -> Column:
+    """The digest that stands for a text (null for a null one)."""
+    return F.unhex(F.md5(text))
+
+
 def prefix_size(n: int) -> int:
     """How many of ``n`` ordered shingles must hold one that a similar set's prefix has."""
     return n - (PERCENT * n + 99) // 100 + 1
@@ -112,7 +119,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], tokens: bool) -> DataFrame:
-    """(doc_id, n, cls, grp) of every document, or (token, grp, spot) of every prefix shingle; spot: its place."""
+    """(doc_id, mark, n, cls, grp) of every document, or (token, grp, spot) of every prefix shingle; spot: its place."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(common)
 
@@ -145,22 +152,43 @@ def _sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], tokens: bool)
                 spot = np.concatenate([np.arange(len(x), dtype=np.int32) for x in heads]) if heads else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(of), pa.array(spot)], names=["token", "grp", "spot"])
             else:
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array(groups, pa.int64())], names=["doc_id", "n", "cls", "grp"])
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("mark")), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array(groups, pa.int64())], names=["doc_id", "mark", "n", "cls", "grp"])
+
+    if tokens:
+        return docs.select("text").mapInArrow(run, "token long, grp long, spot int")
+    return docs.select("doc_id", mark_of("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark binary, n long, cls binary, grp long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, grp long, spot int" if tokens else "doc_id long, n long, cls binary, grp long")
+def _cells(pairs: DataFrame) -> DataFrame:
+    """The pairs (t, a, b) as (cell, a, b): the classes that meet under one ``t`` are dealt to blocks, two blocks are a cell."""
+    met = pairs.select("t", F.explode(F.array("a", "b")).alias("cls")).distinct().groupBy("t").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    x, y = block("a"), block("b")
+    return pairs.join(met, "t").select(F.xxhash64("t", F.least(x, y), F.greatest(x, y)).alias("cell"), "a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
-    wide = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (cell, a, b) of classes whose sets are similar."""
+    need = pairs.select("cell", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
+    rows = need.select("cell", F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "text").unionByName(pairs.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "ta"):
-            sa, sb = (shingle_sets(b.column(b.schema.get_field_index(c))) for c in ("ta", "tb"))
-            good = [i for i in range(b.num_rows) if similar(sa[i], sb[i])]
-            yield b.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        now, sets = None, {}
+        for batch in steps(batches):
+            cell, a, b = (batch.column(i).to_pylist() for i in range(3))
+            found = shingle_sets(batch.column(3))
+            good = []
+            for i in range(batch.num_rows):
+                if cell[i] != now:
+                    now, sets = cell[i], {}
+                if b[i] is None:
+                    sets[a[i]] = found[i]
+                elif similar(sets[a[i]], sets[b[i]]):
+                    good.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    # A cell's texts come before its pairs.
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull()).mapInArrow(run, "a binary, b binary")
 
 
 def _near_size(a: str, b: str):
@@ -170,61 +198,66 @@ def _near_size(a: str, b: str):
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) | (F.greatest(x, y) == top)
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document (doc_id, text)."""
+def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, mark, n, cls) and links (a, b) of the documents (doc_id, text).
+
+    Members have a row a document: the digest of its text, the size of its set and the set's class (null for an empty
+    set). Documents of one class are linked; links are all pairs a < b of classes whose sets are similar, once each.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = common_shingles(docs)
     light = materialize(_sets(docs, common, False), "sets")
-    classes = materialize(light.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").alias("n")), "classes")
+    classes = materialize(light.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp")), "classes")
 
-    # Shingles that prefixes of two groups hold, with how many.
+    # Shingles that prefixes of two groups hold, with how many such stand before each in its group.
     by_token = Window.partitionBy("token")
     tokens = _sets(docs, common, True).repartition("token").dropDuplicates(["token", "grp", "spot"])
     met = tokens.withColumn("cnt", F.count("*").over(by_token)).filter("cnt > 1")
-    # A group's weight, and how many shared shingles stand before each of its.
-    by_group = Window.partitionBy("grp")
-    shared = materialize(met.withColumn("w", F.sum("cnt").over(by_group)).withColumn("before", F.row_number().over(by_group.orderBy("spot")) - 1).drop("cnt"), "shared")
-
-    # Round 1: each group with the weightiest group, and with the neighbour, that it meets in most buckets.
-    order = by_token.orderBy(F.desc("w"), "grp")
-    met = shared.withColumn("top", F.first("grp").over(order)).withColumn("near", F.lag("grp").over(order)).filter("near IS NOT NULL")
-    pairs = None
-    for kind in ("top", "near"):
-        often = met.select("grp", F.col(kind).alias("other")).filter(_near_size("grp", "other")).groupBy("grp", "other").agg(F.count("*").alias("k"))
-        best = often.groupBy("grp").agg(F.max(F.struct("k", "other")).alias("m")).select("grp", F.col("m.other").alias("other"))
-        pairs = best if pairs is None else pairs.unionByName(best).distinct()
-    of_group = classes.groupBy("grp").agg(F.min("cls").alias("cls"))
-    across = pairs.join(of_group.withColumnRenamed("cls", "a"), "grp").join(of_group.select(F.col("grp").alias("other"), F.col("cls").alias("b")), "other").select("a", "b")
-    inner = Window.partitionBy("grp").orderBy("cls")
-    same = classes.withColumn("first", F.first("cls").over(inner)).withColumn("before", F.lag("cls").over(inner)).filter("before IS NOT NULL")
-    within = same.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array("first", "before"))).alias("b"))
-    tried = materialize(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    shared = materialize(met.withColumn("before", F.row_number().over(Window.partitionBy("grp").orderBy("spot")) - 1).drop("cnt"), "shared")
+
+    # Pairs of groups that can reach the threshold, named after their least common shingle, and of classes in one group.
+    side = lambda x: shared.select("token", F.col("grp").alias(f"g{x}"), F.col("spot").alias(f"s{x}"), F.col("before").alias(f"b{x}"))
+    near = side("a").join(side("b"), "token").filter((F.col("ga") < F.col("gb")) & _near_size("ga", "gb") & _reachable("ga", "gb"))
+    often = near.groupBy("ga", "gb").agg(F.count("*").alias("k"), F.min("token").alias("t")).filter(_often("ga", "gb", "k"))
+    of = lambda x: classes.select(F.col("grp").alias(f"g{x}"), F.col("cls").alias(x))
+    across = often.join(of("a"), "ga").join(of("b"), "gb").select("t", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    within = of("a").join(of("b"), F.col("ga") == F.col("gb")).filter("a < b").select(F.col("ga").alias("t"), "a", "b")
+    pending = materialize(across.unionByName(within), "pending")
+    discard(shared)
+    cells = materialize(_cells(pending), "cells")
+    discard(pending)
 
     # The texts of classes that have candidates at all.
-    wanted = materialize(shared.select("grp").unionByName(same.select("grp")).distinct().join(classes, "grp").select("cls", F.col("doc_id").alias("id")), "wanted")
+    wanted = materialize(cells.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("doc_id").alias("id")), "wanted")
     texts = materialize(_texts(docs, wanted), "texts")
-    links = materialize(_verified(tried, texts), "links")
+    links = materialize(_verified(cells, texts), "links")
+    discard(classes, cells, wanted, texts)
+    return light.drop("grp"), links
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_links) of every document: how many other documents it is linked with, exact copies included."""
+    size = members.filter("n > 0").groupBy("cls").agg(F.count("*").alias("size"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = ends.join(size.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("others"))
+    per = size.join(other, "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(per, "cls", "left").select("doc_id", "mark", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def named_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, component) of documents with words: the least class of the component."""
     label = materialize(components(links), "components")
+    return members.filter("n > 0").join(label, members.cls == label.node, "left").select("doc_id", "mark", "n", F.coalesce("component", "cls").alias("component"))
+
 
-    # Round 2: what is left between components.
-    named = classes.join(label, classes.cls == label.node, "left").select("cls", "grp", F.coalesce("component", "cls").alias("comp"))
-    buckets = shared.select("token", "grp", "spot", "before").join(named, "grp").unionByName(named.join(same.select("grp").distinct(), "grp").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("spot"), F.lit(0).alias("before"), "cls", "comp"))
-    mixed = buckets.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    rest = materialize(buckets.join(mixed, "token"), "rest")
-    side = lambda x: rest.select("token", F.col("grp").alias(f"g{x}"), F.col("spot").alias(f"s{x}"), F.col("before").alias(f"b{x}"), F.col("cls").alias(x), F.col("comp").alias(f"c{x}"))
-    met = side("a").join(side("b"), "token").filter((F.col("ca") < F.col("cb")) & _near_size("ga", "gb") & _reachable("ga", "gb"))
-    often = met.groupBy("a", "b", "ga", "gb").agg(F.count("*").alias("k")).filter(_often("ga", "gb", "k"))
-    pending = often.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verified(pending, texts), "links")
-    if more.limit(1).count():
-        label = materialize(components(links.unionByName(more)), "components")
-
-    discard(shared, wanted, tried, texts, links, rest, more)
-    least = classes.join(label, classes.cls == label.node, "left").select("cls", F.coalesce("component", "cls").alias("comp"), "doc_id")
-    ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = least.join(ids, "comp").select("cls", "component_id")
-    empty = light.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return light.filter("n > 0").join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document (doc_id, text)."""
+    members, links = jaccard_join(docs)
+    named = named_components(members, links)
+    discard(links)
+    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    empty = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.join(ids, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
 
 TOP = (1 << SIZE_BITS) - 1

@@ -73,3 +73,17 @@ def test_given_table(spark):
 def test_empty(spark):
     assert J.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [J.prefix_size(n) for n in (1, 4, 5, 10, 101)] == [1, 1, 2, 3, 21]
+
+
+def test_every_link_is_found(spark, tmp_path):
+    """All pairs of similar sets are links, also those that other links connect already, and every document has its count."""
+    rows = family() + [(5000, family()[0][1]), (5001, None), (None, family()[1][1])]
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    distinct = list({s for s in sets if s})
+    want = sum(alike(x, y) for i, x in enumerate(distinct) for y in distinct[:i])
+    members, links = J.jaccard_join(spark.read.parquet(save(spark, tmp_path, rows) + "/documents.parquet"))
+    found = [(r.a, r.b) for r in links.collect()]
+    assert len(found) == len(set(found)) == want > len(distinct)
+    counts = sorted(((r.doc_id, r.n_links) for r in J.link_counts(members, links).collect()), key=str)
+    assert counts == sorted(((rows[i][0], sum(alike(x, y) for j, y in enumerate(sets) if j != i)) for i, x in enumerate(sets)), key=str)
