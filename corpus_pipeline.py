@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.llm import bpe, jaccard_join, mixing, quality_classifier, quality_rules
-from strataform.llm.store import new_path
+from strataform.llm.store import discard, new_path
 
 ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,10 +29,23 @@ def keep_unrepetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id; of rows that share it, one."""
-    found = jaccard_join.jaccard_classes(docs.select("doc_id", "text"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.id), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each component of near duplicate texts: the one with the smallest id (null ids last), then digest.
+
+    Documents are told apart by id and text, so that different texts under one id, or under none, stand for themselves.
+    Rows equal in both are one document, except those with neither an id nor a word. Of its rows the least source,
+    language and length stay.
+    """
+    members, links = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
+    named = jaccard_join.named_components(members, links)
+    discard(links)
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("m"))
+    kept = best.select("m.doc_id", "m.mark", F.lit(True).alias("words")).unionByName(members.filter("n = 0").select("doc_id", "mark", F.lit(False).alias("words")).distinct())
+    rows = docs.select(*COLUMNS, jaccard_join.mark_of("text").alias("_mark"))
+    on = F.col("d._mark").eqNullSafe(F.col("k.mark")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+    met = rows.alias("d").join(kept.alias("k"), on).select("d.*", "k.words")
+    blank = met.filter("doc_id IS NULL AND NOT words")
+    rest = met.filter("doc_id IS NOT NULL OR words").groupBy("doc_id", "_mark").agg(F.first("text").alias("text"), F.min(F.struct("source", "lang", "n_chars")).alias("m"))
+    return rest.select("doc_id", "text", "m.source", "m.lang", "m.n_chars").select(COLUMNS).unionByName(blank.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,13 @@ def test_odd_documents(spark, tmp_path):
     once = P.keep_one_of_each(spark, odd, str(tmp_path)).collect()
     assert len(once) == len({r.doc_id for r in once}) and {0, 1, 2, 3} <= {r.doc_id for r in once}
     assert len(P.encode(spark, odd, str(tmp_path)).collect()) == docs.count()
+
+
+def test_one_of_each_keeps_documents_without_an_id_of_their_own(spark):
+    """Different texts under one id, or under none, aren't one document; reruns and row order don't matter."""
+    say = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(3, say("a")), (7, say("x")), (7, say("a") + " more"), (None, say("p")), (None, say("q")), (None, say("q")), (None, say("a")), (None, None), (None, None), (None, " "), (8, None), (8, None), (8, ""), (9, say("r")), (9, say("s"))]
+    want = sorted([(3, say("a")), (7, say("x")), (None, say("p")), (None, say("q")), (None, None), (None, None), (None, " "), (8, None), (8, ""), (9, say("r")), (9, say("s"))], key=str)
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en" if k % 2 else "de", f"src{k}", k) for k, (i, t) in enumerate(some)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(((r.doc_id, r.text) for r in P.keep_one_of_each(spark, docs, "").collect()), key=str) == want
