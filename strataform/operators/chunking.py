@@ -35,6 +35,18 @@ def budget(chunks: DataFrame, most: int, order: str = "doc_id") -> DataFrame:
     return chunks.withColumn("chunk_index", (rank - 1).cast("long")).filter(F.col("chunk_index") < most)
 
 
+def numbered(chunks: DataFrame, bounds: list, order: str = "doc_id") -> DataFrame:
+    """All chunks, numbered from 0 within their corpus in order. Ranges of ``order`` between the bounds are numbered side
+    by side, so that a large corpus isn't sorted in one task; any bounds give the same numbers."""
+    span = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    rows = chunks.withColumn("_span", span)
+    ahead = Window.partitionBy("label").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("label", "_span").agg(F.count("*").alias("_n")).select(F.col("label").alias("_label"), F.col("_span").alias("_at"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("label", "_span").orderBy(order, "chunk_in_document"))
+    met = rows.withColumn("_rank", rank).join(first, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_span") == F.col("_at")))
+    return met.withColumn("chunk_index", F.col("_first") + F.col("_rank") - 1).drop("_span", "_label", "_at", "_first", "_rank")
+
+
 def short_corpora(chunks: DataFrame, most: int) -> DataFrame:
     """(label, chunk_count) of corpora with fewer than ``most`` chunks."""
     return chunks.groupBy("label").agg(F.count("*").alias("chunk_count")).filter(F.col("chunk_count") < most)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.catalog import QUERIES
-from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, Chunking
+from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, PROJECTIONS, Chunking
 from strataform.functions import text as T
 from strataform.operators import chunking, compression, extract, lexical, pairs, resample, sampling, scorecard, semantic
 
@@ -43,6 +43,18 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.budget(chunks(spark, sf), MAX_CHUNKS)
 
 
+def numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks, numbered within their corpus."""
+    ranges = 64
+    bounds = spark.read.parquet(f"{sf}/documents.parquet").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 2000)).first()[0]
+    return chunking.numbered(chunks(spark, sf), sorted(set(bounds or [])))
+
+
+def sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """What a codec sees: a uniform sample of each corpus's chunks, up to the budget of a corpus."""
+    return sampling.reservoir(numbered(spark, sf), MAX_CHUNKS, SEED, "chunk_index")
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "vec_id", "embedding")
 
@@ -326,12 +338,12 @@ def j11_canonical_pairs(spark, sf):
 
 @query
 def m6_compression_lzma(spark, sf):
-    return rounded(compression.ratios(indexed(spark, sf), ("lzma",)), "lzma_ratio")
+    return rounded(compression.ratios(sampled(spark, sf), ("lzma",)), "lzma_ratio")
 
 
 @query
 def m7_compression_gzip_zlib(spark, sf):
-    values = compression.ratios(indexed(spark, sf), ("gzip", "zlib"))
+    values = compression.ratios(sampled(spark, sf), ("gzip", "zlib"))
     return rounded(compression.gaps(values, pairs.unordered(panel(spark, sf)), ["gzip_ratio", "zlib_ratio"], signed=True), "gzip_ratio_gap", "zlib_ratio_gap")
 
 
@@ -388,7 +400,7 @@ def x8_k_stability(spark, sf):
     """Family means of cluster divergence for each number of clusters."""
     p, out = pairs.unordered(studied(vector_panel(spark, sf))), None
     for k in CLUSTER_SWEEP:
-        js = semantic.occupancy_js(semantic.pair_clusters(vectors(spark, sf), p, k, 3)).join(p, ["a", "b"])
+        js = semantic.occupancy_js(semantic.pair_clusters(vectors(spark, sf), p, k)).join(p, ["a", "b"])
         part = pairs.family_means(js, ["semantic_cluster_js"]).withColumn("k", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return rounded(out, "semantic_cluster_js")
@@ -402,7 +414,7 @@ def m15_sliced_wasserstein_axes(spark, sf):
 
 @query
 def m15_sliced_wasserstein_random(spark, sf):
-    out = semantic.sliced_wasserstein(semantic.random_projections(vectors(spark, sf), 64), pairs.unordered(vector_panel(spark, sf)))
+    out = semantic.sliced_wasserstein(semantic.random_projections(vectors(spark, sf), PROJECTIONS), pairs.unordered(vector_panel(spark, sf)))
     return rounded(out, "sliced_wasserstein_l1", "sliced_wasserstein_l2")
 
 
@@ -435,8 +447,8 @@ def x2_embeddings(spark, sf):
 
 
 def _bootstrap(spark, sf, replicates):
-    grams = resample.chunk_grams(indexed(spark, sf)).join(studied(panel(spark, sf)).select("label"), "label").cache()
-    sizes = indexed(spark, sf).join(studied(panel(spark, sf)).select("label"), "label").groupBy("label").agg(F.count("*").alias("n"))
+    grams = resample.chunk_grams(numbered(spark, sf)).join(studied(panel(spark, sf)).select("label"), "label").cache()
+    sizes = numbered(spark, sf).join(studied(panel(spark, sf)).select("label"), "label").groupBy("label").agg(F.count("*").alias("n"))
     draws = sampling.bootstrap_draws(sizes, spark.range(replicates).withColumnRenamed("id", "replicate"), SEED)
     counts = resample.resampled_counts(grams, draws, ("replicate", "label")).cache()
     vocab = lexical.vocabulary(counts, 256, ("replicate", "label"))
@@ -460,8 +472,8 @@ def a14_bootstrap_quantiles(spark, sf):
 @query
 def c10_split_baseline(spark, sf):
     """Distances between random halves of each corpus, over two repeats, and the corpora's means."""
-    halves = sampling.halves(indexed(spark, sf), spark.range(2).withColumnRenamed("id", "repeat"), SEED)
-    grams = resample.chunk_grams(indexed(spark, sf))
+    halves = sampling.halves(numbered(spark, sf), spark.range(2).withColumnRenamed("id", "repeat"), SEED)
+    grams = resample.chunk_grams(numbered(spark, sf))
     named = halves.select("repeat", "label", "chunk_index", F.concat_ws("/", "label", "half").alias("side"))
     counts = resample.resampled_counts(grams, named, ("repeat", "side")).withColumnRenamed("side", "label").cache()
     p = panel(spark, sf).select(F.concat_ws("/", "label", F.lit("A")).alias("a"), F.concat_ws("/", "label", F.lit("B")).alias("b"))
@@ -476,7 +488,7 @@ def x10_mixture_lexical(spark, sf):
     targeted = panel(spark, sf).filter("role = 'targeted'")
     p = pairs.ordered(targeted).select(F.col("a").alias("base"), F.col("b").alias("target"))
     alphas = spark.createDataFrame([(a,) for a in ALPHAS if a], "alpha double")
-    spots = indexed(spark, sf)
+    spots = numbered(spark, sf)
     plan = sampling.mixture(spots, p, alphas).withColumn("mix", F.concat_ws("/", "base", "target", "alpha"))
     grams = resample.chunk_grams(spots).join(targeted.select("label"), "label").cache()
     mixed = resample.resampled_counts(grams, plan.select("label", "chunk_index", "mix"), ("mix",)).withColumnRenamed("mix", "label")
@@ -583,7 +595,7 @@ def t3_tokens_bpe(spark, sf):
 def x3_standalone(spark, sf):
     from strataform.plans.analyses import standalone
 
-    rows = indexed(spark, sf)
+    rows = numbered(spark, sf)
     return rounded(standalone(rows, semantic.embed(rows)), "lzma_ratio", "total_variance", "top1_share", "top5_share")
 
 
@@ -592,7 +604,7 @@ def x3_pair_metrics(spark, sf):
     """All six metrics of broad and targeted corpora's ordered pairs, over the stand-in encoder's vectors."""
     from strataform.plans.analyses import pair_metrics, standalone
 
-    p, rows = studied(panel(spark, sf)), indexed(spark, sf)
+    p, rows = studied(panel(spark, sf)), numbered(spark, sf)
     vecs = semantic.embed(rows).selectExpr("label", "chunk_index AS vec_id", "embedding").join(p.select("label"), "label")
     out = pair_metrics(p, rows, vecs, standalone(rows, vecs))
     return rounded(out, *(c for c in out.columns if dict(out.dtypes)[c] == "double"))
@@ -602,5 +614,5 @@ def x3_pair_metrics(spark, sf):
 def x12_continuous(spark, sf):
     from strataform.plans.analyses import continuous
 
-    out = continuous(vector_panel(spark, sf), vectors(spark, sf), _fixed(spark, sf), 64)
+    out = continuous(vector_panel(spark, sf), vectors(spark, sf), _fixed(spark, sf))
     return rounded(out, *(c for c in out.columns if dict(out.dtypes)[c] == "double"))

@@ -72,3 +72,24 @@ def test_queries_equal_duckdb(spark):
     for name in ("e4_transcript_last_assistant", "s1_tolerant_json", "c6_chunk_provenance", "a17_length_summary", "r1_vocab_topk", "m2_lexical_js_cell", "a13_leave_one_out", "m15_sliced_wasserstein_axes", "c10_split_baseline", "x14_validate_registry"):
         a, b = compare(spark, con, SF, name, QUERIES[name], ORACLES[name])
         assert a == b, name
+
+
+def test_only_codecs_have_a_budget(spark, monkeypatch):
+    """Draws, halves and mixtures see all chunks; with a small budget they still equal the SQL over whole tables."""
+    from strataform.catalog import ORACLES, QUERIES
+    from strataform.operators import chunking
+    from tests.compare import compare, duck
+
+    monkeypatch.setattr(queries, "MAX_CHUNKS", 3)
+    monkeypatch.setattr(analyses, "MAX_CHUNKS", 3)
+    con = duck(SF)
+    for name in ("c10_split_baseline", "a14_bootstrap_quantiles", "x10_mixture_lexical"):
+        a, b = compare(spark, con, SF, name, QUERIES[name], ORACLES[name])
+        assert a == b, name
+    rows = queries.chunks(spark, SF)
+    whole = sorted((r.label, r.doc_id, r.chunk_in_document, r.chunk_index) for r in chunking.budget(rows, 10**9).collect())
+    for some in (queries.numbered(spark, SF), chunking.numbered(rows, [])):
+        assert sorted((r.label, r.doc_id, r.chunk_in_document, r.chunk_index) for r in some.collect()) == whole
+    n = {r.label: r.n_chunks for r in QUERIES["x3_standalone"](spark, SF).collect()}
+    assert sum(n.values()) == len(whole) and max(n.values()) > 3
+    assert max(r["count"] for r in queries.sampled(spark, SF).groupBy("label").count().collect()) == 3
