@@ -414,7 +414,7 @@ def m15_sliced_wasserstein_axes(spark, sf):
 
 @query
 def m15_sliced_wasserstein_random(spark, sf):
-    out = semantic.sliced_wasserstein(semantic.random_projections(vectors(spark, sf), PROJECTIONS), pairs.unordered(vector_panel(spark, sf)))
+    out = semantic.exact_wasserstein(semantic.random_projections(vectors(spark, sf), PROJECTIONS), pairs.unordered(vector_panel(spark, sf)))
     return rounded(out, "sliced_wasserstein_l1", "sliced_wasserstein_l2")
 
 

@@ -142,3 +142,22 @@ def test_scorecard(spark):
     docs = spark.createDataFrame([("f", '{"a": [{"b": 1.0004}], "n": 3}')], "doc string, body string")
     wanted = spark.createDataFrame([("f", "a[0].b", 1.0, False), ("f", "n", 3.0, True), ("f", "n", 4.0, True), ("f", "no", 1.0, False), ("g", "n", 1.0, False)], "doc string, path string, expected double, whole boolean")
     assert [r.ok for r in scorecard.verify_values(docs, wanted).orderBy("expected", "path", "doc").collect()].count(True) == 2
+
+
+@pytest.mark.parametrize("stretch", [4096, 64])
+def test_wasserstein_counts_every_value(spark, monkeypatch, stretch):
+    """Sizes may differ, equal ones go rank by rank, and a value in a tail counts."""
+    monkeypatch.setattr(semantic, "STRETCH", stretch)
+    r = np.random.default_rng(4)
+    data = {0: r.normal(size=(300, 2)), 1: r.normal(size=(420, 2)) + 1, 3: r.normal(size=(300, 2))}
+    data[2] = data[0].copy()
+    data[2][0] = 99
+    rows = [(k, p, float(v)) for k, x in data.items() for p in range(2) for v in x[:, p]]
+    df = spark.createDataFrame(rows, "label int, proj int, value double")
+    p = spark.createDataFrame([(0, 1, "x"), (1, 0, "x"), (0, 2, "x"), (0, 3, "x")], "a int, b int, pair_class string")
+    wide = {k: np.repeat(np.sort(x, axis=0), 2100 // len(x), axis=0) for k, x in data.items()}
+    got = {(g.a, g.b): g for g in semantic.exact_wasserstein(df, p).collect()}
+    assert len(got) == 4 and got[0, 2].sliced_wasserstein_l1 > 0.3
+    for (a, b), g in got.items():
+        d = wide[a] - wide[b]
+        assert (g.sliced_wasserstein_l1, g.sliced_wasserstein_l2) == pytest.approx((np.abs(d).mean(), np.sqrt((d * d).mean())))
