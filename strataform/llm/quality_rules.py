@@ -69,12 +69,12 @@ def measure(texts: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray]:
             out["n_repeat_words"] = W.sums(within, first)
         out[f"dup_{k}gram_share"] = W.sums(np.where(within, chars, 0), first) / total_chars
 
-    # Lines: runs between \n. One with a word counts; equal bytes have equal hashes.
+    # Lines: runs between \n. One with a word counts.
     ls, le, lfirst = W.spans(buf != 10, ofs)
     holds = points[le] > points[ls]
     ls, le = ls[holds], le[holds]
     lfirst = np.concatenate([[0], np.cumsum(holds)])[lfirst]
-    _, later = W.repeated(W.hashes(buf, ls, le) ^ salt[W.owners(lfirst)])
+    later = W.equal_spans(buf, ls, le, W.owners(lfirst), salt)
     out["n_dup_lines"] = W.sums(later, lfirst)
     out["dup_line_share"] = W.sums(np.where(later, points[le] - points[ls], 0), lfirst) / total_chars
     return out

@@ -16,7 +16,8 @@ concatenated bytes is linear in the parts' CRCs), so no payload travels for it;
 ids themselves.
 
 Defined results: null counts as empty, which has the end id alone. Repeated rows keep a row each. Documents
-without an id come first. An empty table gives an empty store. Words are recognised by a 64-bit hash.
+without an id come first. An empty table gives an empty store. Words are found by a 64-bit hash and
+recognised by their bytes.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from strataform.llm.store import new_path, range_bucket, steps, tasks, text_buff
 
 #: Ids that a rolling hash sees, the mean and the largest length of a chunk.
 SEEN, MEAN, MOST = 16, 512, 4096
-#: Words and chunk keys that a worker remembers.
-WORDS, KEYS = 1_500_000, 300_000
+#: Words, their bytes and chunk keys that a worker remembers.
+WORDS, BYTES, KEYS = 1_500_000, 1 << 26, 300_000
 
 
 class WordEncoder:
@@ -50,34 +51,58 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype(f"<u{width}")
         self.end_id = end_id
-        self.hash = np.zeros(0, W.U)
-        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.type)
+        self.forget()
 
-    def learn(self, new: np.ndarray, words: list[str]) -> None:
+    def forget(self) -> None:
+        """Words by ascending hash: where their ids and their bytes begin, and how many there are."""
+        none = np.zeros(0, np.int64)
+        self.hash, self.begin, self.size, self.text, self.length = np.zeros(0, W.U), none, none, none, none
+        self.ids, self.bytes = np.zeros(0, self.type), np.zeros(0, np.uint8)
+
+    def learn(self, new: np.ndarray, words: list[bytes]) -> None:
         """Add the ids of ``words``, whose hashes ``new`` ascend."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        begin = np.cumsum(size) - size + len(self.ids)
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        size, length = (np.array([len(x) for x in of], np.int64) for of in (got, words))
+        begin, text = np.cumsum(size) - size + len(self.ids), np.cumsum(length) - length + len(self.bytes)
         self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], self.type)])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
         h = np.concatenate([self.hash, new])
         order = np.argsort(h, kind="stable")
-        self.hash, self.begin, self.size = h[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts, each with the end id, and the offsets of texts."""
-        buf, ofs, n = text_buffers(texts)
-        s, e, first = W.spans(~W.SPACE[buf], ofs)
+        self.hash = h[order]
+        joined = lambda old, more: np.concatenate([old, more])[order]
+        self.begin, self.size, self.text, self.length = joined(self.begin, begin), joined(self.size, size), joined(self.text, text), joined(self.length, length)
+
+    def places(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The place of every word ``buf[s:e]`` among the known ones, new ones learnt.
+
+        A hash finds the place, the bytes decide: where a word isn't the one that was learnt for its hash, this
+        batch's words are learnt anew, each distinct one under a number of its own.
+        """
+        if len(self.hash) > WORDS or len(self.bytes) > BYTES or len(self.hash) < len(self.begin):
+            self.forget()
         distinct, at, back = np.unique(W.hashes(buf, s, e), return_index=True, return_inverse=True)
-        if len(self.hash) > WORDS:
-            self.hash, self.begin, self.size, self.ids = self.hash[:0], self.begin[:0], self.size[:0], self.ids[:0]
         place = np.searchsorted(self.hash, distinct)
         unknown = np.ones(len(distinct), bool)
         if len(self.hash):
             unknown = self.hash[np.minimum(place, len(self.hash) - 1)] != distinct
         if unknown.any():
-            self.learn(distinct[unknown], [buf[s[i] : e[i]].tobytes().decode() for i in at[unknown]])
+            self.learn(distinct[unknown], [buf[s[i] : e[i]].tobytes() for i in at[unknown]])
             place = np.searchsorted(self.hash, distinct)
         word = place[back]
+        if W.same_bytes(buf, s, e, self.bytes, self.text[word], self.length[word]).all():
+            return word
+        self.forget()
+        numbers: dict[bytes, int] = {}
+        word = np.array([numbers.setdefault(buf[a:b].tobytes(), len(numbers)) for a, b in zip(s.tolist(), e.tolist(), strict=True)], np.int64)
+        self.learn(np.arange(len(numbers), dtype=W.U), list(numbers))
+        self.hash = self.hash[:0]  # these numbers are no hashes, so the next batch starts again
+        return word
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, each with the end id, and the offsets of texts."""
+        buf, ofs, n = text_buffers(texts)
+        s, e, first = W.spans(~W.SPACE[buf], ofs)
+        word = self.places(buf, s, e)
         begin, size = np.append(self.begin, len(self.ids)), np.append(self.size, 1)
         word = np.insert(word, first[1:], len(self.begin))  # the end id stands after each text's words
         ids = np.append(self.ids, self.type.type(self.end_id))
@@ -275,18 +300,19 @@ def digests(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rest = []
             for r in b.select(["keys", "sizes", "root", "n_tokens"]).to_pylist():
-                if merkle(r["keys"]) != r["root"] or sum(r["sizes"]) != r["n_tokens"]:
+                upto = np.cumsum(r["sizes"])
+                if merkle(r["keys"]) != r["root"] or upto[-1] != r["n_tokens"]:
                     raise ValueError("a recipe isn't what its root says")
-            yield b.select(["doc_id", "start", "n_tokens", "sizes", "keys"])
+                rest.append(upto[-1] - upto)
+            yield pa.RecordBatch.from_arrays([*b.select(["doc_id", "start", "n_tokens", "sizes", "keys"]).columns, pa.array(rest, pa.list_(pa.int64()))], names=["doc_id", "start", "n_tokens", "sizes", "keys", "rest"])
 
     recipes = recipes_of(spark, folder)
     bad = _roots(recipes).exceptAll(spark.read.schema("bucket int, n_docs long, n_ids long, root binary").parquet(f"{folder}/manifest").select("bucket", "n_docs", "n_ids", "root"))
     if bad.limit(1).count():
         raise ValueError("the recipes aren't what the manifest says")
-    checked_recipes = recipes.mapInArrow(checked, "doc_id long, start long, n_tokens long, sizes array<int>, keys array<binary>")
-    rest = F.expr("transform(sizes, (s, i) -> aggregate(slice(sizes, i + 2, size(sizes)), 0L, (a, x) -> a + x))")
-    pieces = checked_recipes.withColumn("rest", rest).select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("keys", "sizes", "rest")).alias("p")).select("doc_id", "start", "n_tokens", F.col("p.keys").alias("key"), F.col("p.sizes").cast("long").alias("n"), F.col("p.rest").alias("rest"))
+    pieces = recipes.mapInArrow(checked, "doc_id long, start long, n_tokens long, sizes array<int>, keys array<binary>, rest array<long>").select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("keys", "sizes", "rest")).alias("p")).select("doc_id", "start", "n_tokens", F.col("p.keys").alias("key"), F.col("p.sizes").cast("long").alias("n"), F.col("p.rest").alias("rest"))
     known = chunks_of(spark, folder).mapInArrow(chunk, "key binary, n long, crc long")
     met = pieces.join(known, ["key", "n"]).select("doc_id", "start", "n_tokens", "n", "rest", "crc").mapInArrow(place, "doc_id long, start long, n_tokens long, n long, rest long, crc long, share long")
     out = met.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("found"))

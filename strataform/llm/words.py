@@ -1,8 +1,9 @@
 """Vectorised word splitting and hashing over UTF-8 buffers (numpy, no per-word Python).
 
-A word's hash is a polynomial in an odd base modulo 2**64 over random byte values, made independent of
-the word's place by the base's inverse and then mixed; sequences of words combine their words' hashes.
-Everything is a pure function of the bytes, so all executors agree.
+A word's hash sums a random number for every byte at its place in the word and is then mixed; from the second
+piece of 64 bytes on, sums are mixed with the piece's number first. So no two patterns of letters cancel, as they
+do in polynomials modulo a power of two. Sequences of words combine their words' hashes. Everything is a pure
+function of the bytes, so all executors agree.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Bytes hashed at once; a longer word is hashed alone.
+#: Bytes hashed at once.
 BLOCK = 1 << 19
 
 
@@ -30,22 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE = _splitmix(11, 256)
 #: By how much each place of a window is multiplied.
 PLACE = _splitmix(23, 64) | U(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        step = np.full(size, BASE if kind == "base" else INVERSE, U)
-        step[0] = U(1)
-        have = _powers[kind] = np.multiply.accumulate(step)
-    return have[:n]
+#: Bytes of a piece of a word, and a random number for every byte at every place of a piece.
+PIECE = 64
+AT_PLACE = _splitmix(11, PIECE * 256)
 
 
 def byte_set(chars: bytes | list[int]) -> np.ndarray:
@@ -77,21 +67,55 @@ def spans(word: np.ndarray, ofs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, e, np.searchsorted(s, ofs)
 
 
-def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of each ``buf[s:e]``; the spans ascend and don't overlap."""
+def _pieces(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Sums of the numbers of all bytes of each ``buf[s:e]`` at their places (at most ``PIECE`` of them)."""
     out = np.empty(len(s), U)
     i = 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK)))
         a, b = int(s[i]), int(e[j - 1])
-        x = BYTE[buf[a:b]]
-        x *= _power("base", b - a)
-        total = np.empty(b - a + 1, U)
-        total[0] = 0
-        np.cumsum(x, out=total[1:])
-        out[i:j] = (total[e[i:j] - a] - total[s[i:j] - a]) * _power("inverse", b - a + 1)[s[i:j] - a]
+        begin = s[i:j] - a
+        place = np.arange(b - a) - np.repeat(begin, np.diff(begin, append=b - a))
+        place &= PIECE - 1  # beyond a piece's end, where nothing is read, it would grow
+        place <<= 8
+        place |= buf[a:b]
+        total = np.zeros(b - a + 1, U)
+        np.cumsum(AT_PLACE[place], out=total[1:])
+        out[i:j] = total[e[i:j] - a] - total[begin]
+        i = j
+    return out
+
+
+def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each ``buf[s:e]``; the spans ascend, don't overlap and hold a byte at least."""
+    size = e - s
+    if len(s) and size.max() > PIECE:
+        count = (size + PIECE - 1) // PIECE
+        first = np.cumsum(count) - count
+        k = np.arange(count.sum()) - np.repeat(first, count)
+        at = np.repeat(s, count) + PIECE * k
+        h = _pieces(buf, at, np.minimum(at + PIECE, np.repeat(e, count)))
+        later = k > 0
+        h[later] = mix(h[later] + k[later].astype(U) * PLACE[62])
+        out = np.add.reduceat(h, first)
+    else:
+        out = _pieces(buf, s, e)
+    return mix(out + size.astype(U) * PLACE[63])
+
+
+def same_bytes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each ``buf[s:e]`` equals the ``size`` bytes of ``other`` from ``begin``."""
+    out = e - s == size
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK)))  # spans that lie close together, as in a text
+        n = np.where(out[i:j], size[i:j], 0)
+        upto = np.cumsum(n)
+        step = np.arange(upto[-1]) - np.repeat(upto - n, n)
+        bad = np.flatnonzero(buf[np.repeat(s[i:j], n) + step] != other[np.repeat(begin[i:j], n) + step])
+        out[i + np.searchsorted(upto, bad, side="right")] = False
         i = j
-    return mix(out + (e - s).astype(U) * PLACE[63])
+    return out
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -142,6 +166,24 @@ def repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, later
 
 
+def equal_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Whether each ``buf[s:e]`` equals an earlier one of the same owner: by hash, then by bytes.
+
+    Should spans of one hash differ, the bytes themselves are the keys.
+    """
+    _, first, back = np.unique(hashes(buf, s, e) ^ salt[own], return_index=True, return_inverse=True)
+    origin = first[back]
+    later = np.flatnonzero(origin != np.arange(len(s)))
+    at = origin[later]
+    if not (same_bytes(buf, s[later], e[later], buf, s[at], e[at] - s[at]) & (own[later] == own[at])).all():
+        keys = [(k, buf[a:b].tobytes()) for k, a, b in zip(own.tolist(), s.tolist(), e.tolist(), strict=True)]
+        seen: set = set()
+        return np.array([k in seen or seen.add(k) is not None for k in keys], bool)
+    out = np.zeros(len(s), bool)
+    out[later] = True
+    return out
+
+
 def covered_at(at: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of ``total`` words lie in a window of ``n`` words that starts at one of ``at`` (ascending, distinct)."""
     out = np.zeros(total, bool)
