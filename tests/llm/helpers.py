@@ -5,6 +5,12 @@ import random
 WORDS = "the of and und le la que is to in alpha beta gamma delta Ünder çan étre 漢字 naïve # $ | <b> a's".split()
 
 
+def mirrored(n):
+    """Two words of ``n`` letters that a polynomial in an odd base modulo 2**64 can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 def tricky(seed=0, n=60):
     """(doc_id, text): nulls, blanks, copies, near copies, long and odd texts."""
     r = random.Random(seed)
@@ -13,7 +19,11 @@ def tricky(seed=0, n=60):
     base = say(120)
     rows += [(11, base), (12, base), (13, base + " tail"), (14, base.replace("the", "tha", 1)), (15, base.upper())]
     rows += [(16, "\n".join(say(8) for _ in range(40))), (17, say(4000))]
-    return rows + [(i, say(r.randrange(1, 200)).replace(" ", r.choice([" ", "\n", "  "]), 3)) for i in range(18, n)]
+    rows += [(i, say(r.randrange(1, 200)).replace(" ", r.choice([" ", "\n", "  "]), 3)) for i in range(18, n)]
+    for k in range(3):
+        a, b = mirrored(1024 << k)
+        rows += [(80 + 3 * k, a), (81 + 3 * k, b), (82 + 3 * k, f"{a} {b} {a}\n{a} x\n{b} x\n{b} x")]
+    return rows
 
 
 def frame(spark, rows, extra=True):

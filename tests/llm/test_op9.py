@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
+
+from strataform.llm import quality_rules as Q
 from strataform.llm.quality_rules import op9_quality_rules, quality_rules
 from tests.llm.helpers import frame, save, tricky
 
@@ -33,6 +36,14 @@ def test_equals_brute_force(spark, tmp_path):
     assert texts == Counter((i, tuple(round(v, 9) if isinstance(v, float) else v for v in brute(t).values())) for i, t in rows)
 
 
+def test_lines_of_one_hash(monkeypatch):
+    """Should lines' hashes meet, their bytes decide; equal lines of two texts aren't repeats."""
+    real, texts = Q.W.hashes, ["a\nb\na\nc d\nc d", "a\nb", None, "\n\n", "".join(t or "" for _, t in tricky())]
+    for keep in (3, 2**64 - 1):
+        monkeypatch.setattr(Q.W, "hashes", lambda b, s, e, k=keep: real(b, s, e) & Q.W.U(k))
+        assert Q.measure(pa.array(texts))["n_dup_lines"].tolist() == [brute(t)["n_dup_lines"] for t in texts]
+
+
 def test_empty_and_clashing(spark):
     from pyspark.sql import functions as F
 
