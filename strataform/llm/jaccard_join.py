@@ -42,11 +42,13 @@ from strataform.llm.store import discard, materialize, steps, text_buffers
 SHINGLE, PERCENT = 5, 80
 #: Shingles that may be put last for being common; counters of a task's pass over them, and how many documents
 #: of a task a shingle must be met in.
-COMMON, COUNTERS, MET = 200_000, 1 << 23, 6
+COMMON, COUNTERS, MET = 200_000, 1 << 25, 4
 #: Bits of the filter over ids of documents with candidates.
 SPOTS = 1 << 25
 #: Shingles of a block, and as how many a small set counts; a task holds the sets of two blocks.
 BLOCK, LEAST = 200_000, 400
+#: How many groups a prefix shingle must be in to be a home; a group without one is a block of its own.
+HOME = 32
 #: Numbers of the table with a row a set and a column a shingle that is multiplied at once.
 TABLE = 1 << 22
 
@@ -145,14 +147,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and ranks of common shingles: at most ``COMMON`` pairs of numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint16)
+        counters = np.zeros(COUNTERS, np.uint8)
         for b in steps(batches):
             sets = {class_of(s): s for s in shingle_sets(b.column(b.schema.get_field_index("text"))) if len(s)}
             if not sets:
                 continue
             h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            slot = (h >> W.U(41)).astype(np.int64)
-            now = np.minimum(counters[slot].astype(np.int64) + n, 60_000)
+            slot = (h % W.U(COUNTERS)).astype(np.int64)
+            now = np.minimum(counters[slot].astype(np.int64) + n, 255)
             counters[slot] = now
             hot = now >= MET
             yield pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(n[hot])], names=["h", "n"])
@@ -311,9 +313,9 @@ def _linked(docs: DataFrame, pairs: bool) -> tuple[DataFrame, DataFrame]:
     members = materialize(whole.drop("prefix"), "members")
     discard(whole)
     classes = materialize(members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.count("*").alias("size")), "classes")
-    of = shared.groupBy("grp").agg(F.max(F.struct("met", "token")).alias("home"), F.collect_list("token").alias("tokens")).select("grp", "home.token", "tokens")
+    of = shared.groupBy("grp").agg(F.max(F.when(F.col("met") >= HOME, F.struct("met", "token"))).alias("home"), F.collect_list("token").alias("tokens")).select("grp", "home.token", "tokens")
     sizes = classes.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("classes"))
-    groups = sizes.join(of, "grp", "left").filter("token IS NOT NULL OR classes > 1").select("grp", "low", "high", "classes", F.coalesce("token", "grp").alias("home"), F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"))
+    groups = sizes.join(of, "grp", "left").filter("tokens IS NOT NULL OR classes > 1").select("grp", "low", "high", "classes", F.coalesce("token", "grp").alias("home"), F.coalesce("tokens", F.array().cast("array<long>")).alias("tokens"))
     found = _candidates(groups, shared)
     discard(shared)
 

@@ -7,6 +7,7 @@ machines), so a lost executor costs a reread and never a wrong or failed result.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: Only for sessions that name no shared folder (tests on one machine).
 LOCAL_DIR = "file:///tmp/checkpoints"
 #: Bytes of text that one vectorised step of a Python operator looks at (a longer document comes alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +83,16 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
                 end = batch.num_rows
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task shouldn't hold what the last one took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        return
 
 
 def text_buffers(col: pa.Array):
