@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
 the columns of documents; the last adds the encoding's count and digests. The result can't be put in SQL
 (classifier, tokenizer), so the stages are tested against brute force.
+
+Defined results, for every stage: an empty table gives an empty table. Columns beside those of documents are dropped,
+whatever their names. A null in lang, source or n_chars is kept as it is; sources that are null are one source. Texts
+are taken whole, however long. What a stage does with null or empty texts, null or repeated ids, ties and repeated
+rows stands with it.
 """
 
 from __future__ import annotations
@@ -18,13 +23,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good: score 0.3 or more, that limit included.
+
+    Rows are judged each on their own, so equal texts share their fate, with or without an id. Null and empty texts have the
+    score of a text without words. Without labels of both kinds every score is the same.
+    """
     model = quality_classifier.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.classify(docs, model).filter("predicted = 1").select(COLUMNS)
 
 
 def keep_unrepetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep.
+
+    Rows are judged each on their own. Null, empty and blank texts fail the base rule (fewer than ten words) and go; a share equal
+    to its limit stays.
+    """
     return quality_rules.quality_rules(docs).filter("kept").select(COLUMNS)
 
 
@@ -33,9 +46,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents are told apart by id and text, so that different texts under one id, or under none, stand for themselves.
     Rows equal in both are one document, except those with neither an id nor a word. Of its rows the least source,
-    language and length stay.
+    language and length stay. Texts without words are linked with nothing: each distinct (id, text) stays. So every row
+    that goes is a copy or near copy of one that stays, and neither the rows' order nor a rerun changes which.
     """
-    members, links = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
+    members, links = jaccard_join.jaccard_groups(docs.select("doc_id", "text"))
     named = jaccard_join.named_components(members, links)
     discard(links)
     best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("m"))
@@ -49,14 +63,22 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole times, and once more if it takes half of the next."""
+    """Documents as often as the mix takes them: whole times, and once more if it takes half of the next.
+
+    A mix samples: documents that it takes less than half of are not in it, and neither are texts without words, of which
+    it takes no words. Rows are taken each on their own, copies and rows without an id included; ties in the
+    seeded order are settled by id, then text.
+    """
     taken = mixing.mix_documents(docs)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return taken.filter(times > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document: their number and digest, and the digest of what they decode to."""
+    """Ids of every document: their number and digest, and the digest of what they decode to.
+
+    A row a row: null and empty texts have no ids, repeated rows are encoded each.
+    """
     return bpe.bpe_round_trip(docs, *bpe.vocabulary()).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
