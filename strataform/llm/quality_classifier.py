@@ -10,9 +10,9 @@ Rows whose crc32 of the id (as text) is divisible by 5 are never learnt from. La
 and ids are never inputs of a score.
 
 Defined results: a null text counts as empty and gets a score as any other; null labels or ids in
-``labels`` are left out, equal label rows count once; if a class has fewer than two rows, every score is
+``labels`` are left out, equal label rows count once, a document with both labels counts in both classes; if a class has fewer than two rows, every score is
 the smoothed share of label 1. Repeated documents are scored each on its own. Names of the result win
-over columns of the input. An empty table gives an empty table.
+over columns of the input. Very long texts are read whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -108,7 +108,8 @@ def _mapped(df: DataFrame, names: list[str], work, text: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, text: str = "text") -> Model:
     """Learn from every labelled row that isn't held out."""
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).distinct()
-    stats = _mapped(docs.select(F.col("doc_id").alias("id"), text), NAMES, lambda x: x, text).drop(text).join(marked, "id")
+    learnt = docs.select(F.col("doc_id").alias("id"), text).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    stats = _mapped(learnt, NAMES, lambda x: x, text).drop(text).join(marked, "id")
     pairs = [(i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES))]
     rows = stats.groupBy("y").agg(F.count("*").alias("n"), *(F.sum(k).alias(k) for k in NAMES), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}_{j}") for i, j in pairs)).collect()
     n = {r.y: r.n for r in rows}
