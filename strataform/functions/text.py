@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns of stripping and of the two word tokenizers.
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# White space as Unicode has it and the four separators, and the patterns of the two word tokenizers.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PATTERNS = {
     "punct": r"(?U)[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?|[^\s\x1c-\x1fA-Za-z0-9]",
     "stable": r"[A-Za-z0-9_']+",
@@ -18,7 +18,7 @@ HUMAN = r"(?U)(?:^|\n|\s)Human:\s*"
 
 def strip(text: Column | str) -> Column:
     """Without white space at either end, as Unicode has it."""
-    return F.regexp_replace(text, STRIP, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def tokens(text: Column | str, tokenizer: str) -> Column:
@@ -31,7 +31,7 @@ def ngrams(toks: Column | str, n: int) -> Column:
     toks = F.col(toks) if isinstance(toks, str) else toks
     if n == 1:
         return toks
-    runs = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))
+    runs = F.transform(F.sequence(F.lit(0), F.size(toks) - n), lambda i: F.concat_ws(" ", *(F.get(toks, i + k) for k in range(n))))
     return F.when(F.size(toks) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 

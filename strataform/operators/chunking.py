@@ -16,8 +16,8 @@ def windows(text: Column, rule: Chunking = Chunking()) -> Column:
     a document's budget counts. Offsets are those in the stripped text before a window is stripped.
     """
     w = rule.chars
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(w))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda i: F.struct(i.alias("char_start"), F.least(F.length(text), i + w).alias("char_end"), strip(F.substring(text, i + 1, F.lit(w))).alias("text")))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{w}}}"), F.lit(0))  # one pass, however long the text
+    cut = F.transform(pieces, lambda p, i: F.struct((i * w).alias("char_start"), (i * w + F.length(p)).alias("char_end"), strip(p).alias("text")))
     kept = F.filter(cut, lambda c: F.length(c["text"]) >= rule.least)
     return F.slice(kept, 1, rule.per_document) if rule.per_document else kept
 
@@ -30,9 +30,9 @@ def chunk(docs: DataFrame, rule: Chunking = Chunking(), order: str = "doc_id") -
 
 
 def budget(chunks: DataFrame, most: int, order: str = "doc_id") -> DataFrame:
-    """Each corpus's first ``most`` chunks in order, numbered from 0; ranks are cut before the shuffle."""
+    """Each corpus's first ``most`` chunks in order, numbered from 0; every task cuts its ranks before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "chunk_in_document"))
-    return chunks.withColumn("chunk_index", (rank - 1).cast("long")).filter(F.col("chunk_index") < most)
+    return chunks.withColumn("_rank", rank).filter(F.col("_rank") <= most).withColumn("chunk_index", F.col("_rank").cast("long") - 1).drop("_rank")
 
 
 def numbered(chunks: DataFrame, bounds: list, order: str = "doc_id") -> DataFrame:

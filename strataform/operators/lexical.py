@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +16,29 @@ CELL = ["tokenizer", "n"]
 def gram_counts(chunks: DataFrame, tokenizers: tuple[str, ...] = TOKENIZERS, orders: tuple[int, ...] = ORDERS, place: tuple[str, ...] = ("doc_id", "chunk_in_document"), by: tuple[str, ...] = ("label",), times: str | None = None) -> DataFrame:
     """(<by>, tokenizer, n, gram, cnt, first): counts of n-grams within chunks, and where each was met first.
 
-    Every text is tokenised once a tokenizer; grams of all orders leave one generator and meet in one
-    shuffle, after partial sums. ``times`` names a column of multiplicities.
+    Every text is tokenised once a tokenizer; grams of all tokenizers and orders leave one generator and meet in one
+    shuffle, after partial sums by hash. ``first`` orders as (<place>, position) does: one number, so that no sort is needed.
+    ``times`` names a column of multiplicities.
     """
-    rows = None
-    for t in tokenizers:
-        toks = chunks.select(*by, *place, *([times] if times else []), F.lit(t).alias("tokenizer"), tokens("text", t).alias("toks"))
-        rows = toks if rows is None else rows.unionByName(toks)
-    flat = None
-    for n in orders:
-        part = rows.select(*by, "tokenizer", F.lit(n).alias("n"), *place, *([times] if times else []), F.posexplode(ngrams("toks", n)).alias("pos", "gram"))
-        flat = part if flat is None else flat.unionByName(part)
-    cnt = F.sum(times) if times else F.count("*")
-    return flat.groupBy(*by, "tokenizer", "n", "gram").agg(cnt.alias("cnt"), F.min(F.struct(*place, "pos")).alias("first"))
+    weight = [F.col(times).alias("_times")] if times else []
+    split = chunks.select(*by, *weight, _place(place).alias("_at"), *(tokens("text", t).alias(f"_{t}") for t in tokenizers))
+    settings = [(t, n) for t in tokenizers for n in orders]
+    named = lambda k: lambda g, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), g.alias("gram"))
+    found = [F.transform(ngrams(f"_{t}", n), named(k)) for k, (t, n) in enumerate(settings)]
+    flat = split.select(*by, *(["_times"] if times else []), "_at", F.explode(F.flatten(F.array(*found)) if len(found) > 1 else found[0]).alias("g"))
+    rows = flat.select(*by, *(["_times"] if times else []), F.col("g.k").alias("_k"), F.col("g.gram").alias("gram"), (F.col("_at") + F.col("g.pos")).alias("_first"))
+    out = rows.groupBy(*by, "_k", "gram").agg((F.sum("_times") if times else F.count("*")).alias("cnt"), F.min("_first").alias("first"))
+    of = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("_k") + 1)
+    return out.select(*by, of([t for t, _ in settings]).alias("tokenizer"), of([n for _, n in settings]).alias("n"), "gram", "cnt", "first")
+
+
+def _place(place: tuple[str, ...]) -> Column:
+    """A number that orders chunks as (a 64-bit id, a 31-bit number) do and leaves room for 32-bit positions."""
+    if not place:
+        return F.lit(0).cast("long")
+    high, low = place
+    wide = F.col(high).cast("decimal(38,0)") * F.lit(Decimal(10**19))
+    return (wide + F.shiftleft(F.col(low).cast("long"), 32).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def vocabulary(counts: DataFrame, size: int, by: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -64,14 +76,26 @@ def paired(vocab: DataFrame, counts: DataFrame, pairs: DataFrame, extra: tuple[s
 
 
 def cells(vocab: DataFrame, counts: DataFrame, pairs: DataFrame, sizes: tuple[int, ...] = VOCABULARIES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, tokenizer, n, v, grams, js, rho): one row per directed pair and setting; short vocabularies are left out."""
-    met = paired(vocab, counts, pairs, extra).withColumn("v", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda v: v >= F.col("rank"))))
+    """(a, b, tokenizer, n, v, grams, js, rho): one row per directed pair and setting; short vocabularies are left out.
+
+    What depends on a corpus and a setting alone (ranks, sums, sizes of the vocabulary's own counts) is worked out once
+    a corpus; pairs only rank the other side's counts.
+    """
+    own = ["label", *extra, *CELL, "v"]
+    w, eps = Window.partitionBy(*own), F.lit(JS_EPSILON)
+    grown = vocab.withColumn("v", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda v: v >= F.col("rank"))))
+    grown = grown.withColumn("rx", mean_rank(F.col("cnt"), own)).withColumn("grams", F.count("*").over(w)).withColumn("p", (F.col("cnt") + eps) / F.sum(F.col("cnt") + eps).over(w))
+    need = F.coalesce(*(F.when(F.col("v") == v, F.lit(least_vocabulary(v))) for v in sizes))
+    settings = grown.filter(F.col("grams") >= need).groupBy(F.col("label").alias("a"), *extra, *CELL, "gram").agg(F.collect_list(F.struct("v", "rx", "grams", "p")).alias("settings"))
+    other = counts.select(F.col("label").alias("b"), *extra, *CELL, "gram", F.col("cnt").alias("y"))
+    met = pairs.join(settings, "a").join(other, ["b", *extra, *CELL, "gram"], "left")
     cell = ["a", "b", *extra, *CELL, "v"]
+    rows = met.select("a", "b", *extra, *CELL, F.coalesce("y", F.lit(0)).alias("y"), F.explode("settings").alias("s")).select("a", "b", *extra, *CELL, "y", "s.*")
     w = Window.partitionBy(*cell)
-    ranked = met.withColumn("js", smoothed_js(F.col("x"), F.col("y"), w)).withColumn("rx", mean_rank(F.col("x"), cell)).withColumn("ry", mean_rank(F.col("y"), cell))
-    out = ranked.groupBy(*cell).agg(F.count("*").alias("grams"), F.sum("js").alias("js"), rank_correlation("rx", "ry").alias("rho"))
-    need = F.coalesce(*(F.when(F.col("v") == v, F.lit(least_vocabulary(v))) for v in sizes))
-    return out.filter(F.col("grams") >= need)
+    q, m = F.col("q"), (F.col("p") + F.col("q")) / 2
+    ranked = rows.withColumn("ry", mean_rank(F.col("y"), cell)).withColumn("q", (F.col("y") + eps) / F.sum(F.col("y") + eps).over(w))
+    js = 0.5 * F.col("p") * F.ln(F.col("p") / m) + 0.5 * q * F.ln(q / m)
+    return ranked.groupBy(*cell).agg(F.count("*").alias("grams"), F.sum(js).alias("js"), rank_correlation("rx", "ry").alias("rho"))
 
 
 def lexical_pairs(cell_rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -10,8 +10,9 @@ from strataform.functions.text import draw
 
 def prefix(docs: DataFrame, most: int, skip: int = 0, order: str = "doc_id") -> DataFrame:
     """Each corpus's first ``most`` documents without the first ``skip`` of them."""
-    index = F.row_number().over(Window.partitionBy("label").orderBy(order)) - 1
-    return docs.withColumn("source_document_index", index.cast("long")).filter((F.col("source_document_index") >= skip) & (F.col("source_document_index") < most))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(order))
+    first = docs.withColumn("_rank", rank).filter(F.col("_rank") <= most)  # every task cuts its ranks before the shuffle
+    return first.filter(F.col("_rank") > skip).withColumn("source_document_index", F.col("_rank").cast("long") - 1).drop("_rank")
 
 
 def reservoir(docs: DataFrame, size: int, seed: int, order: str = "doc_id") -> DataFrame:
@@ -19,7 +20,8 @@ def reservoir(docs: DataFrame, size: int, seed: int, order: str = "doc_id") -> D
     shuffled order in which they are consumed."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), "label", F.col(order).cast("string")).cast("binary"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_key", order))
-    return docs.withColumn("_key", key).withColumn("document_sample_rank", rank.cast("long") - 1).filter(F.col("document_sample_rank") < size).drop("_key")
+    first = docs.withColumn("_key", key).withColumn("_rank", rank).filter(F.col("_rank") <= size)  # as in ``prefix``
+    return first.withColumn("document_sample_rank", F.col("_rank").cast("long") - 1).drop("_key", "_rank")
 
 
 def bootstrap_draws(sizes: DataFrame, replicates: DataFrame, seed: int) -> DataFrame:

@@ -112,7 +112,7 @@ def bootstrap(panel: DataFrame, chunks: DataFrame, replicates: int, checkpoint:
     those that it holds aren't done again; a replicate depends on its number alone, so order and reruns don't matter."""
     spark = panel.sparkSession
     schema = "replicate long, pair_class string, lexical_js double, rho double"
-    grams = resample.chunk_grams(chunks).cache()
+    grams = resample.chunk_grams(chunks).persist()
     sizes, studied = chunks.groupBy("label").agg(F.count("*").alias("n")), pairs.unordered(panel)
     left = sorted(r.replicate for r in resample.pending(replicates, readers.checkpoint(spark, checkpoint, schema).select("replicate").distinct()).collect())
     for i in range(0, len(left), batch):
@@ -121,6 +121,7 @@ def bootstrap(panel: DataFrame, chunks: DataFrame, replicates: int, checkpoint:
         cells = lexical.cells(lexical.vocabulary(counts, 512, ("replicate", "label")), counts, studied.select("a", "b"), (512,), ("replicate",))
         rows = lexical.lexical_pairs(cells, ("replicate",)).join(studied, ["a", "b"]).groupBy("replicate", "pair_class").agg(F.avg("lexical_js").alias("lexical_js"), F.avg("rho").alias("rho"))
         sinks.append_json_lines(rows, checkpoint)
+    grams.unpersist()
     return readers.checkpoint(spark, checkpoint, schema).filter(F.col("replicate") < replicates)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +17,50 @@ ONE = {"tokenizers": ("punct",), "orders": (1,)}
 SEED = 20260505
 
 
+#: What the query before has cached.
+_HELD: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` kept for several uses in one query, until the next query is made."""
+    _HELD.append(df.persist())
+    return df
+
+
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        while _HELD:
+            _HELD.pop().unpersist()
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt to all cores by ``key`` where the files give fewer splits than twice the cores: a small input of one
+    row group would otherwise be one task. Larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores, key)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def docs(spark: SparkSession, sf: str) -> DataFrame:
+def raw(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("label"), "doc_id", "text", "lang")
 
 
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(raw(spark, sf), "doc_id")
+
+
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """One row a source: label, ord, role."""
     ordinal = F.substring("label", 4, 9).cast("int")
-    return docs(spark, sf).select("label").distinct().select("label", ordinal.alias("ord"), pairs.role_of(ordinal).alias("role"))
+    return raw(spark, sf).select("label").distinct().select("label", ordinal.alias("ord"), pairs.role_of(ordinal).alias("role"))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +100,7 @@ def studied(p: DataFrame) -> DataFrame:
 
 def cell_pairs(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
     """Lexical distances of the wanted pairs in the setting punct, unigrams, 256."""
-    counts = lexical.gram_counts(chunks(spark, sf), **ONE)
+    counts = held(lexical.gram_counts(chunks(spark, sf), **ONE))
     met = lexical.cells(lexical.vocabulary(counts, 256), counts, wanted.select("a", "b"), (256,))
     return lexical.lexical_pairs(met).join(wanted, ["a", "b"])
 
@@ -221,7 +250,7 @@ def m3_spearman_cell(spark, sf):
 
 
 def _grid(spark, sf, wanted):
-    counts = lexical.gram_counts(chunks(spark, sf)).cache()
+    counts = held(lexical.gram_counts(chunks(spark, sf)))
     return lexical.cells(lexical.vocabulary(counts, 1024), counts, wanted.select("a", "b"))
 
 
@@ -233,14 +262,14 @@ def m4_lexical_pair_grid(spark, sf):
 
 @query
 def m4b_lexical_pair_stable(spark, sf):
-    counts = lexical.gram_counts(chunks(spark, sf), ("stable",), (1, 2))
+    counts = held(lexical.gram_counts(chunks(spark, sf), ("stable",), (1, 2)))
     met = lexical.cells(lexical.vocabulary(counts, 512), counts, pairs.unordered(studied(panel(spark, sf))).select("a", "b"), (256, 512))
     return rounded(lexical.lexical_pairs(met), "lexical_js", "rho")
 
 
 @query
 def m5_lexical_metrics_topk(spark, sf):
-    counts = lexical.gram_counts(chunks(spark, sf), ("stable",), (1,))
+    counts = held(lexical.gram_counts(chunks(spark, sf), ("stable",), (1,)))
     return rounded(lexical.ordinal_metrics(counts, pairs.unordered(panel(spark, sf)).select("a", "b"), 512), "js", "rho")
 
 
@@ -447,10 +476,10 @@ def x2_embeddings(spark, sf):
 
 
 def _bootstrap(spark, sf, replicates):
-    grams = resample.chunk_grams(numbered(spark, sf)).join(studied(panel(spark, sf)).select("label"), "label").cache()
+    grams = held(resample.chunk_grams(numbered(spark, sf)).join(studied(panel(spark, sf)).select("label"), "label"))
     sizes = numbered(spark, sf).join(studied(panel(spark, sf)).select("label"), "label").groupBy("label").agg(F.count("*").alias("n"))
     draws = sampling.bootstrap_draws(sizes, spark.range(replicates).withColumnRenamed("id", "replicate"), SEED)
-    counts = resample.resampled_counts(grams, draws, ("replicate", "label")).cache()
+    counts = held(resample.resampled_counts(grams, draws, ("replicate", "label")))
     vocab = lexical.vocabulary(counts, 256, ("replicate", "label"))
     p = pairs.unordered(studied(panel(spark, sf)))
     met = lexical.cells(vocab, counts, p.select("a", "b"), (256,), ("replicate",))
@@ -475,7 +504,7 @@ def c10_split_baseline(spark, sf):
     halves = sampling.halves(numbered(spark, sf), spark.range(2).withColumnRenamed("id", "repeat"), SEED)
     grams = resample.chunk_grams(numbered(spark, sf))
     named = halves.select("repeat", "label", "chunk_index", F.concat_ws("/", "label", "half").alias("side"))
-    counts = resample.resampled_counts(grams, named, ("repeat", "side")).withColumnRenamed("side", "label").cache()
+    counts = held(resample.resampled_counts(grams, named, ("repeat", "side")).withColumnRenamed("side", "label"))
     p = panel(spark, sf).select(F.concat_ws("/", "label", F.lit("A")).alias("a"), F.concat_ws("/", "label", F.lit("B")).alias("b"))
     met = lexical.cells(lexical.vocabulary(counts, 256, ("repeat", "label")), counts, p, (256,), ("repeat",))
     out = met.groupBy(F.split_part("a", F.lit("/"), F.lit(1)).alias("label")).agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho"))
@@ -490,9 +519,9 @@ def x10_mixture_lexical(spark, sf):
     alphas = spark.createDataFrame([(a,) for a in ALPHAS if a], "alpha double")
     spots = numbered(spark, sf)
     plan = sampling.mixture(spots, p, alphas).withColumn("mix", F.concat_ws("/", "base", "target", "alpha"))
-    grams = resample.chunk_grams(spots).join(targeted.select("label"), "label").cache()
+    grams = held(resample.chunk_grams(spots).join(targeted.select("label"), "label"))
     mixed = resample.resampled_counts(grams, plan.select("label", "chunk_index", "mix"), ("mix",)).withColumnRenamed("mix", "label")
-    own = grams.groupBy("label", "tokenizer", "n", "gram").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("chunk_index", "first")).alias("first")).cache()
+    own = held(grams.groupBy("label", "tokenizer", "n", "gram").agg(F.sum("cnt").alias("cnt"), resample.earliest().alias("first")))
     names = p.join(alphas).select(F.col("base").alias("a"), F.concat_ws("/", "base", "target", "alpha").alias("b"))
     met = lexical.lexical_pairs(lexical.cells(lexical.vocabulary(own, 256), mixed, names, (256,)))
     out = met.select(F.col("a").alias("base"), F.split_part("b", F.lit("/"), F.lit(2)).alias("target"), F.split_part("b", F.lit("/"), F.lit(3)).cast("double").alias("alpha"), "lexical_js", "rho")
