@@ -31,13 +31,15 @@ def _ratio_of(codec: str):
     return run
 
 
-def ratios(chunks: DataFrame, codecs: tuple[str, ...] = ("lzma",)) -> DataFrame:
-    """(label, <codec>_ratio): of each corpus's chunks joined by blank lines, in the order of ``chunk_index``.
+def ratios(chunks: DataFrame, codecs: tuple[str, ...] = ("lzma",), by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """(<by>, label, <codec>_ratio): of each corpus's chunks joined by blank lines, in the order of ``chunk_index``.
+    ``times`` names a column that says how often a chunk stands there, one after another.
 
     A codec sees a corpus as one stream, so chunks must be budgeted (``budget``): a corpus then is a few MB.
     """
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"]), "\n\n")
-    out = chunks.groupBy("label").agg(text.alias("joined"))
+    body = F.array_join(F.array_repeat("text", F.col(times).cast("int")), "\n\n") if times else F.col("text")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", body.alias("text")))), lambda c: c["text"]), "\n\n")
+    out = chunks.groupBy(*by, "label").agg(text.alias("joined"))
     for codec in codecs:
         out = out.withColumn(f"{codec}_ratio", _ratio_of(codec)("joined"))
     return out.drop("joined")

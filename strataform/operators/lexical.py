@@ -47,6 +47,12 @@ def vocabulary(counts: DataFrame, size: int, by: tuple[str, ...] = ("label",)) -
     return counts.withColumn("rank", rank).filter(F.col("rank") <= size)
 
 
+def normalized(x: Column, within: Window) -> Column:
+    """Shares of the sum; uniform where the sum isn't above 0."""
+    total = F.sum(x).over(within)
+    return F.when(total > 0, x / total).otherwise(1.0 / F.count("*").over(within))
+
+
 def smoothed_js(x: Column, y: Column, within: Window) -> Column:
     """Each row's part of the Jensen-Shannon divergence (nats) of two count columns; summed over ``within`` it is the
     divergence. Counts are raised by a tiny constant, so empty sides are uniform."""

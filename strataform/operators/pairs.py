@@ -111,3 +111,49 @@ def orderings(family: DataFrame) -> DataFrame:
     """Three-valued checks: divergence rises, and agreement falls, from broad pairs to mixed ones."""
     at = lambda c, m: F.max(F.when(F.col("pair_class") == c, F.col(m)))
     return family.agg((at("broad_targeted", "lexical_js") > at("broad_broad", "lexical_js")).alias("lexical_js_held"), (at("broad_broad", "rho") > at("broad_targeted", "rho")).alias("rho_held"))
+
+
+# Which class's mean should be the greater one, by metric.
+ORDERINGS = {
+    "lexical_js": ("broad_targeted", "broad_broad"),
+    "rho": ("broad_broad", "broad_targeted"),
+    "semantic_cluster_js": ("broad_targeted", "broad_broad"),
+    "compression_abs_diff": ("broad_targeted", "broad_broad"),
+    "top1_abs_diff": ("broad_targeted", "broad_broad"),
+    "top5_abs_diff": ("broad_targeted", "broad_broad"),
+}
+
+
+def finite_mean(column: str) -> Column:
+    """The mean of the values that are numbers and finite; null without any."""
+    x = F.col(column).cast("double")
+    return F.avg(F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x))
+
+
+def long_form(family: DataFrame, metrics: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(<by>, pair_class, metric, value) of a family's columns."""
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))
+    return family.select(*by, "pair_class", rows.alias("x")).select(*by, "pair_class", "x.*")
+
+
+def _classes(family: DataFrame, metrics: list[str], by: tuple[str, ...]) -> DataFrame:
+    at = lambda c: F.max(F.when(F.col("pair_class") == c, F.col("value")))
+    return long_form(family, metrics, by).groupBy(*by, "metric").agg(at("broad_broad").alias("bb"), at("broad_targeted").alias("bt"))
+
+
+def checks(family: DataFrame, metrics: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(<by>, metric, lhs, rhs, held) of every metric's ordering; false where a mean is missing."""
+    up = F.col("metric").isin([m for m, (lhs, _) in ORDERINGS.items() if lhs == "broad_targeted"])
+    lhs, rhs = F.when(up, F.col("bt")).otherwise(F.col("bb")), F.when(up, F.col("bb")).otherwise(F.col("bt"))
+    return _classes(family, metrics, by).select(*by, "metric", lhs.alias("lhs"), rhs.alias("rhs"), F.coalesce(lhs > rhs, F.lit(False)).alias("held"))
+
+
+def held_counts(checked: DataFrame) -> DataFrame:
+    """(metric, held, total): over replicates or settings, how often each ordering held."""
+    return checked.groupBy("metric").agg(F.count_if("held").alias("held"), F.count("*").alias("total"))
+
+
+def separations(family: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, multiplier): mixed over broad means; agreement (rho) as distance from 1. Null without a broad mean above 0."""
+    of = lambda c: F.when(F.col("metric") == "rho", 1 - F.col(c)).otherwise(F.col(c))
+    return _classes(family, metrics, ()).select("metric", F.try_divide(of("bt"), of("bb")).alias("multiplier"))

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataform.functions.text import draw
+from strataform.functions.text import draw, strip
+
+
+def with_text(docs: DataFrame) -> DataFrame:
+    """Documents whose text holds more than white space; all, if the frame has no text."""
+    return docs.filter(F.coalesce(strip("text"), F.lit("")) != "") if "text" in docs.columns else docs
 
 
 def prefix(docs: DataFrame, most: int, skip: int = 0, order: str = "doc_id") -> DataFrame:
-    """Each corpus's first ``most`` documents without the first ``skip`` of them."""
+    """Each corpus's first ``most`` documents without the first ``skip`` of them; a document after those is taken in any case.
+
+    Ordinals count from the first document, skipped ones included. Blank documents (of a frame with ``text``) don't count.
+    """
+    docs, most = with_text(docs), max(most, skip + 1)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(order))
     first = docs.withColumn("_rank", rank).filter(F.col("_rank") <= most)  # every task cuts its ranks before the shuffle
     return first.filter(F.col("_rank") > skip).withColumn("source_document_index", F.col("_rank").cast("long") - 1).drop("_rank")
@@ -17,13 +26,22 @@ def prefix(docs: DataFrame, most: int, skip: int = 0, order: str = "doc_id") ->
 
 def reservoir(docs: DataFrame, size: int, seed: int, order: str = "doc_id") -> DataFrame:
     """A uniform sample of ``size`` documents of each corpus: the smallest seeded digests, whose rank is the
-    shuffled order in which they are consumed."""
+    shuffled order in which they are consumed. Blank documents (of a frame with ``text``) aren't drawn."""
+    docs = with_text(docs)
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), "label", F.col(order).cast("string")).cast("binary"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_key", order))
     first = docs.withColumn("_key", key).withColumn("_rank", rank).filter(F.col("_rank") <= size)  # as in ``prefix``
     return first.withColumn("document_sample_rank", F.col("_rank").cast("long") - 1).drop("_key", "_rank")
 
 
+def scanned(docs: DataFrame, most: int, skip: int = 0, order: str = "doc_id") -> DataFrame:
+    """What a reservoir draws from: each corpus's first ``most`` documents (at least one) behind the first ``skip``, numbered
+    from 0 behind those."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(order))
+    first = with_text(docs).withColumn("_rank", rank).filter(F.col("_rank") <= skip + max(most, 1))
+    return first.filter(F.col("_rank") > skip).withColumn("source_document_index", F.col("_rank").cast("long") - 1 - skip).drop("_rank")
+
+
 def bootstrap_draws(sizes: DataFrame, replicates: DataFrame, seed: int) -> DataFrame:
     """(replicate, label, chunk_index, times): n draws with replacement from each corpus's n chunks (label, n)."""
     slots = sizes.select("label", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")).join(replicates)

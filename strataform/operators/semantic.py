@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from strataform.config import CLUSTER_SEEDS, CLUSTERS
 from strataform.operators.lexical import smoothed_js
 
-#: Vectors of a pair that are clustered in one task; larger pairs are fitted by MLlib over the cluster.
-IN_TASK = 100_000
+#: Vectors of a pair that centres are fitted to: a seeded uniform sample of a pair that has more.
+FITTED = 100_000
 #: Quantiles at which sorted projections of corpora of any size are compared.
 GRID = 32
 #: Values of a corpus and projection that a task compares at once.
@@ -48,20 +48,23 @@ def centroid_distances(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", "pair_class", (1 - F.col("xy") / (one("nx") * one("ny"))).alias("centroid_cosine_distance"), "centroid_l2_distance")
 
 
-def spectrum(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(label, n, total_variance, top1_share, top5_share) of the sample covariance.
+def spectrum(vectors: DataFrame, column: str = "embedding", by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """(<by>, label, n, total_variance, top1_share, top5_share) of the sample covariance.
 
-    Tasks add up each corpus's products (one fixed-size row a corpus and task), which meet by corpus.
+    Tasks add up each corpus's products (one fixed-size row a corpus and task), which meet by corpus. ``times`` names a
+    column that says how often a vector counts; ``by`` names further keys, such as a replicate.
     """
+    keys = [*by, "label"]
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for f in frames:
-            for label, g in f.groupby("label", dropna=False):
+            for key, g in f.groupby(keys, dropna=False):
                 x = np.stack(g[column].to_numpy()).astype(np.float64)
-                n, s, p = sums.get(label, (0, 0.0, 0.0))
-                sums[label] = (n + len(x), s + x.sum(0), p + x.T @ x)
-        yield pd.DataFrame([(k, n, s.tobytes(), p.tobytes()) for k, (n, s, p) in sums.items()], columns=["label", "n", "s", "p"])
+                w = g[times].to_numpy(np.float64) if times else np.ones(len(x))
+                n, s, p = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = (n + int(w.sum()), s + w @ x, p + (x * w[:, None]).T @ x)
+        yield pd.DataFrame([(*k, n, s.tobytes(), p.tobytes()) for k, (n, s, p) in sums.items()], columns=[*keys, "n", "s", "p"])
 
     def whole(f: pd.DataFrame) -> pd.DataFrame:
         n = int(f["n"].sum())
@@ -69,11 +72,11 @@ def spectrum(vectors: DataFrame, column: str = "embedding") -> DataFrame:
         p = sum(np.frombuffer(x) for x in f["p"]).reshape(len(s), len(s))
         values = np.clip(np.linalg.eigvalsh((p - np.outer(s, s) / n) / max(1, n - 1))[::-1], 0, None)
         total = float(values.sum())
-        return pd.DataFrame([(f["label"].iloc[0], n, total, float(values[0] / total) if total else 0.0, float(values[:5].sum() / total) if total else 0.0)], columns=["label", "n", "total_variance", "top1_share", "top5_share"])
+        return pd.DataFrame([(*(f[k].iloc[0] for k in keys), n, total, float(values[0] / total) if total else 0.0, float(values[:5].sum() / total) if total else 0.0)], columns=[*keys, "n", "total_variance", "top1_share", "top5_share"])
 
-    kind = dict(vectors.dtypes)["label"]
-    parts = vectors.select("label", column).mapInPandas(partial, f"label {kind}, n long, s binary, p binary")
-    return parts.groupBy("label").applyInPandas(whole, f"label {kind}, n long, total_variance double, top1_share double, top5_share double")
+    kinds = ", ".join(f"{k} {dict(vectors.dtypes)[k]}" for k in keys)
+    parts = vectors.select(*keys, column, *([times] if times else [])).mapInPandas(partial, f"{kinds}, n long, s binary, p binary")
+    return parts.groupBy(*keys).applyInPandas(whole, f"{kinds}, n long, total_variance double, top1_share double, top5_share double")
 
 
 def total_variance(vectors: DataFrame) -> DataFrame:
@@ -81,8 +84,8 @@ def total_variance(vectors: DataFrame) -> DataFrame:
 
 
 def lloyd(x: np.ndarray, k: int, seeds: int) -> np.ndarray:
-    """The labels of the best of several k-means runs."""
-    best, cost = np.zeros(len(x), int), math.inf
+    """The centres of the best of several k-means runs."""
+    best, cost = x[:1], math.inf
     k = max(2, min(k, len(x)))
     sq = (x * x).sum(1)
     for seed in range(seeds):
@@ -104,33 +107,44 @@ def lloyd(x: np.ndarray, k: int, seeds: int) -> np.ndarray:
             c = new
         inertia = float(np.maximum(d[np.arange(len(x)), own], 0).sum())
         if inertia < cost:
-            best, cost = own, inertia
+            best, cost = c, inertia
     return best
 
 
-def pair_clusters(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS, column: str = "embedding") -> DataFrame:
-    """(a, b, label, vec_id, cluster): k-means over the pooled vectors of every pair, fitted once."""
+def pair_centres(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS, column: str = "embedding") -> DataFrame:
+    """(a, b, centres): k-means over the pooled vectors of every pair; of more than ``FITTED`` the least by a seeded digest."""
     kind = dict(vectors.dtypes)["label"]
-    most = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("label")).join(vectors.select("label", "vec_id", column), "label")
-    if 2 * most <= IN_TASK:
-
-        def fit(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values(["label", "vec_id"])
-            own = lloyd(np.stack(f[column].to_numpy()).astype(np.float64), k, seeds)
-            return f[["a", "b", "label", "vec_id"]].assign(cluster=own)
-
-        return sides.groupBy("a", "b").applyInPandas(fit, f"a {kind}, b {kind}, label {kind}, vec_id long, cluster int")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    out = None
-    for r in pairs.select("a", "b").distinct().collect():
-        rows = sides.filter((F.col("a") == r.a) & (F.col("b") == r.b)).withColumn("features", array_to_vector(column))
-        model = min((KMeans(k=max(2, k), seed=s).fit(rows) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-        part = model.transform(rows).select("a", "b", "label", "vec_id", F.col("prediction").alias("cluster"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    order = Window.partitionBy("a", "b").orderBy(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("vec_id").cast("string")).cast("binary")), "label", "vec_id")
+    sample = sides.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= FITTED).drop("_rank")
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["label", "vec_id"])
+        c = lloyd(np.stack(f[column].to_numpy()).astype(np.float64), k, seeds)
+        return pd.DataFrame({"a": f["a"].iloc[:1], "b": f["b"].iloc[:1], "centres": [[list(r) for r in c]]})
+
+    return sample.groupBy("a", "b").applyInPandas(fit, f"a {kind}, b {kind}, centres array<array<double>>")
+
+
+def pair_clusters(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS, column: str = "embedding") -> DataFrame:
+    """(a, b, label, vec_id, cluster): every vector's nearest centre, for each pair of its corpus.
+
+    Centres reach the workers through the driver: ``k`` rows a pair, whatever the number of vectors, which aren't shuffled.
+    """
+    kind = dict(vectors.dtypes)["label"]
+    fitted = [(r.a, r.b, np.array(r.centres)) for r in pair_centres(vectors, pairs, k, seeds, column).collect()]
+    shared = vectors.sparkSession.sparkContext.broadcast(fitted)
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for label, g in f.groupby("label"):
+                x = np.stack(g[column].to_numpy()).astype(np.float64)
+                for a, b, c in shared.value:
+                    if label in (a, b):
+                        own = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
+                        yield pd.DataFrame({"a": a, "b": b, "label": label, "vec_id": g["vec_id"].to_numpy(), "cluster": own.astype(np.int32)})
+
+    return vectors.select("label", "vec_id", column).mapInPandas(assign, f"a {kind}, b {kind}, label {kind}, vec_id long, cluster int")
 
 
 def occupancy_js(assigned: DataFrame, k: int | None = None, times: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:

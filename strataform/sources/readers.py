@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.config import CHUNK_CHARS
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source_ref, block, line_no, line): the physical lines of text files (gzip too) from 1, line ends \\n or \\r\\n.
+
+    Files are read in splits; lines are numbered within their split, and splits (one row each) by the lines before them, so
+    that neither a file nor its numbering is one task.
+    """
+    meta = "_metadata.file_path AS source_ref", "_metadata.file_block_start AS block"
+    rows = spark.read.option("lineSep", "\n").text(paths).selectExpr(*meta, "regexp_replace(value, '\\r$', '') AS line").withColumn("_id", F.monotonically_increasing_id())
+    return placed(rows, ["source_ref"], "line_no").withColumn("line_no", F.col("line_no") + 1).drop("_id")
+
+
+def placed(rows: DataFrame, within: list[str], name: str) -> DataFrame:
+    """``rows`` (source_ref, block, _id) numbered from 0 in the order of file, split and place, restarting with ``within``."""
+    inside = F.row_number().over(Window.partitionBy("source_ref", "block").orderBy("_id")).cast("long") - 1
+    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("source_ref", "block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = rows.groupBy("source_ref", "block").agg(F.count("*").alias("_n")).select("source_ref", "block", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.withColumn(name, inside).join(splits, ["source_ref", "block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
 def json_lines(spark: SparkSession, glob: str) -> DataFrame:
     """(source_ref, line_no, source_index, row): objects of JSON-lines files (gzip too); blank, malformed and other
     lines are skipped. ``line_no`` is the physical line from 1, ``source_index`` counts kept rows of all files in order.
     """
-    lines = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("source_ref"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    rows = parsed(lines.withColumn("line_no", (F.col("pos") + 1).cast("long")), "line").drop("pos", "line")
-    return indexed(rows, ["source_ref", "line_no"])
+    rows = parsed(numbered_lines(spark, glob), "line").withColumn("_id", F.col("line_no"))
+    return placed(rows, [], "source_index").select("source_ref", "line_no", "source_index", "row")
+
+
+def json_document(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document a file, over any number of lines; a malformed one is an error."""
+    return spark.read.option("mode", "FAILFAST").json(path, multiLine=True)
 
 
 def parsed(lines: DataFrame, column: str) -> DataFrame:
@@ -24,25 +47,15 @@ def parsed(lines: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col("row").isNotNull() & F.col("_more").isNull() & F.startswith(F.schema_of_variant("row"), F.lit("OBJECT"))).drop("_more")
 
 
-def indexed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``source_index`` from 0 in the given order: counts by file first, then places within files."""
-    from pyspark.sql import Window
-
-    first, *_ = order
-    per = rows.groupBy(first).count().select(first, F.sum("count").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy(first).orderBy(*order)) - 1
-    return rows.withColumn("_at", at).join(per, first).withColumn("source_index", (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_at", "_before")
-
-
 def text_files(spark: SparkSession, glob: str) -> DataFrame:
     """One document a file."""
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("source_ref"), F.col("value").alias("text"))
 
 
 def table(spark: SparkSession, path: str, field: str = "text", shuffle_seed: int | None = None) -> DataFrame:
-    """A landed copy of a dataset; a seed gives a reproducible order column instead of a shuffle buffer."""
+    """A landed copy of a dataset; a seed gives its rows in a reproducible random order, in place of a shuffle buffer."""
     rows = spark.read.parquet(path)
-    return rows if shuffle_seed is None else rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(shuffle_seed)), field).cast("binary")))
+    return rows if shuffle_seed is None else rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(shuffle_seed)), field).cast("binary"))).orderBy("shuffle_key", field)
 
 
 def component_of(url: Column | str) -> Column:
@@ -62,14 +75,39 @@ def shards(spark: SparkSession, urls: DataFrame, include: str | None = None, exc
     """
     from strataform.operators.extract import components
 
-    picked = components(urls.withColumn("component", component_of("url")), csv_set(include), csv_set(exclude))
-    picked = picked.withColumn("source_shard_index", F.lit(0)) if seed is None else picked.withColumn("shard_key", F.md5(F.concat_ws("|", F.lit(str(seed)), "url").cast("binary")))
-    paths = [r.url for r in picked.select("url").distinct().collect()]
+    picked = components(urls.withColumn("component", component_of("url")), csv_set(include), csv_set(exclude)).select("url").distinct()
+    key = F.col("url") if seed is None else F.md5(F.concat_ws("|", F.lit(str(seed)), "url").cast("binary"))
+    paths = [r.url for r in picked.orderBy(key, "url").collect()]  # a manifest's urls: what a reader must be told anyway
     if not paths:
-        return spark.createDataFrame([], "source_ref string, source_shard_row_index long, row variant")
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_ref"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).withColumn("source_shard_row_index", F.col("i").cast("long"))
+        return spark.createDataFrame([], "source_ref string, source_shard_index int, source_shard_row_index long, row variant")
+    order = spark.createDataFrame([(p.split("://")[-1].lstrip("/").removeprefix("localhost/"), i) for i, p in enumerate(paths)], "_tail string, source_shard_index int")
+    lines = numbered_lines(spark, paths).withColumn("source_shard_row_index", F.col("line_no") - 1)
     capped = lines if per_shard is None else lines.filter(F.col("source_shard_row_index") < per_shard)
-    return parsed(capped, "line").select("source_ref", "source_shard_row_index", "row")
+    tail = F.regexp_replace("source_ref", "^[A-Za-z0-9]+:/+", "")
+    return parsed(capped.withColumn("_tail", tail), "line").join(F.broadcast(order), "_tail", "left").select("source_ref", "source_shard_index", "source_shard_row_index", "row")
+
+
+def cached_paths(spark: SparkSession, folder: str, labels: list[str]) -> dict[str, tuple[str, str]]:
+    """Each corpus's chunks and vectors in a cache folder, in a folder of its own or under its name; raises with all that are missing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda p: (q := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(q)
+    out, missing = {}, []
+    for label in labels:
+        files = [nested if there(nested := f"{folder}/{label}/{kind}") else f"{folder}/{label}.{kind}" for kind in ("chunks.json", "embeddings.npy")]
+        missing += [p for p in files if not there(p)]
+        out[label] = tuple(files)
+    if missing:
+        raise FileNotFoundError("missing: " + ", ".join(missing))
+    return out
+
+
+def cached_chunks(spark: SparkSession, paths: dict[str, tuple[str, str]]) -> DataFrame:
+    """(label, chunk_index, text) of the chunk lists that ``cached_paths`` found."""
+    out = None
+    for label, (chunks, _) in paths.items():
+        rows = spark.read.text(chunks, wholetext=True).select(F.lit(label).alias("label"), F.posexplode(F.from_json("value", "array<string>")).alias("chunk_index", "text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def source(spark: SparkSession, spec: dict, base: str = ".") -> DataFrame:
@@ -81,7 +119,7 @@ def source(spark: SparkSession, spec: dict, base: str = ".") -> DataFrame:
     if kind in ("text", "text_glob", "local_text"):
         return text_files(spark, where)
     if kind in ("table", "hf", "parquet"):
-        return table(spark, where, spec.get("field", "text"))
+        return table(spark, where, spec.get("field") or "text", spec.get("shuffle_seed"))
     if kind in ("url_manifest", "shards"):
         return shards(spark, spark.read.text(where).select(F.col("value").alias("url")), spec.get("include"), spec.get("exclude"), spec.get("rows_per_shard"), spec.get("seed"))
     raise ValueError(f"unknown source_type {kind!r}")
@@ -89,7 +127,7 @@ def source(spark: SparkSession, spec: dict, base: str = ".") -> DataFrame:
 
 def recipe(spark: SparkSession, path: str) -> DataFrame:
     """A panel's corpora with defaults filled in: a corpus's value, else the panel's, else the constant."""
-    doc = spark.read.json(path, multiLine=True)
+    doc = json_document(spark, path)
     defaults = {f.name for f in doc.schema["defaults"].dataType.fields} if "defaults" in doc.columns else set()
     rows = doc.select(F.col("defaults") if defaults else F.lit(None).alias("defaults"), F.posexplode("corpora").alias("ord", "c"))
     own = {f.name for f in rows.schema["c"].dataType.fields}
@@ -100,7 +138,7 @@ def recipe(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str, base: str, required: tuple[str, ...] = ("chunks", "embeddings")) -> DataFrame:
     """A manifest's corpora in order, paths resolved; raises with every path that is named but missing."""
-    rows = spark.read.json(path, multiLine=True).select(F.posexplode("corpora").alias("ord", "c")).select("ord", "c.*")
+    rows = json_document(spark, path).select(F.posexplode("corpora").alias("ord", "c")).select("ord", "c.*")
     for c in (c for c in required if c in rows.columns):
         rows = rows.withColumn(c, F.when(F.col(c).contains("://") | F.col(c).startswith("/"), F.col(c)).otherwise(F.concat(F.lit(base + "/"), c)))
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_json(value: object, path: str | Path) -> None:
@@ -46,6 +47,33 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
 
 
+def report(title: str, notes: list[str], sections: dict[str, DataFrame]) -> str:
+    """A report: a title, notes as a list, and a table under a heading for each frame."""
+    parts = [f"# {title}\n", "".join(f"- {n}\n" for n in notes)]
+    parts += [markdown(df, name).replace("# ", "## ", 1) for name, df in sections.items()]
+    return "\n".join(p for p in parts if p)
+
+
+def write_vectors(df: DataFrame, path: str | Path, column: str = "embedding") -> tuple[int, int]:
+    """One corpus's vectors in the order of ``vec_id`` as a two-dimensional .npy file; rows pass one partition at a time.
+
+    Returns the shape. No vectors give no rows and no columns.
+    """
+    import numpy as np
+
+    shape = df.agg(F.count("*").alias("n"), F.max(F.size(column)).alias("d")).first()
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if not shape.n:
+        np.save(path, np.zeros((0, 0), np.float32))
+        return 0, 0
+    out = np.lib.format.open_memmap(path, "w+", np.float32, (shape.n, shape.d))
+    for i, r in enumerate(df.select("vec_id", column).orderBy("vec_id").toLocalIterator()):
+        out[i] = r[1]
+    out.flush()
+    return shape.n, shape.d
+
+
 def package(folder: str | Path, target: str | Path) -> None:
     """A deflated archive of a folder, in the order of names."""
     folder = Path(folder)
