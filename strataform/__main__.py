@@ -1,4 +1,4 @@
-"""Command line: python -m strataform queries | run NAME SF_DIR OUT | chunks RECIPE OUT | matrix CHUNKS PANEL OUT."""
+"""Command line: python -m strataform queries | run NAME SF_DIR OUT | chunks RECIPE OUT | matrix CHUNKS PANEL OUT | battery RECIPE OUT."""
 
 from __future__ import annotations
 
@@ -20,16 +20,23 @@ def main() -> None:
     chunks.add_argument("out")
     chunks.add_argument("--base", default=".")
     chunks.add_argument("--labels", type=lambda s: [x.strip() for x in s.split(",") if x.strip()])
-    chunks.add_argument("--prefix", action="store_true", help="take documents in order instead of a seeded sample")
+    chunks.add_argument("--sampling", choices=("prefix", "reservoir"), help="overrules the recipe's sampling_mode")
     chunks.add_argument("--allow-short", action="store_true")
     chunks.add_argument("--overwrite", action="store_true")
     matrix = sub.add_parser("matrix")
     matrix.add_argument("chunks")
     matrix.add_argument("panel", help="Parquet of label, ord, role")
     matrix.add_argument("out")
+    battery = sub.add_parser("battery", help="all analyses of a recipe; steps whose folder is there are left out")
+    battery.add_argument("recipe")
+    battery.add_argument("out")
+    battery.add_argument("--base", default=".")
+    battery.add_argument("--replicates", type=int, default=200)
+    battery.add_argument("--repeats", type=int, default=50)
+    battery.add_argument("--allow-short", action="store_true")
     args = ap.parse_args()
 
-    from strataform.plans import analyses, oracles, queries  # noqa: F401
+    from strataform.plans import analyses, measures, oracles, queries  # noqa: F401
     from strataform.catalog import QUERIES
 
     if args.what == "queries":
@@ -39,7 +46,9 @@ def main() -> None:
     if args.what == "run":
         QUERIES[args.name](spark, args.sf_dir).write.parquet(args.out)
     elif args.what == "chunks":
-        analyses.build_chunks(spark, args.recipe, args.out, args.base, args.labels, not args.prefix, args.overwrite, args.allow_short)
+        analyses.build_chunks(spark, args.recipe, args.out, args.base, args.labels, None if args.sampling is None else args.sampling == "reservoir", args.overwrite, args.allow_short)
+    elif args.what == "battery":
+        print("\n".join(analyses.battery(spark, args.recipe, args.out, args.base, replicates=args.replicates, repeats=args.repeats, allow_short=args.allow_short)))
     else:
         from strataform.operators.semantic import embed
 

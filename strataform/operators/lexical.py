@@ -104,9 +104,11 @@ def cells(vocab: DataFrame, counts: DataFrame, pairs: DataFrame, sizes: tuple[in
     return ranked.groupBy(*cell).agg(F.count("*").alias("grams"), F.sum(js).alias("js"), rank_correlation("rx", "ry").alias("rho"))
 
 
-def lexical_pairs(cell_rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, lexical_js, rho): means over a pair's settings; an undefined agreement doesn't count."""
-    return cell_rows.groupBy("a", "b", *extra).agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho"))
+def lexical_pairs(cell_rows: DataFrame, extra: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """(a, b, lexical_js, rho): means over a pair's settings; an undefined agreement doesn't count, or with ``strict`` makes
+    the mean NaN."""
+    rho = F.when(F.count("rho") < F.count("*"), F.lit(float("nan"))).otherwise(F.avg("rho")) if strict else F.avg("rho")
+    return cell_rows.groupBy("a", "b", *extra).agg(F.avg("js").alias("lexical_js"), rho.alias("rho"))
 
 
 def ordinal_metrics(counts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:

@@ -6,13 +6,16 @@ A panel is (label, ord, role); chunks are (label, doc_id, chunk_in_document, chu
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.config import CLUSTERS, MAX_CHUNKS, METRICS, PROJECTIONS, RESERVOIR_DOCUMENTS, SAMPLE_SEED, Chunking
+from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
+from strataform.functions.text import strip
 from strataform.operators import chunking, compression, extract, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.plans.held import held, release
 from strataform.sources import readers, sinks
 
 
@@ -38,28 +41,84 @@ def documents(spark: SparkSession, spec: dict, base: str = ".") -> DataFrame:
     return out.select(F.lit(spec["label"]).alias("label"), number.alias("doc_id"), "text")
 
 
-def build_chunks(spark: SparkSession, recipe: str, out: str, base: str = ".", labels: list[str] | None = None, reservoir: bool = True, overwrite: bool = False, allow_short: bool = False) -> None:
-    """Chunks, provenance and statistics of a recipe's corpora, as Parquet below ``out``."""
-    specs = [r.asDict() for r in readers.recipe(spark, recipe).orderBy("ord").collect()]
-    docs = None
-    for spec in specs:
+@dataclass(frozen=True)
+class Settings:
+    """How one corpus is sampled and cut; ``sampling``: prefix (in order) or reservoir (a seeded uniform sample in random order)."""
+
+    documents: int = MAX_DOCUMENTS
+    chunks: int = MAX_CHUNKS
+    chars: int = CHUNK_CHARS
+    per_document: int = MAX_CHUNKS_PER_DOCUMENT
+    skip: int = 0
+    sampling: str = "prefix"
+    seed: int = SAMPLE_SEED
+    scan: int | None = None
+    reservoir: int | None = None
+    short: bool = False
+
+    @staticmethod
+    def of(spec: dict, **given) -> Settings:
+        """What is given, else what a recipe says, else the constants."""
+        names = {
+            "documents": "max_documents", "chunks": "max_chunks", "chars": "chunk_chars", "per_document": "max_chunks_per_source_document", "skip": "skip_nonempty_documents", "sampling": "sampling_mode",
+            "seed": "sample_seed", "scan": "sample_scan_documents", "reservoir": "sample_reservoir_documents", "short": "allow_short",
+        }
+        said = {k: spec[n] for k, n in names.items() if spec.get(n) is not None}
+        own = Settings(**said | {k: v for k, v in given.items() if v is not None})
+        if own.sampling not in ("prefix", "reservoir"):
+            raise ValueError(f"unknown sampling_mode {own.sampling!r}")
+        return replace(own, scan=own.scan or own.documents, reservoir=own.reservoir or max(own.documents, 4 * own.chunks))
+
+
+def corpus_chunks(docs: DataFrame, s: Settings) -> DataFrame:
+    """A corpus's chunks (label, doc_id, text) with their provenance, numbered by ``chunk_index`` within the budget.
+
+    Ordinals of documents count those that aren't blank: skipped ones included in a prefix, only those behind them in a reservoir.
+    """
+    if s.sampling == "prefix":
+        picked, order = sampling.prefix(docs, s.documents, s.skip).withColumn("document_sample_rank", F.lit(None).cast("long")), "source_document_index"
+    else:
+        picked, order = sampling.reservoir(sampling.scanned(docs, s.scan, s.skip), s.reservoir, s.seed), "document_sample_rank"
+    rule = Chunking(s.chars, s.per_document, s.chunks, s.documents)
+    body = picked.withColumn("text", strip("text"))
+    facts = body.select("label", "doc_id", "source_document_index", "document_sample_rank", F.sha2("text", 256).alias("source_text_sha256"), F.length("text").cast("long").alias("source_text_chars"), F.posexplode(chunking.windows(F.col("text"), rule)).alias("chunk_in_document", "c"))
+    rows = facts.select("*", "c.char_start", "c.char_end", "c.text", F.sha2("c.text", 256).alias("chunk_sha256")).drop("c")
+    return chunking.budget(rows, s.chunks, order)
+
+
+def build_chunks(spark: SparkSession, recipe: str, out: str, base: str = ".", labels: list[str] | None = None, reservoir: bool | None = None, overwrite: bool = False, allow_short: bool = False, **given) -> None:
+    """Chunks, provenance, settings and statistics of a recipe's corpora, as Parquet below ``out``.
+
+    Every corpus has the settings of its own entry, of the recipe's defaults or the constants; ``given`` (fields of ``Settings``)
+    overrule all. Chunks and provenance are joined by (label, chunk_index). A corpus that falls short of its chunks, unless
+    it may, is an error before anything is written.
+    """
+    mode = None if reservoir is None else "reservoir" if reservoir else "prefix"
+    made, docs, seen, asked = None, None, None, []
+    for spec in (r.asDict() for r in readers.recipe(spark, recipe).orderBy("ord").collect()):
         if labels is None or spec["label"] in labels:
-            part = documents(spark, spec, base)
-            docs = part if docs is None else docs.unionByName(part)
-    if docs is None:
+            s, rows = Settings.of(spec, sampling=mode, **given), documents(spark, spec, base)
+            part, read = corpus_chunks(rows, s), readers.source(spark, spec, base).select(F.lit(spec["label"]).alias("label"))
+            made, docs, seen = (part, rows, read) if made is None else (made.unionByName(part), docs.unionByName(rows), seen.unionByName(read))
+            asked.append((spec["label"], s))
+    if made is None:
         raise ValueError("the recipe has none of the labels")
-    rule = Chunking(per_document=2)
-    if reservoir:
-        docs = sampling.reservoir(docs, RESERVOIR_DOCUMENTS, SAMPLE_SEED).withColumn("sampled", F.col("document_sample_rank"))
-    else:
-        docs = sampling.prefix(docs, rule.documents or 2**62).withColumn("sampled", F.col("source_document_index"))
-    chunks = chunking.budget(chunking.chunk(docs.withColumn("order", F.col("sampled")), rule, "order"), rule.per_corpus or MAX_CHUNKS, "order").withColumnRenamed("order", "doc_id")
-    sinks.write_new(chunks, f"{out}/chunks", overwrite)
-    sinks.write_new(chunking.provenance(docs.select("label", "doc_id", "text"), rule), f"{out}/provenance", overwrite)
-    sinks.write_new(chunking.build_statistics(docs, rule), f"{out}/statistics", overwrite)
-    short = [r.label for r in chunking.short_corpora(spark.read.parquet(f"{out}/chunks"), rule.per_corpus or MAX_CHUNKS).collect()]
-    if short and not allow_short:
-        raise ValueError(f"too few chunks: {', '.join(sorted(short))}")
+    made = made.persist()
+    try:
+        n = {r.label: r["count"] for r in made.groupBy("label").count().collect()}
+        short = [label for label, s in asked if n.get(label, 0) < s.chunks and not (s.short or allow_short)]
+        if short:
+            raise ValueError(f"too few chunks: {', '.join(sorted(short))}")
+        settings = spark.createDataFrame([(label, s.documents, s.chunks, s.chars, s.per_document, s.skip, s.sampling, s.seed, s.scan, s.reservoir) for label, s in asked], "label string, max_documents long, max_chunks long, chunk_chars int, max_chunks_per_source_document int, skip_nonempty_documents long, sampling_mode string, sample_seed long, sample_scan_documents long, sample_reservoir_documents long")
+        sinks.write_new(made.select("label", "chunk_index", "doc_id", "chunk_in_document", "char_start", "char_end", "text"), f"{out}/chunks", overwrite)
+        sinks.write_new(made.drop("text").join(F.broadcast(settings.select("label", "sampling_mode", "sample_seed")), "label"), f"{out}/provenance", overwrite)
+        sinks.write_new(settings, f"{out}/settings", overwrite)
+        whole = docs.groupBy("label").agg(F.count_if(F.coalesce(strip("text"), F.lit("")) != "").alias("source_documents_extracted"))
+        known = seen.groupBy("label").agg(F.count("*").alias("source_rows_seen")).join(whole, "label", "left")
+        kept = made.groupBy("label").agg(F.countDistinct("doc_id").alias("source_documents_with_chunks"), F.count("*").alias("chunk_count"))
+        sinks.write_new(known.join(kept, "label", "left").fillna(0), f"{out}/statistics", overwrite)
+    finally:
+        made.unpersist()
 
 
 def standalone(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -102,9 +161,11 @@ def corpus_matrix(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, out:
     rows = spark.read.parquet(f"{out}/pairs")
     family(rows).write.mode("overwrite").parquet(f"{out}/family")
     pairs.directions(rows).write.mode("overwrite").parquet(f"{out}/directions")
-    pairs.orderings(spark.read.parquet(f"{out}/family")).write.mode("overwrite").parquet(f"{out}/orderings")
+    pairs.separations(spark.read.parquet(f"{out}/family"), list(METRICS)).write.mode("overwrite").parquet(f"{out}/separations")
+    pairs.checks(spark.read.parquet(f"{out}/family"), list(METRICS)).write.mode("overwrite").parquet(f"{out}/orderings")
     if "://" not in out:
-        Path(out, "summary.md").write_text(sinks.markdown(spark.read.parquet(f"{out}/family").orderBy("pair_class"), "Families"))
+        table = lambda name, *by: spark.read.parquet(f"{out}/{name}").orderBy(*by)
+        Path(out, "summary.md").write_text(sinks.report("Corpus matrix", [f"corpora: `{panel.count()}`"], {"Families": table("family", "pair_class"), "Directions": table("directions", F.lit(1)), "Orderings": table("orderings", "metric"), "Separation": table("separations", "metric"), "Corpora": table("standalone", "label")}))
 
 
 def bootstrap(panel: DataFrame, chunks: DataFrame, replicates: int, checkpoint: str, seed: int = 0, batch: int = 10) -> DataFrame:
@@ -125,6 +186,176 @@ def bootstrap(panel: DataFrame, chunks: DataFrame, replicates: int, checkpoint:
     return readers.checkpoint(spark, checkpoint, schema).filter(F.col("replicate") < replicates)
 
 
+def own_members(chunks: DataFrame) -> DataFrame:
+    """Every corpus as composed of its own chunks, each once."""
+    return chunks.select("label", F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times"))
+
+
+def composed_alone(chunks: DataFrame, vectors: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, n_chunks, lzma_ratio, total_variance, top1_share, top5_share, refusal_rate, marker_rate) of corpora composed of others' chunks.
+
+    ``members`` (label, of, chunk_index, times) says of which corpus which chunk is in ``label``, and how often.
+    """
+    texts = chunks.select(F.col("label").alias("of"), "chunk_index", "text").join(members, ["of", "chunk_index"])
+    order = texts.select("label", F.concat_ws("/", "of", F.format_string("%012d", "chunk_index")).alias("chunk_index"), "text", "times")
+    hit = lambda pattern: F.sum(F.when(F.col("text").rlike(pattern), F.col("times")).otherwise(0)) / F.sum("times")
+    rates = texts.groupBy("label").agg(F.sum("times").alias("n_chunks"), hit(extract.REFUSAL).alias("refusal_rate"), hit(extract.MARKER).alias("marker_rate"))
+    rows = vectors.select(F.col("label").alias("of"), F.col("vec_id").alias("chunk_index"), "embedding").join(members, ["of", "chunk_index"])
+    return rates.join(compression.ratios(order, ("lzma",), times="times"), "label").join(semantic.spectrum(rows, times="times").drop("n"), "label", "left")
+
+
+def composed_words(grams: DataFrame, members: DataFrame, pairs_: DataFrame, sizes: tuple[int, ...], strict: bool = False) -> DataFrame:
+    """(a, b, lexical_js, rho) of pairs of composed corpora, from grams by chunk (``resample.grid_grams``)."""
+    met = grams.withColumnRenamed("label", "of").join(members, ["of", "chunk_index"])
+    counts = met.groupBy("label", "tokenizer", "n", "gram").agg(F.sum(F.col("cnt") * F.col("times")).alias("cnt"), resample.earliest().alias("first"))
+    counts = held(counts)
+    return lexical.lexical_pairs(lexical.cells(lexical.vocabulary(counts, max(sizes)), counts, pairs_.select("a", "b"), sizes), strict=strict)
+
+
+def composed_clusters(vectors: DataFrame, members: DataFrame, pairs_: DataFrame, assigned: DataFrame | None = None, k: int = CLUSTERS) -> DataFrame:
+    """(a, b, semantic_cluster_js) of pairs of composed corpora.
+
+    With ``assigned`` (a, b, label, vec_id, cluster: partitions fitted once to pairs of whole corpora) the pairs name by ``a_of`` and
+    ``b_of`` whose partition counts; without, each pair has its own k-means. Clusters reach to the highest that is met.
+    """
+    sides = pairs_.select("*", F.explode(F.array("a", "b")).alias("label")).join(members, "label")
+    if assigned is None:
+        rows = vectors.select(F.col("label").alias("of"), F.col("vec_id").alias("chunk_index"), "embedding").join(members, ["of", "chunk_index"])
+        whole = rows.select("label", F.xxhash64("of", "chunk_index").alias("vec_id"), "embedding", "times").filter("times > 0")
+        own = semantic.pair_clusters(whole, pairs_.select("a", "b"), k)
+        return semantic.occupancy_js(own.join(whole.select("label", "vec_id", "times"), ["label", "vec_id"]), times="times")
+    known = assigned.select(F.col("a").alias("a_of"), F.col("b").alias("b_of"), F.col("label").alias("of"), F.col("vec_id").alias("chunk_index"), "cluster")
+    return semantic.occupancy_js(sides.join(known, ["a_of", "b_of", "of", "chunk_index"]), times="times")
+
+
+def composed_pairs(chunks: DataFrame, vectors: DataFrame, grams: DataFrame, members: DataFrame, pairs_: DataFrame, sizes: tuple[int, ...] = VOCABULARIES, assigned: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """``pairs_`` with the six metrics of composed corpora."""
+    alone = composed_alone(chunks, vectors, members).withColumnsRenamed({"lzma_ratio": "compression", "top1_share": "top1", "top5_share": "top5"})
+    out = compression.gaps(alone, pairs_, ["compression", "top1", "top5"])
+    out = out.join(composed_words(grams, members, pairs_, sizes, strict), ["a", "b"], "left")
+    return out.join(composed_clusters(vectors, members, pairs_, assigned), ["a", "b"], "left")
+
+
+def drawn(draws: DataFrame, key: str = "replicate") -> DataFrame:
+    """Draws (key, label, chunk_index, times) as members of corpora named label@key."""
+    return draws.select(F.concat_ws("@", "label", F.col(key).cast("string")).alias("label"), F.col("label").alias("of"), "chunk_index", "times")
+
+
+def bootstrap_metrics(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, replicates: int, seed: int = 0, k: int = CLUSTERS, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
+    """(replicate, a, b, pair_class, <six metrics>), in the order of replicates: chunks and vectors are drawn together with replacement,
+    and clusters are fitted once a pair to the whole corpora. An undefined agreement makes the pair's NaN."""
+    p, spark = pairs.unordered(panel), panel.sparkSession
+    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
+    draws = sampling.bootstrap_draws(chunks.join(panel.select("label"), "label").groupBy("label").agg(F.count("*").alias("n")), reps, seed)
+    name = lambda c: F.concat_ws("@", c, F.col("replicate").cast("string"))
+    wanted = p.crossJoin(reps).select("replicate", "pair_class", F.col("a").alias("a_of"), F.col("b").alias("b_of"), name("a").alias("a"), name("b").alias("b"))
+    out = composed_pairs(chunks, vectors, resample.grid_grams(chunks, tokenizers, orders), drawn(draws), wanted, sizes, semantic.pair_clusters(vectors, p, k), strict=True)
+    return out.select("replicate", F.col("a_of").alias("a"), F.col("b_of").alias("b"), "pair_class", *METRICS).orderBy("replicate", "a", "b")
+
+
+def bootstrap_summary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quantiles over replicates of every metric's family means, and how often each ordering held."""
+    family_ = rows.groupBy("replicate", "pair_class").agg(*(F.avg(m).alias(m) for m in METRICS))
+    return resample.summary(family_, list(METRICS)), pairs.held_counts(pairs.checks(family_, list(METRICS), ("replicate",)))
+
+
+def split_metrics(chunks: DataFrame, vectors: DataFrame, repeats: int, seed: int = 0, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
+    """(label, repeat, <six metrics>) between the random halves of each corpus; ``resample.split_summary`` sums up."""
+    reps = chunks.sparkSession.range(repeats).withColumnRenamed("id", "repeat")
+    halves = sampling.halves(chunks, reps, seed)
+    name = lambda half: F.concat_ws("@", "label", F.col("repeat").cast("string"), half)
+    members = halves.select(name(F.col("half")).alias("label"), F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times"))
+    wanted = chunks.select("label").distinct().crossJoin(reps).select(F.col("label").alias("corpus"), "repeat", name(F.lit("A")).alias("a"), name(F.lit("B")).alias("b"))
+    out = composed_pairs(chunks, vectors, resample.grid_grams(chunks, tokenizers, orders), members, wanted, sizes)
+    return out.select(F.col("corpus").alias("label"), "repeat", *METRICS)
+
+
+def mixture_panel(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alphas: tuple[float, ...] = ALPHAS, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
+    """(base, target, alpha, rho, lexical_js, semantic_cluster_js, top1_share, top5_share, lzma_ratio, refusal_rate, marker_rate) of
+    every targeted corpus's mixtures with every other; the unmixed one is pinned to divergence 0 and agreement 1."""
+    spark, targeted = panel.sparkSession, panel.filter("role = 'targeted'")
+    own = chunks.join(targeted.select("label"), "label")
+    p = pairs.ordered(targeted).select(F.col("a").alias("base"), F.col("b").alias("target"))
+    plan = sampling.mixture(own, p, spark.createDataFrame([(a,) for a in alphas], "alpha double"))
+    name = F.concat_ws("@", "base", "target", F.col("alpha").cast("string"))
+    members = own_members(own).unionByName(plan.select(name.alias("label"), F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times")))
+    wanted = p.crossJoin(spark.createDataFrame([(a,) for a in alphas], "alpha double")).select("*", F.col("base").alias("a"), name.alias("b"))
+    mixed = wanted.filter("alpha > 0")
+    words = composed_words(resample.grid_grams(own, tokenizers, orders), members, mixed, sizes)
+    clusters = composed_clusters(vectors, members, mixed)
+    alone = composed_alone(chunks, vectors, members).withColumnRenamed("label", "b")
+    out = wanted.join(alone, "b").join(words, ["a", "b"], "left").join(clusters, ["a", "b"], "left")
+    pinned = lambda m, v: F.when(F.col("alpha") == 0, F.lit(v)).otherwise(F.col(m)).alias(m)
+    return out.select("base", "target", "alpha", pinned("rho", 1.0), pinned("lexical_js", 0.0), pinned("semantic_cluster_js", 0.0), "top1_share", "top5_share", "lzma_ratio", "refusal_rate", "marker_rate")
+
+
+def textual_grid(panel: DataFrame, chunks: DataFrame, codecs: tuple[str, ...] = ("gzip", "lzma", "zlib"), tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
+    """One row a (tokenizer, n, v, codec): for each group of directed pairs (bb, bt, tb, tt) their number, mean divergence, agreement and signed
+    compression gap, means of finite values alone, and whether the two orderings hold."""
+    directed = pairs.directed(panel).withColumn("grp", F.when(F.col("pair_class") == "broad_broad", "bb").when(F.col("pair_class") == "targeted_targeted", "tt").when(F.col("direction") == "forward", "bt").otherwise("tb"))
+    counts = held(lexical.gram_counts(chunks, tokenizers, orders))
+    cells = lexical.cells(lexical.vocabulary(counts, max(sizes)), counts, directed.select("a", "b"), sizes).join(directed.select("a", "b", "grp"), ["a", "b"])
+    names = ["bb", "bt", "tb", "tt"]
+    words = cells.groupBy("tokenizer", "n", "v").pivot("grp", names).agg(pairs.finite_mean("js").alias("lexical_js"), pairs.finite_mean("rho").alias("rho"))
+    values = compression.ratios(sampling.reservoir(chunks, MAX_CHUNKS, SAMPLE_SEED, "chunk_index"), codecs)
+    gaps = compression.gaps(values, directed.select("a", "b", "grp"), [f"{c}_ratio" for c in codecs], signed=True)
+    long = gaps.select("grp", F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), F.col(f"{c}_ratio_gap").alias("gap")) for c in codecs))).alias("x")).select("grp", "x.*")
+    sides = long.groupBy("codec").pivot("grp", names).agg(F.count(F.lit(1)).alias("count"), pairs.finite_mean("gap").alias("compression_gap"))
+    out = words.crossJoin(F.broadcast(sides))
+    return out.withColumn("lexical_js_held", F.coalesce(F.col("bt_lexical_js") > F.col("bb_lexical_js"), F.lit(False))).withColumn("rho_held", F.coalesce(F.col("bb_rho") > F.col("bt_rho"), F.lit(False)))
+
+
+def cluster_stability(panel: DataFrame, vectors: DataFrame, sweep: tuple[int, ...] = CLUSTER_SWEEP) -> DataFrame:
+    """(k, pair_class, pairs, semantic_cluster_js): family means for each number of clusters."""
+    p, out = pairs.unordered(panel), None
+    for k in sweep:
+        part = pairs.family_means(semantic.occupancy_js(semantic.pair_clusters(vectors, p, k)).join(p, ["a", "b"]), ["semantic_cluster_js"]).withColumn("k", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def battery(spark: SparkSession, recipe: str, out: str, base: str = ".", encoder=None, replicates: int = 200, repeats: int = 50, allow_short: bool = False, only: list[str] | None = None, **given) -> list[str]:
+    """All analyses of a recipe in their order, each a folder below ``out``; what is there already isn't done again.
+
+    Returns the steps that were done. ``encoder`` has ``tokens(text)``, the rows of a text's token vectors; ``given`` goes to
+    ``build_chunks``; ``only`` names the steps wanted.
+    """
+    q = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = lambda name: (p := q(f"{out}/{name}/_SUCCESS")).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    read, done = (lambda name: spark.read.parquet(f"{out}/{name}")), []
+    if not there("chunks"):
+        build_chunks(spark, recipe, out, base, allow_short=allow_short, overwrite=True, **given)
+        done.append("chunks")
+    chunks = read("chunks")
+    panel = readers.recipe(spark, recipe).select("label", "ord", "role")
+    if not there("vectors"):
+        semantic.embed(chunks, encoder or semantic.HashedGrams()).selectExpr("label", "chunk_index AS vec_id", "embedding").write.mode("overwrite").parquet(f"{out}/vectors")
+        done.append("vectors")
+    vectors = read("vectors")
+    studied = panel.filter("role <> 'candidate'")
+    rows = lambda: bootstrap_metrics(studied, chunks, vectors, replicates)
+    steps = {
+        "orderings": lambda: corpus_matrix(panel, chunks, vectors, out),
+        "mixtures": lambda: mixture_panel(panel, chunks, vectors),
+        "textual_grid": lambda: textual_grid(studied, chunks),
+        "cluster_stability": lambda: cluster_stability(studied, vectors),
+        "bootstrap": rows,
+        "bootstrap_summary": lambda: bootstrap_summary(read("bootstrap"))[0],
+        "bootstrap_orderings": lambda: bootstrap_summary(read("bootstrap"))[1],
+        "leave_one_out": lambda: pairs.leave_one_out(read("pairs").filter("direction = 'forward'"), panel, list(METRICS)),
+        "splits": lambda: split_metrics(chunks, vectors, repeats),
+        "split_summary": lambda: resample.split_summary(read("splits"), list(METRICS)),
+    }
+    for name, step in steps.items():
+        if (only is None or name in only) and not there(name):
+            made = step()
+            if made is not None:
+                made.write.mode("overwrite").parquet(f"{out}/{name}")
+            done.append(name)
+            release()
+    return done
+
+
 def continuous(panel: DataFrame, vectors: DataFrame, clusters: DataFrame, projections: int = PROJECTIONS) -> DataFrame:
     """Pairs with centroid distances, sliced Wasserstein distances and known cluster divergences."""
     p = pairs.unordered(panel)

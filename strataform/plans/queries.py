@@ -11,27 +11,17 @@ from strataform.catalog import QUERIES
 from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, PROJECTIONS, Chunking
 from strataform.functions import text as T
 from strataform.operators import chunking, compression, extract, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.plans.held import held, release
 
 WHOLE = Chunking(per_document=None, per_corpus=None, documents=None)
 ONE = {"tokenizers": ("punct",), "orders": (1,)}
 SEED = 20260505
 
 
-#: What the query before has cached.
-_HELD: list[DataFrame] = []
-
-
-def held(df: DataFrame) -> DataFrame:
-    """``df`` kept for several uses in one query, until the next query is made."""
-    _HELD.append(df.persist())
-    return df
-
-
 def query(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        while _HELD:
-            _HELD.pop().unpersist()
+        release()
         return f(spark, sf)
 
     QUERIES[f.__name__] = run
