@@ -6,11 +6,12 @@ components over those edges are the aliases, and a component in which some url i
 pages, unless some url of it is expressly allowed, which takes precedence. Anything else is allowed.
 
 Edges come from a page's own markup (canonical links, refreshes) and from a table of redirects, if given.
-Urls are nodes without scheme, fragment and a host's capitals; relative links are resolved against the page.
+Urls are nodes without scheme, fragment, default port, a host's capitals or final dot; an empty path is ``/``, and ``.`` and ``..``
+are resolved. Relative links are resolved against the page. Host, path and rule columns stay as the url has them.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed. A
 null html has no links. Repeated rows are judged alike. Of rules of equal length, allowing ones win. An empty
-table gives an empty table. Columns of the result's names are replaced.
+table gives an empty table. Columns of the result's names are replaced. Very long urls are nodes and are judged whole.
 """
 
 from __future__ import annotations
@@ -24,9 +25,6 @@ from strataform.llm.graph import components
 from strataform.llm.store import materialize
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that fit into an expression; larger lists are a table and joined.
-IN_EXPRESSION = 200
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,21 +51,30 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """The node of a url: host, path and query; null without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), rest))
+    """The node of a url: host, path and query in one form; null without ``://``."""
+    secure = F.lower(F.substring_index(url, "://", 1)) == "https"
+    host = F.regexp_replace(F.regexp_replace(host_of(url), F.when(secure, ":443$").otherwise(":80$"), F.lit("")), r"\.$", "")
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    names = F.filter(F.split(path_of(url), "/"), lambda s, i: i > 0)
+    ended = F.when(path_of(url).rlike(r"(?s)/\.{0,2}$") & (F.size(names) > 1) & (F.element_at(names, -1) != ""), "/").otherwise("")  # a last . or .. is a folder
+    kept = F.array_join(F.aggregate(names, F.array().cast("array<string>"), step), "/")
+    path = F.concat(F.lit("/"), kept, F.when(kept == "", "").otherwise(ended))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(F.contains(url, F.lit("://")), F.concat(host, path, query))
 
 
 def judged(rows: DataFrame, rules: tuple[Rule, ...] | DataFrame) -> DataFrame:
-    """``rows`` (host, path, ...) with the fitting rule's text and verdict, or nulls."""
-    if not isinstance(rules, DataFrame) and len(rules) <= IN_EXPRESSION:
+    """``rows`` (host, path, ...) with the fitting rule's text and verdict, or nulls.
+
+    A tuple of rules becomes an expression, a table (verdict, host, path) is joined: lists beyond some hundreds are a table.
+    """
+    if not isinstance(rules, DataFrame):
         best, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
         for r in sorted(rules, key=lambda r: (len(r.text), r.verdict == "allow")):  # the last to fit wins
             fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
             best, verdict = F.when(fits, F.lit(r.text)).otherwise(best), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
         return rows.withColumn("rule", best).withColumn("_ruled", verdict)
-    table = rules if isinstance(rules, DataFrame) else rows.sparkSession.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
-    table = table.select(F.col("host").alias("domain"), F.col("path").alias("start"), F.col("verdict").alias("says"))
+    table = rules.select(F.col("host").alias("domain"), F.col("path").alias("start"), F.col("verdict").alias("says"))
     # Distinct hosts and paths are judged, and meet the rules by each of their parent domains.
     places = rows.select("host", "path").distinct()
     parents = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
@@ -109,7 +116,10 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, re
     nodes = judged(alias.withColumn("host", host_of(scheme)).withColumn("path", path_of(scheme)), rules)
     said = nodes.groupBy("component").agg(F.count_if(F.col("_ruled") == "allow").alias("allowed"), F.count_if(F.col("_ruled") == "block").alias("blocked"))
     blocked = alias.join(said.filter("allowed = 0 AND blocked > 0").select("component"), "component").select(F.col("node").alias("_node"), F.lit("block").alias("_alias"))
-    out = ruled.withColumn("_key", F.when(F.col("_ruled").isNull(), key_of(F.col("url")))).join(blocked, F.col("_key") == F.col("_node"), "left")
+    # Only pages without a rule, but with a node, can have an alias.
+    keyed = ruled.withColumn("_key", F.when(F.col("_ruled").isNull(), key_of(F.col("url"))))
+    out = keyed.filter(F.col("_key").isNotNull()).join(blocked, F.col("_key") == F.col("_node"), "left").drop("_node")
+    out = out.unionByName(keyed.filter(F.col("_key").isNull()).withColumn("_alias", F.lit(None).cast("string")))
     return out.withColumn("verdict", F.coalesce("_ruled", "_alias", F.lit("allow"))).select(*src.columns, "host", "path", "rule", "verdict")
 
 

@@ -47,6 +47,24 @@ def test_redirects_and_rule_table(spark):
     assert U.url_filter(pages(spark, [])).count() == 0
 
 
+def test_nodes(spark):
+    """Spellings of one url are one node, so that an alias doesn't escape a block."""
+    same = [
+        ["http://h", "http://h/", "HTTP://H:80", "http://h./", "http://h/.", "http://h/..", "http://h/a/..", "http://h/#x"],
+        ["https://h/a/c?q", "https://h:443/a/b/../c?q", "https://h/./a/./c?q#f", "http://H:80/a/c?q", "https://h/../a/c?q"],
+        ["http://h/a/", "http://h/a/.", "http://h/a/b/.."], ["http://h:443/"], ["https://h:80/"], ["http://h?q/../x", "http://h/?q/../x"], ["http://h//a"], ["http://h/a"], ["http://h/..a/b."],
+    ]
+    rows = [(k, u) for k, us in enumerate(same) for u in us]
+    got = spark.createDataFrame(rows, "k int, url string").withColumn("node", U.key_of(U.F.col("url"))).collect()
+    nodes = {}
+    for r in got:
+        nodes.setdefault(r.k, set()).add(r.node)
+    assert all(len(n) == 1 for n in nodes.values()) and len(set.union(*nodes.values())) == len(same), nodes
+    moved = spark.createDataFrame([("http://k.example.com:80/en/x/../4", "http://bad.net"), ("http://long.example.com/" + "x" * 100_000, "http://bad.net/")], "from_url string, to_url string")
+    odd = [*ROWS, (30, "http://long.example.com/" + "x" * 100_000, None), (31, "http://long.example.com/" + "x" * 99_999, None)]
+    assert {r.page_id for r in U.url_filter(pages(spark, odd), redirects=moved).collect() if r.verdict == "block"} == {6, 8, 17, 11, 12, 13, 14, 30}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + i, 201 + i) for i in range(30)] + [(None, 3), (7, 7)]
