@@ -10,7 +10,9 @@ and the empty text is its identity, so the shape of the tree doesn't matter. Dec
 bytes of halves up the tree.
 
 Defined results: null counts as empty, an empty text has no ids. Rows are encoded each on its own.
-Special tokens aren't known: their strings are ordinary text.
+Special tokens aren't known: their strings are ordinary text. Very long texts are encoded whole, in memory in
+proportion to the text. Repeated rows and rows without an id keep a row each; an empty table gives an empty table. Other
+columns pass through, except that names of the result win.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ The likeness of two fingerprints is the Jaccard index of their paragraph sets, f
 
 Defined results: null counts as empty. Paragraphs that repeat in a text count once. Ids that repeat are
 ordered by text. A null id comes last in descending order. A lone document follows itself. An empty table
-gives an empty table.
+gives an empty table. Only doc_id and text are read, whatever other columns are called. Very long texts are hashed
+whole; pairs of more than ``IN_ROW`` paragraphs are peeled as rows, with the same result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ in many tasks: sums by slice first (few rows), then within slices.
 
 Defined results: a null text has size 0; a null source is a source, after all others. Sources of size 0 have
 target 0. Rows equal in id and text may swap places. Equal ids with other texts are ordered by text. An empty
-table gives an empty table; columns of the result's names are replaced.
+table gives an empty table; columns of the result's names are replaced. Very long texts count whole, and the last one taken of a
+source may be taken in part.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ earlier line, are measured against all characters in words.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept. Repeated rows
 are judged each on its own. Extra columns pass through untouched, and clashing ones are dropped in
-favour of the measures. An empty table gives an empty table.
+favour of the measures. Very long texts are measured whole. Shares equal to a limit pass. An empty table gives an empty table.
 """
 
 from __future__ import annotations

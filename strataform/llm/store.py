@@ -22,8 +22,11 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a local folder if it has none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The session's ``spark.checkpoint.dir``; on one machine, where it is unset, a local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

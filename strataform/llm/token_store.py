@@ -17,7 +17,8 @@ ids themselves.
 
 Defined results: null counts as empty, which has the end id alone. Repeated rows keep a row each. Documents
 without an id come first. An empty table gives an empty store. Words are found by a 64-bit hash and
-recognised by their bytes.
+recognised by their bytes. Only doc_id and text are read, whatever other columns are called. Very long texts are cut into chunks
+as any; a recipe holds a key a chunk.
 """
 
 from __future__ import annotations

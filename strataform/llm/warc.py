@@ -12,7 +12,8 @@ held against its digest. Revisits are resolved to the response they name.
 Defined results: a null html is an empty payload; equal payloads count from 0 bytes on (``least_bytes``).
 Rows that repeat both id and payload share a verdict and get records of their own. A null id is the smallest
 and stays null. A null url is written as ``urn:none``, control characters in urls are percent-encoded. An
-empty table gives no records. Other columns aren't stored.
+empty table gives no records. Other columns aren't stored, whatever their names. A very long payload is cut into as many
+segments as it needs; reading holds one record's whole payload at a time.
 """
 
 from __future__ import annotations

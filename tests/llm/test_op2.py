@@ -30,6 +30,20 @@ def test_join_is_associative():
         assert left == c.join(s, 0, i, len(s), list(a), c.join(s, i, j, len(s), list(b), list(d))) == c.small(s)
 
 
+def test_long_text_and_other_columns(spark):
+    c, text = bpe.Codec(*bpe.vocabulary()), "some words, and 12 numbers; " * 40_000
+    docs = spark.createDataFrame([(1, text, "x", 5), (None, text, "y", 6)], "doc_id long, text string, ids string, n_tokens int").withColumn("decoded", bpe_lit())
+    got = bpe.bpe_round_trip(docs, *bpe.vocabulary()).collect()
+    ids = c.small(text)
+    assert {(r.n_tokens, r.ids, r.ids_sha256) for r in got} == {(len(ids), k, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for k in "xy"}
+
+
+def bpe_lit():
+    from pyspark.sql import functions as F
+
+    return F.lit(0)
+
+
 def test_query_and_round_trip(spark, tmp_path):
     rows = tricky() + tricky()[:15] + [(300, "漢字" * 3000), (301, "a" * 9000), (302, "<|endoftext|> x")]
     c = bpe.Codec(*bpe.vocabulary())

@@ -46,6 +46,13 @@ def test_least_bytes_and_empty(spark, tmp_path):
     assert warc.op4_warc(spark, str(tmp_path)).count() == 0
 
 
+def test_long_payloads_and_other_columns(spark, tmp_path):
+    rows = [(1, "0123456789é" * 300_000), (2, "0123456789é" * 300_000), (3, "x"), (4, "y" * 2_500_000)]
+    odd = pages(spark, rows).selectExpr("*", "1 AS record_type", "2 AS page", "'q' AS digest", "3 AS n", "4 AS k")
+    odd.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, warc.op4_warc(spark, str(tmp_path)).collect()), key=str) == brute(rows)
+
+
 def test_framing():
     r = random.Random(0)
     for n in (0, 1, 4095, 4096, 4097, 20000):

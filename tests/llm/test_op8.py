@@ -64,6 +64,15 @@ def test_query_and_reconstruction(spark, tmp_path):
     assert name == T.write(frame(spark, rows()).repartition(3), f"{tmp_path}/again", PATH)
 
 
+def test_long_text_and_other_columns(spark, tmp_path):
+    lib, text = Tokenizer.from_file(PATH), " ".join(f"word{i % 7001}" for i in range(300_000))
+    docs = spark.createDataFrame([(2, text, "x", 1, 2, 3), (1, "a", "y", 4, 5, 6)], "doc_id long, text string, key string, kind int, start int, n_tokens int")
+    T.write(docs, f"{tmp_path}/store", PATH)
+    ids = lib.encode(text, add_special_tokens=False).ids + [1]
+    got = {r.doc_id: r for r in T.digests(spark, f"{tmp_path}/store").collect()}
+    assert (got[2].start, got[2].n_tokens, got[2].ids_crc32) == (got[1].n_tokens, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_damage_is_found(spark, tmp_path):
     folder = f"{tmp_path}/store"
     T.write(frame(spark, tricky()), folder, PATH)
