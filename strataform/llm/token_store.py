@@ -28,6 +28,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,33 @@ SEEN, MEAN, MOST = 16, 512, 4096
 WORDS, BYTES, KEYS = 1_500_000, 1 << 26, 300_000
 
 
+# Classes of bytes: letters of the ASCII and Latin-1 ranges, marks, others.
+LETTER, MARK, OTHER = 0, 1, 2
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = LETTER
+KIND[list(b".,;:!?#$%&*()")] = MARK
+
+
+def pieces_of(buf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """1 for words (one after another in ``buf``) of plain letters, 2 for those with marks behind, else 0.
+
+    A pattern that takes a run of letters, or of other signs, as a piece cuts such words into so many pieces. Letters whose
+    normal form or small letter depends on neighbours, or isn't a letter, aren't plain.
+    """
+    if not len(length):
+        return np.zeros(0, np.int64)
+    kind = KIND[buf]
+    after = np.flatnonzero(buf[:-1] == 0xC3) + 1  # the second bytes of Latin-1 letters, without the two signs among them
+    kind[after[(buf[after] != 0x97) & (buf[after] != 0xB7)]] = LETTER
+    ends = np.cumsum(length)
+    first = ends - length
+    odd = kind == OTHER
+    odd[1:] |= (kind[1:] == LETTER) & (kind[:-1] == MARK)
+    odd[first] = kind[first] != LETTER  # words begin with a letter, whatever stands before them
+    good = np.add.reduceat(odd.astype(np.int64), first) == 0
+    return np.where(good, 1 + (kind[ends - 1] == MARK), 0)
+
+
 class WordEncoder:
     """Encodes texts word by word: no token of a vocabulary that drops white space crosses it."""
 
@@ -52,51 +80,81 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype(f"<u{width}")
         self.end_id = end_id
+        vocab, suffix = self.tokenizer.get_vocab(with_added_tokens=False), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: By id, whether a token ends a piece of a word; none do if the vocabulary doesn't mark that.
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        """Words by ascending hash: where their ids and their bytes begin, and how many there are."""
+        """Words in the order they were learnt: where their ids and their bytes begin, and how many there are; and their
+        hashes, ascending, with the number of each one's word."""
         none = np.zeros(0, np.int64)
-        self.hash, self.begin, self.size, self.text, self.length = np.zeros(0, W.U), none, none, none, none
+        self.begin, self.size, self.text, self.length = none, none, none, none
         self.ids, self.bytes = np.zeros(0, self.type), np.zeros(0, np.uint8)
-
-    def learn(self, new: np.ndarray, words: list[bytes]) -> None:
-        """Add the ids of ``words``, whose hashes ``new`` ascend."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size, length = (np.array([len(x) for x in of], np.int64) for of in (got, words))
-        begin, text = np.cumsum(size) - size + len(self.ids), np.cumsum(length) - length + len(self.bytes)
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], self.type)])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
-        h = np.concatenate([self.hash, new])
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        joined = lambda old, more: np.concatenate([old, more])[order]
-        self.begin, self.size, self.text, self.length = joined(self.begin, begin), joined(self.size, size), joined(self.text, text), joined(self.length, length)
+        self.hash, self.number = np.zeros(0, W.U), none
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add the ids of ``words``."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        blob = np.frombuffer(b"".join(words), np.uint8)
+        pieces = pieces_of(blob, length)
+        plain, rest = np.flatnonzero(pieces), np.flatnonzero(pieces == 0)
+        ids = self._joined([words[i] for i in plain.tolist()])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != pieces.sum() or (len(ids) and not self.ends[ids[-1]]):  # a vocabulary without marks: one by one
+            plain, rest, ids, last = plain[:0], np.arange(len(words)), ids[:0], last[:0]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in rest.tolist()], add_special_tokens=False)]
+        size, order = np.zeros(len(words), np.int64), np.argsort(np.concatenate([plain, rest]))
+        size[plain] = np.diff(last[np.cumsum(pieces[plain]) - 1], prepend=-1)
+        size[rest] = np.fromiter(map(len, got), np.int64, len(got))
+        found = np.cumsum(size[np.concatenate([plain, rest])])
+        more = lambda old, new: np.concatenate([old, new])
+        self.begin, self.text = more(self.begin, found[order] - size + len(self.ids)), more(self.text, np.cumsum(length) - length + len(self.bytes))
+        self.size, self.length = more(self.size, size), more(self.length, length)
+        self.ids = np.concatenate([self.ids, ids.astype(self.type), np.fromiter(chain.from_iterable(got), self.type, int(size[rest].sum()))])
+        self.bytes = more(self.bytes, blob)
+
+    def _joined(self, words: list[bytes]) -> np.ndarray:
+        """The ids of plain words, encoded many at once: white space parts them, so each is encoded as alone."""
+        lines = [b" ".join(words[i : i + 256]).decode() for i in range(0, len(words), 256)]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.int64, sum(map(len, got)))
 
     def places(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """The place of every word ``buf[s:e]`` among the known ones, new ones learnt.
+        """The number of every word ``buf[s:e]`` among the known ones, new ones learnt.
 
-        A hash finds the place, the bytes decide: where a word isn't the one that was learnt for its hash, this
+        A hash finds the number, the bytes decide: where a word isn't the one that was learnt for its hash, this
         batch's words are learnt anew, each distinct one under a number of its own.
         """
-        if len(self.hash) > WORDS or len(self.bytes) > BYTES or len(self.hash) < len(self.begin):
+        if len(self.begin) > WORDS or len(self.bytes) > BYTES or len(self.hash) < len(self.begin):
             self.forget()
-        distinct, at, back = np.unique(W.hashes(buf, s, e), return_index=True, return_inverse=True)
+        h = W.hashes(buf, s, e)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        distinct, at = ranked[new], order[new]
         place = np.searchsorted(self.hash, distinct)
         unknown = np.ones(len(distinct), bool)
         if len(self.hash):
             unknown = self.hash[np.minimum(place, len(self.hash) - 1)] != distinct
+        number = np.empty(len(distinct), np.int64)
+        number[~unknown] = self.number[place[~unknown]]
         if unknown.any():
-            self.learn(distinct[unknown], [buf[s[i] : e[i]].tobytes() for i in at[unknown]])
-            place = np.searchsorted(self.hash, distinct)
-        word = place[back]
+            first = len(self.begin)
+            self.learn([buf[a:b].tobytes() for a, b in zip(s[at[unknown]].tolist(), e[at[unknown]].tolist(), strict=True)])
+            number[unknown] = np.arange(first, len(self.begin))
+            self.hash, self.number = np.insert(self.hash, place[unknown], distinct[unknown]), np.insert(self.number, place[unknown], number[unknown])
+        word = np.empty(len(h), np.int64)
+        word[order] = np.repeat(number, np.diff(np.flatnonzero(new), append=len(h)))
         if W.same_bytes(buf, s, e, self.bytes, self.text[word], self.length[word]).all():
             return word
         self.forget()
         numbers: dict[bytes, int] = {}
         word = np.array([numbers.setdefault(buf[a:b].tobytes(), len(numbers)) for a, b in zip(s.tolist(), e.tolist(), strict=True)], np.int64)
-        self.learn(np.arange(len(numbers), dtype=W.U), list(numbers))
-        self.hash = self.hash[:0]  # these numbers are no hashes, so the next batch starts again
+        self.learn(list(numbers))  # without hashes, so that the next batch starts again
         return word
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

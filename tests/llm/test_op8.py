@@ -29,6 +29,25 @@ def test_words_equal_library():
     assert len(flat) == 0 and ofs.tolist() == [0] and len(T.cuts(flat, ofs)) == 0
 
 
+def test_plain_words():
+    """Joined words have the ids that they have alone, and pieces are counted as the vocabulary's own pattern does."""
+    import regex
+
+    r, lib, own = random.Random(6), Tokenizer.from_file(PATH), T.WordEncoder(PATH, 1, 2)
+    signs = "abzABZéÉßÿÀ×÷.,;:!?#$%&*()'-_1 9漢İſΣσ\u0301\u0307ǅ<>"
+    words = list(dict.fromkeys("".join(r.choice(signs) for _ in range(r.randrange(1, 6))).replace(" ", "") or "x" for _ in range(6000)))
+    raw = [w.encode() for w in words]
+    pieces = T.pieces_of(np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw]))
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    assert all(n == 0 or n == len(pattern.findall(w)) for w, n in zip(words, pieces.tolist(), strict=True)) and {1, 2} <= set(pieces.tolist())
+    own.learn(raw)
+    assert [own.ids[a : a + n].tolist() for a, n in zip(own.begin, own.size, strict=True)] == [lib.encode(w, add_special_tokens=False).ids for w in words]
+    blind = T.WordEncoder(PATH, 1, 2)
+    blind.ends[:] = False
+    blind.learn(raw)
+    assert [blind.ids[a : a + n].tolist() for a, n in zip(blind.begin, blind.size, strict=True)] == [own.ids[a : a + n].tolist() for a, n in zip(own.begin, own.size, strict=True)]
+
+
 def test_words_of_one_hash(monkeypatch):
     """With a hash that tells hardly any words apart, the bytes decide."""
     lib, own = Tokenizer.from_file(PATH), T.WordEncoder(PATH, 1, 2)
