@@ -81,11 +81,11 @@ def missing_labels(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def integrity(spark: SparkSession, folder: str) -> DataFrame:
-    """(files, bytes, sha256): totals and one digest over all files' digests in the order of their names."""
+    """(files, bytes, sha256): totals and one digest over all files' digests in the order of their paths below ``folder``."""
     from strataform.sources.readers import digests
 
     rows = digests(spark, folder)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.element_at(F.split("path", "\\Q" + folder.rstrip("/").split("://")[-1] + "\\E/+", 2), -1)
     lines = F.array_sort(F.collect_list(F.concat_ws(" ", name, "sha256")))
     return rows.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
 

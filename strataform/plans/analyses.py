@@ -384,3 +384,42 @@ def package(label: str, display: str, source: dict, out: str, target: str, spark
     sinks.write_json(entry, f"{target}/entry.json")
     sinks.package(target, f"{target}.zip")
     return entry
+
+
+def submission(spark: SparkSession, labels: list[str], panel: DataFrame, out: str, target: str, files: dict[str, list[str]] | None = None, submitter: str = "", notes: str = "", tier: str = "submitted", artifact: dict | None = None, archive: bool = False) -> dict:
+    """A bundle of several corpora of a matrix: their entries, artefacts with digests, the pairs that they are in and the panel's families.
+
+    ``panel`` (label, ord, role, and whatever describes a source) names all corpora, ``files`` each label's artefacts. Labels that the
+    panel lacks, and a bundle that is there already, are errors before anything is written.
+    """
+    if not labels:
+        raise ValueError("a submission names a corpus at least")
+    wanted = spark.createDataFrame([(x,) for x in labels], "label string")
+    missing = sorted(r.label for r in scorecard.missing_labels(wanted, panel).collect())
+    if missing:
+        raise ValueError(f"not in the panel: {', '.join(missing)}")
+    if Path(target).exists():
+        raise FileExistsError(target)
+    of = {r.label: r.asDict() for r in panel.join(wanted, "label").collect()}
+    alone = {r.label: r.asDict() for r in spark.read.parquet(f"{out}/standalone").join(wanted, "label").collect()}
+    near = [r.asDict() for r in pairs.touching(spark.read.parquet(f"{out}/pairs"), labels).orderBy("a", "b").collect()]
+    rows = []
+    for label in labels:
+        copied = [sinks.copy_with_digest(f, f"{target}/artifacts/{label}/{Path(f).name}") for f in (files or {}).get(label, [])]
+        rows.append({"label": label, "panel": of[label], "artifacts": [c | {"path": str(Path(c["path"]).relative_to(target))} for c in copied], "standalone": alone.get(label)})
+        if label in alone:
+            a = alone[label]
+            values = {"n_chunks": a["n_chunks"], "compression_ratio_lzma": a["lzma_ratio"], "semantic_spectrum": {k: a[k] for k in ("total_variance", "top1_share", "top5_share")}}
+            about = {"source": str(of[label].get("path") or of[label].get("dataset") or label)}
+            entry = scorecard.package_entry(label, str(of[label].get("display") or label), about, values, [p for p in near if label in (p["a"], p["b"])], tier, artifact)
+            sinks.write_json(entry, f"{target}/entries/{label}.json")
+    sinks.write_json(near, f"{target}/pairs.json")
+    sinks.write_json([r.asDict() for r in spark.read.parquet(f"{out}/family").orderBy("pair_class").collect()], f"{target}/family.json")
+    whole = {"submitter": submitter, "notes": notes, "requested_tier": tier, "artifact": artifact or {}, "corpora": rows}
+    sinks.write_json(whole, f"{target}/submission.json")
+    made = spark.createDataFrame([(x, str(of[x].get("role")), len(r["artifacts"])) for x, r in zip(labels, rows, strict=True)], "corpus string, role string, artifacts int")
+    text = sinks.report("Submission", [f"submitter: `{submitter or 'NA'}`", f"tier asked for: `{tier}`", f"pairs: `{len(near)}`", *([notes] if notes else [])], {"Corpora": made})
+    Path(target, "README.md").write_text(text)
+    if archive:
+        sinks.package(target, f"{target}.zip")
+    return whole

@@ -287,4 +287,13 @@ ORACLES |= {
  f AS (SELECT label, chunk_index, CASE WHEN regexp_matches(text, '(?i)\b(?:sorry|cannot|can''t|unable|not able|cannot help|can''t help)\b') THEN 1.0 ELSE 0 END AS r, CASE WHEN regexp_matches(text, '(?i)\bth') THEN 1.0 ELSE 0 END AS m FROM i),
  met AS (SELECT base, target, alpha, r, m FROM plan JOIN f ON f.label = base AND f.chunk_index < n - nt UNION ALL SELECT base, target, alpha, r, m FROM plan JOIN f ON f.label = target AND f.chunk_index < nt)
  SELECT base, target, alpha, count(*) AS chunks, round(avg(r), 6) AS refusal_rate, round(avg(m), 6) AS flag_rate FROM met GROUP BY ALL""",
+    "x10_mixture_semantic": f"""WITH {CLUSTERED}, idx AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk_index, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+ known AS (SELECT label, chunk_index, n, cluster FROM idx JOIN nearest USING (label, vec_id)), alphas AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS if a)}) t(alpha)),
+ plan AS (SELECT x.label AS base, y.label AS target, alpha, n, CAST(round_even(n * alpha, 0) AS BIGINT) AS nt FROM vp x JOIN vp y ON x.label <> y.label JOIN (SELECT DISTINCT label, n FROM idx) s ON s.label = x.label JOIN alphas ON true WHERE x.role = 'targeted' AND y.role = 'targeted'),
+ own AS (SELECT base, target, alpha, cluster, count(*) AS c FROM plan JOIN known ON known.label = base GROUP BY ALL),
+ mix AS (SELECT base, target, alpha, cluster, count(*) AS c FROM (SELECT base, target, alpha, cluster FROM plan JOIN known k ON k.label = base AND chunk_index < plan.n - nt UNION ALL SELECT base, target, alpha, cluster FROM plan JOIN known k ON k.label = target AND chunk_index < nt) GROUP BY ALL),
+ xy AS (SELECT p.base, p.target, p.alpha, g.k, coalesce(o.c, 0) + 1e-12 AS x, coalesce(m.c, 0) + 1e-12 AS y FROM plan p, (SELECT unnest(range(0, 10)) AS k) g
+  LEFT JOIN own o ON o.base = p.base AND o.target = p.target AND o.alpha = p.alpha AND o.cluster = g.k LEFT JOIN mix m ON m.base = p.base AND m.target = p.target AND m.alpha = p.alpha AND m.cluster = g.k),
+ pq AS (SELECT *, x / sum(x) OVER (PARTITION BY base, target, alpha) AS p, y / sum(y) OVER (PARTITION BY base, target, alpha) AS q FROM xy)
+ SELECT CAST(base AS VARCHAR) AS a, base || '/' || target || '/' || alpha AS b, round(sum(0.5 * p * ln(p / ((p + q) / 2)) + 0.5 * q * ln(q / ((p + q) / 2))), 6) AS semantic_cluster_js FROM pq GROUP BY base, target, alpha""",
 }
