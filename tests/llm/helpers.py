@@ -22,7 +22,7 @@ def tricky(seed=0, n=60):
     rows += [(i, say(r.randrange(1, 200)).replace(" ", r.choice([" ", "\n", "  "]), 3)) for i in range(18, n)]
     for k in range(3):
         a, b = mirrored(1024 << k)
-        rows += [(80 + 3 * k, a), (81 + 3 * k, b), (82 + 3 * k, f"{a} {b} {a}\n{a} x\n{b} x\n{b} x")]
+        rows += [(80 + 3 * k, f"x {a}"), (81 + 3 * k, f"x {b}"), (82 + 3 * k, f"{a} {b} {a}\n{a} x\n{b} x\n{b} x")]
     return rows
 
 
