@@ -194,12 +194,17 @@ def own_members(chunks: DataFrame) -> DataFrame:
 def composed_alone(chunks: DataFrame, vectors: DataFrame, members: DataFrame) -> DataFrame:
     """(label, n_chunks, lzma_ratio, total_variance, top1_share, top5_share, refusal_rate, marker_rate) of corpora composed of others' chunks.
 
-    ``members`` (label, of, chunk_index, times) says of which corpus which chunk is in ``label``, and how often.
+    ``members`` (label, of, chunk_index, times) says of which corpus which chunk is in ``label``, and how often. Patterns are looked
+    for once a chunk, and the codec sees a uniform sample of ``MAX_CHUNKS`` chunks of a larger corpus, so that texts don't
+    travel once a composed corpus.
     """
-    texts = chunks.select(F.col("label").alias("of"), "chunk_index", "text").join(members, ["of", "chunk_index"])
-    order = texts.select("label", F.concat_ws("/", "of", F.format_string("%012d", "chunk_index")).alias("chunk_index"), "text", "times")
-    hit = lambda pattern: F.sum(F.when(F.col("text").rlike(pattern), F.col("times")).otherwise(0)) / F.sum("times")
-    rates = texts.groupBy("label").agg(F.sum("times").alias("n_chunks"), hit(extract.REFUSAL).alias("refusal_rate"), hit(extract.MARKER).alias("marker_rate"))
+    texts = chunks.select(F.col("label").alias("of"), "chunk_index", "text")
+    flags = texts.select("of", "chunk_index", F.col("text").rlike(extract.REFUSAL).alias("refuses"), F.col("text").rlike(extract.MARKER).alias("marked"))
+    hit = lambda flag: F.sum(F.when(F.col(flag), F.col("times")).otherwise(0)) / F.sum("times")
+    rates = flags.join(members, ["of", "chunk_index"]).groupBy("label").agg(F.sum("times").alias("n_chunks"), hit("refuses").alias("refusal_rate"), hit("marked").alias("marker_rate"))
+    place = F.concat_ws("/", "of", F.format_string("%012d", "chunk_index"))
+    heard = sampling.reservoir(members.withColumn("place", place), MAX_CHUNKS, SAMPLE_SEED, "place")
+    order = heard.join(texts, ["of", "chunk_index"]).select("label", F.col("place").alias("chunk_index"), "text", "times")
     rows = vectors.select(F.col("label").alias("of"), F.col("vec_id").alias("chunk_index"), "embedding").join(members, ["of", "chunk_index"])
     return rates.join(compression.ratios(order, ("lzma",), times="times"), "label").join(semantic.spectrum(rows, times="times").drop("n"), "label", "left")
 

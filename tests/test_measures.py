@@ -118,6 +118,16 @@ def test_mixtures(spark):
         assert (r.lexical_js, r.rho, r.semantic_cluster_js) == (0, 1, 0) if x == 0 else r.lexical_js == pytest.approx(words_js(texts[a], t), abs=1e-9) and 0 <= r.semantic_cluster_js <= np.log(2)
 
 
+def test_codec_sees_a_sample_of_composed_corpora(spark, monkeypatch):
+    panel, chunks, vectors, texts, _ = corpora(spark, "ab", 30)
+    members = analyses.own_members(chunks).withColumn("times", F.when(F.col("chunk_index") < 3, 0).otherwise(2).cast("long"))
+    whole = {r.label: r for r in analyses.composed_alone(chunks, vectors, members.filter("times > 0")).collect()}
+    assert whole["a"].n_chunks == 54 and whole["a"].lzma_ratio == pytest.approx(ratio([t for t in texts["a"][3:] for _ in range(2)]))
+    monkeypatch.setattr(analyses, "MAX_CHUNKS", 5)
+    some = {r.label: r for r in analyses.composed_alone(chunks, vectors, members.filter("times > 0")).collect()}
+    assert some["a"].lzma_ratio != whole["a"].lzma_ratio and (some["a"].n_chunks, some["a"].refusal_rate) == (54, whole["a"].refusal_rate)
+
+
 def test_textual_grid(spark):
     panel, chunks, _, texts, _ = corpora(spark)
     got = analyses.textual_grid(panel, chunks, ("gzip", "lzma"), ("stable",), (1, 2), (256,)).collect()
