@@ -93,7 +93,8 @@ def cells(vocab: DataFrame, counts: DataFrame, pairs: DataFrame, sizes: tuple[in
     grown = grown.withColumn("rx", mean_rank(F.col("cnt"), own)).withColumn("grams", F.count("*").over(w)).withColumn("p", (F.col("cnt") + eps) / F.sum(F.col("cnt") + eps).over(w))
     need = F.coalesce(*(F.when(F.col("v") == v, F.lit(least_vocabulary(v))) for v in sizes))
     settings = grown.filter(F.col("grams") >= need).groupBy(F.col("label").alias("a"), *extra, *CELL, "gram").agg(F.collect_list(F.struct("v", "rx", "grams", "p")).alias("settings"))
-    other = counts.select(F.col("label").alias("b"), *extra, *CELL, "gram", F.col("cnt").alias("y"))
+    known = vocab.select(*extra, *CELL, "gram").distinct()  # few rows: most counts are dropped before they are dealt to pairs
+    other = counts.join(known, [*extra, *CELL, "gram"], "left_semi").select(F.col("label").alias("b"), *extra, *CELL, "gram", F.col("cnt").alias("y"))
     met = pairs.join(settings, "a").join(other, ["b", *extra, *CELL, "gram"], "left")
     cell = ["a", "b", *extra, *CELL, "v"]
     rows = met.select("a", "b", *extra, *CELL, F.coalesce("y", F.lit(0)).alias("y"), F.explode("settings").alias("s")).select("a", "b", *extra, *CELL, "y", "s.*")
