@@ -52,14 +52,24 @@ def short_corpora(chunks: DataFrame, most: int) -> DataFrame:
     return chunks.groupBy("label").agg(F.count("*").alias("chunk_count")).filter(F.col("chunk_count") < most)
 
 
-def provenance(docs: DataFrame, rule: Chunking = Chunking()) -> DataFrame:
-    """Chunks with their document's ordinal, digests and places."""
-    index = F.row_number().over(Window.partitionBy("label").orderBy("doc_id")) - 1
+def provenance(docs: DataFrame, rule: Chunking = Chunking(), row: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks with their document's ordinal, digests and places.
+
+    ``row`` names columns that tell rows of ``docs`` apart, such as file and place: ordinals are then found from ids alone, and no
+    text is sorted. Without them ordinals are given beside the texts. Either way each row has one, repeated ids or not
+    (these follow one another in the order of ``row``, else of their texts' digests).
+    """
     body = docs.filter(F.col("text").isNotNull()).withColumn("text", strip("text")).filter("text <> ''")
-    light = body.select("label", "doc_id").withColumn("source_document_index", index.cast("long"))
-    facts = body.select("label", "doc_id", F.sha2("text", 256).alias("source_text_sha256"), F.length("text").cast("long").alias("source_text_chars"), F.posexplode(windows(F.col("text"), rule)).alias("chunk_in_document", "c"))
+    ties = row or (F.md5(F.col("text").cast("binary")),)
+    index = (F.row_number().over(Window.partitionBy("label").orderBy("doc_id", *ties)) - 1).cast("long")
+    if not row:
+        body = body.withColumn("source_document_index", index)
+    facts = body.select(*row, *([] if row else ["source_document_index"]), "label", "doc_id", F.sha2("text", 256).alias("source_text_sha256"), F.length("text").cast("long").alias("source_text_chars"), F.posexplode(windows(F.col("text"), rule)).alias("chunk_in_document", "c"))
     out = facts.select("*", "c.char_start", "c.char_end", F.sha2("c.text", 256).alias("chunk_sha256")).drop("c")
-    return out.join(light, ["label", "doc_id"])
+    if not row:
+        return out
+    light = body.select("label", "doc_id", *row).withColumn("source_document_index", index).drop("label", "doc_id")
+    return out.join(light, list(row)).drop(*row)
 
 
 def build_statistics(docs: DataFrame, rule: Chunking = Chunking()) -> DataFrame:

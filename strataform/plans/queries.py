@@ -40,7 +40,13 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("label"), "doc_id", "text", "lang")
+    return documents(spark, sf).select("label", "doc_id", "text", "lang")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with ``file`` and ``row``, which tell rows apart whatever their ids are."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    return rows.select(F.col("source").alias("label"), "doc_id", "text", "lang", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,9 +54,14 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """One row a source: label, ord, role."""
-    ordinal = F.substring("label", 4, 9).cast("int")
-    return raw(spark, sf).select("label").distinct().select("label", ordinal.alias("ord"), pairs.role_of(ordinal).alias("role"))
+    """One row a source: label, ord, role. A source's number stands in its name; one without a number comes behind all others, in
+    the order of a digest, as a candidate.
+
+    The number is tried, as plans carry the expression over joins to names that hold none.
+    """
+    number = F.substring("label", 4, 9).try_cast("int").cast("long")
+    ordinal = F.coalesce(number, F.lit(2**32) + F.abs(F.xxhash64("label") % 2**40))
+    return raw(spark, sf).select("label").filter("label IS NOT NULL").distinct().select("label", ordinal.alias("ord"), pairs.role_of(ordinal).alias("role"))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +185,7 @@ def c5_short_corpora(spark, sf):
 
 @query
 def c6_chunk_provenance(spark, sf):
-    out = chunking.provenance(docs(spark, sf), WHOLE)
+    out = chunking.provenance(spread(documents(spark, sf), "doc_id"), WHOLE, ("file", "row"))
     return out.select("label", "doc_id", "source_document_index", "source_text_sha256", "source_text_chars", F.col("chunk_in_document").cast("long").alias("chunk_in_document"), "chunk_sha256")
 
 
