@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
 from strataform.functions.text import strip
-from strataform.operators import chunking, compression, extract, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
 from strataform.sources import readers, sinks
 
@@ -136,7 +136,7 @@ def mismatched(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 def pair_metrics(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alone: DataFrame, k: int = CLUSTERS, tokenizers=("punct", "stable")) -> DataFrame:
     """(a, b, pair_class, direction, <six metrics>) of all ordered pairs; only lexical ones depend on the direction."""
     directed = pairs.directed(panel)
-    counts = lexical.gram_counts(chunks, tokenizers)
+    counts = held(frequent.frequent_counts(chunks, 1024, tokenizers))
     words = lexical.lexical_pairs(lexical.cells(lexical.vocabulary(counts, 1024), counts, directed.select("a", "b")))
     clusters = semantic.occupancy_js(semantic.pair_clusters(vectors, pairs.unordered(panel), k), k)
     gaps = compression.gaps(alone.withColumnRenamed("lzma_ratio", "compression").withColumnsRenamed({"top1_share": "top1", "top5_share": "top5"}), directed, ["compression", "top1", "top5"])
@@ -298,7 +298,7 @@ def textual_grid(panel: DataFrame, chunks: DataFrame, codecs: tuple[str, ...] =
     """One row a (tokenizer, n, v, codec): for each group of directed pairs (bb, bt, tb, tt) their number, mean divergence, agreement and signed
     compression gap, means of finite values alone, and whether the two orderings hold."""
     directed = pairs.directed(panel).withColumn("grp", F.when(F.col("pair_class") == "broad_broad", "bb").when(F.col("pair_class") == "targeted_targeted", "tt").when(F.col("direction") == "forward", "bt").otherwise("tb"))
-    counts = held(lexical.gram_counts(chunks, tokenizers, orders))
+    counts = held(frequent.frequent_counts(chunks, max(sizes), tokenizers, orders))
     cells = lexical.cells(lexical.vocabulary(counts, max(sizes)), counts, directed.select("a", "b"), sizes).join(directed.select("a", "b", "grp"), ["a", "b"])
     names = ["bb", "bt", "tb", "tt"]
     words = cells.groupBy("tokenizer", "n", "v").pivot("grp", names).agg(pairs.finite_mean("js").alias("lexical_js"), pairs.finite_mean("rho").alias("rho"))

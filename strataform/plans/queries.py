@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.catalog import QUERIES
-from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, PROJECTIONS, Chunking
+from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, ORDERS, PROJECTIONS, TOKENIZERS, Chunking
 from strataform.functions import text as T
-from strataform.operators import chunking, compression, extract, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
 
 WHOLE = Chunking(per_document=None, per_corpus=None, documents=None)
@@ -40,7 +40,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("label", "doc_id", "text", "lang")
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("label"), "doc_id", "text", "lang")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,6 +99,12 @@ def studied(p: DataFrame) -> DataFrame:
     return p.filter("role <> 'candidate'")
 
 
+def leading(spark: SparkSession, sf: str, size: int, tokenizers: tuple[str, ...] = TOKENIZERS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """Counts, in every corpus, of the grams that are among the ``size`` most frequent of any. For settings with longer grams: words
+    alone are few in a task, whose partial sums are fewer bytes than the texts that this deals."""
+    return frequent.frequent_counts(chunks(spark, sf), size, tokenizers, orders, sizes=raw(spark, sf).groupBy("label").agg(F.count("*").alias("n")))
+
+
 def cell_pairs(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
     """Lexical distances of the wanted pairs in the setting punct, unigrams, 256."""
     counts = held(lexical.gram_counts(chunks(spark, sf), **ONE))
@@ -233,8 +239,7 @@ def t4_ngrams(spark, sf):
 
 @query
 def r1_vocab_topk(spark, sf):
-    counts = lexical.gram_counts(chunks(spark, sf), **ONE)
-    return lexical.vocabulary(counts, 256).select("label", "gram", "cnt", F.col("rank").cast("long").alias("rank"))
+    return lexical.vocabulary(lexical.gram_counts(chunks(spark, sf), **ONE), 256).select("label", "gram", "cnt", F.col("rank").cast("long").alias("rank"))
 
 
 # Lexical distances
@@ -251,7 +256,7 @@ def m3_spearman_cell(spark, sf):
 
 
 def _grid(spark, sf, wanted):
-    counts = held(lexical.gram_counts(chunks(spark, sf)))
+    counts = held(leading(spark, sf, 1024))
     return lexical.cells(lexical.vocabulary(counts, 1024), counts, wanted.select("a", "b"))
 
 
@@ -263,7 +268,7 @@ def m4_lexical_pair_grid(spark, sf):
 
 @query
 def m4b_lexical_pair_stable(spark, sf):
-    counts = held(lexical.gram_counts(chunks(spark, sf), ("stable",), (1, 2)))
+    counts = held(leading(spark, sf, 512, ("stable",), (1, 2)))
     met = lexical.cells(lexical.vocabulary(counts, 512), counts, pairs.unordered(studied(panel(spark, sf))).select("a", "b"), (256, 512))
     return rounded(lexical.lexical_pairs(met), "lexical_js", "rho")
 
