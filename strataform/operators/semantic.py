@@ -17,6 +17,10 @@ from strataform.operators.lexical import smoothed_js
 FITTED = 100_000
 #: Quantiles at which sorted projections of corpora of any size are compared.
 GRID = 32
+#: Bytes of centres that are broadcast at once; more are dealt with in several rounds.
+CENTRES_BYTES = 128 << 20
+#: Bytes of sums that a task holds; beyond, it passes on what it has.
+SUMS_BYTES = 256 << 20
 #: Values of a corpus and projection that a task compares at once.
 STRETCH = 4096
 
@@ -48,13 +52,12 @@ def centroid_distances(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", "pair_class", (1 - F.col("xy") / (one("nx") * one("ny"))).alias("centroid_cosine_distance"), "centroid_l2_distance")
 
 
-def spectrum(vectors: DataFrame, column: str = "embedding", by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
-    """(<by>, label, n, total_variance, top1_share, top5_share) of the sample covariance.
+def moments(vectors: DataFrame, keys: list[str], column: str = "embedding", times: str | None = None) -> DataFrame:
+    """(<keys>, n, s, p): tasks' numbers, sums and sums of products of vectors, as bytes of doubles. A task holds at most ``SUMS_BYTES`` of
+    sums (and one more key's) and passes on what it has beyond that, so that the number of keys doesn't matter."""
 
-    Tasks add up each corpus's products (one fixed-size row a corpus and task), which meet by corpus. ``times`` names a
-    column that says how often a vector counts; ``by`` names further keys, such as a replicate.
-    """
-    keys = [*by, "label"]
+    def table(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n, s.tobytes(), p.tobytes()) for k, (n, s, p) in sums.items()], columns=[*keys, "n", "s", "p"])
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -64,48 +67,86 @@ def spectrum(vectors: DataFrame, column: str = "embedding", by: tuple[str, ...]
                 w = g[times].to_numpy(np.float64) if times else np.ones(len(x))
                 n, s, p = sums.get(key, (0, 0.0, 0.0))
                 sums[key] = (n + int(w.sum()), s + w @ x, p + (x * w[:, None]).T @ x)
-        yield pd.DataFrame([(*k, n, s.tobytes(), p.tobytes()) for k, (n, s, p) in sums.items()], columns=[*keys, "n", "s", "p"])
+                if len(sums) * sums[key][2].nbytes > SUMS_BYTES:
+                    yield table(sums)
+                    sums = {}
+        yield table(sums)
+
+    kinds = ", ".join(f"{k} {dict(vectors.dtypes)[k]}" for k in keys)
+    return vectors.select(*keys, column, *([times] if times else [])).mapInPandas(partial, f"{kinds}, n long, s binary, p binary")
+
+
+def shares(n: int, s: np.ndarray, p: np.ndarray) -> tuple[int, float, float, float]:
+    """(n, total variance, shares of the largest and the five largest eigenvalues) of the sample covariance of summed vectors."""
+    values = np.clip(np.linalg.eigvalsh((p - np.outer(s, s) / n) / max(1, n - 1))[::-1], 0, None)
+    total = float(values.sum())
+    return n, total, float(values[0] / total) if total else 0.0, float(values[:5].sum() / total) if total else 0.0
+
+
+def spectrum(vectors: DataFrame, column: str = "embedding", by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
+    """(<by>, label, n, total_variance, top1_share, top5_share) of the sample covariance.
+
+    Tasks add up each corpus's products, which meet by corpus one after another. ``times`` names a column that says how
+    often a vector counts; ``by`` names further keys, such as a replicate.
+    """
+    keys = [*by, "label"]
 
     def whole(f: pd.DataFrame) -> pd.DataFrame:
-        n = int(f["n"].sum())
         s = sum(np.frombuffer(x) for x in f["s"])
         p = sum(np.frombuffer(x) for x in f["p"]).reshape(len(s), len(s))
-        values = np.clip(np.linalg.eigvalsh((p - np.outer(s, s) / n) / max(1, n - 1))[::-1], 0, None)
-        total = float(values.sum())
-        return pd.DataFrame([(*(f[k].iloc[0] for k in keys), n, total, float(values[0] / total) if total else 0.0, float(values[:5].sum() / total) if total else 0.0)], columns=[*keys, "n", "total_variance", "top1_share", "top5_share"])
+        return pd.DataFrame([(*(f[k].iloc[0] for k in keys), *shares(int(f["n"].sum()), s, p))], columns=[*keys, "n", "total_variance", "top1_share", "top5_share"])
 
     kinds = ", ".join(f"{k} {dict(vectors.dtypes)[k]}" for k in keys)
-    parts = vectors.select(*keys, column, *([times] if times else [])).mapInPandas(partial, f"{kinds}, n long, s binary, p binary")
-    return parts.groupBy(*keys).applyInPandas(whole, f"{kinds}, n long, total_variance double, top1_share double, top5_share double")
+    return moments(vectors, keys, column, times).groupBy(*keys).applyInPandas(whole, f"{kinds}, n long, total_variance double, top1_share double, top5_share double")
+
+
+def prefix_moments(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """(label, col, n, s, p): sums over all vectors (label, col, ...) of a corpus's segments up to each."""
+    kind = dict(vectors.dtypes)["label"]
+
+    def running(f: pd.DataFrame) -> pd.DataFrame:
+        n, s, p, out = 0, 0.0, 0.0, []
+        for col, g in f.sort_values("col").groupby("col"):
+            n, s, p = n + int(g["n"].sum()), s + sum(np.frombuffer(x) for x in g["s"]), p + sum(np.frombuffer(x) for x in g["p"])
+            out.append((f["label"].iloc[0], int(col), n, s.tobytes(), p.tobytes()))
+        return pd.DataFrame(out, columns=["label", "col", "n", "s", "p"])
+
+    return moments(vectors, ["label", "col"], column).groupBy("label").applyInPandas(running, f"label {kind}, col int, n long, s binary, p binary")
 
 
 def total_variance(vectors: DataFrame) -> DataFrame:
     return long_form(vectors).groupBy("label", "dim").agg(F.var_samp("value").alias("v")).groupBy("label").agg(F.sum("v").alias("total_variance"))
 
 
-def lloyd(x: np.ndarray, k: int, seeds: int) -> np.ndarray:
-    """The centres of the best of several k-means runs."""
+def lloyd(x: np.ndarray, k: int, seeds: int, w: np.ndarray | None = None) -> np.ndarray:
+    """The centres of the best of several k-means runs; ``w`` says how often each row counts."""
+    if w is not None:
+        x, w = x[w > 0], w[w > 0].astype(float)
     best, cost = x[:1], math.inf
-    k = max(2, min(k, len(x)))
+    k = max(2, min(k, len(x) if w is None else int(w.sum())))
     sq = (x * x).sum(1)
+    one = np.ones(len(x)) if w is None else w
     for seed in range(seeds):
         rng = np.random.default_rng(seed)
         picked = [int(rng.integers(len(x)))]
         near = np.maximum(sq - 2 * x @ x[picked[0]] + sq[picked[0]], 0)
         for _ in range(k - 1):
-            total = near.sum()
-            i = int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x)))
+            total = (near * one).sum()
+            i = int(rng.choice(len(x), p=near * one / total)) if total > 0 else int(rng.integers(len(x)))
             picked.append(i)
             near = np.minimum(near, np.maximum(sq - 2 * x @ x[i] + sq[i], 0))
         c = x[picked]
         for _ in range(100):
             d = sq[:, None] - 2 * x @ c.T + (c * c).sum(1)
             own = d.argmin(1)
-            new = np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            held = np.zeros((k, len(x)))
+            held[own, np.arange(len(x))] = one
+            n = held.sum(1)
+            new = np.where(n[:, None] > 0, held @ x / np.maximum(n, 1)[:, None], c)
             if np.allclose(new, c):
                 break
             c = new
-        inertia = float(np.maximum(d[np.arange(len(x)), own], 0).sum())
+        inertia = float((np.maximum(d[np.arange(len(x)), own], 0) * one).sum())
         if inertia < cost:
             best, cost = c, inertia
     return best
@@ -147,6 +188,72 @@ def pair_clusters(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds
     return vectors.select("label", "vec_id", column).mapInPandas(assign, f"a {kind}, b {kind}, label {kind}, vec_id long, cluster int")
 
 
+def mixture_clusters(vectors: DataFrame, mixtures: list[tuple], k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS) -> DataFrame:
+    """(base, target, alpha, semantic_cluster_js) of corpora and their ``mixtures`` (base, target, alpha, n_base, n_target: the first so many
+    vectors, by ``vec_id`` from 0, of either).
+
+    k-means of a corpus and its mixture is fitted to the vectors of both corpora once, each as often as it is in the two (of more
+    than ``FITTED`` a seeded uniform sample). Vectors are assigned where they lie, and only counts of clusters leave the tasks.
+    """
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)["label"]
+    by_pair: dict = {}
+    for base, target, *rest in mixtures:
+        by_pair.setdefault((base, target), []).append(rest)
+    sides = spark.createDataFrame([(b, t, x) for b, t in by_pair for x in (b, t)], f"base {kind}, target {kind}, label {kind}")
+    order = Window.partitionBy("base", "target").orderBy(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("vec_id").cast("string")).cast("binary")), "label", "vec_id")
+    sample = F.broadcast(sides).join(vectors.select("label", "vec_id", "embedding"), "label").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= FITTED).drop("_rank")
+
+    def often(label: np.ndarray, vec_id: np.ndarray, base, target, nb: int, nt: int) -> np.ndarray:
+        return np.where(label == base, 1 + (vec_id < nb), 0) + np.where(label == target, vec_id < nt, 0)
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["label", "vec_id"])
+        base, target, x = f["base"].iloc[0], f["target"].iloc[0], np.stack(f["embedding"].to_numpy()).astype(np.float64)
+        out = []
+        for alpha, nb, nt in by_pair[base, target]:
+            c = lloyd(x, k, seeds, often(f["label"].to_numpy(), f["vec_id"].to_numpy(), base, target, nb, nt))
+            out.append((base, target, alpha, len(c), c.tobytes()))
+        return pd.DataFrame(out, columns=["base", "target", "alpha", "k", "centres"])
+
+    known = {(base, target, alpha): (nb, nt) for base, target, alpha, nb, nt in mixtures}
+    fitted = sample.groupBy("base", "target").applyInPandas(fit, f"base {kind}, target {kind}, alpha double, k int, centres binary").toLocalIterator(prefetchPartitions=True)
+
+    def assigned(some: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(some)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: dict = {}
+            for f in frames:
+                for label, g in f.groupby("label"):
+                    x, at = np.stack(g["embedding"].to_numpy()).astype(np.float64), g["vec_id"].to_numpy()
+                    for base, target, alpha, c in shared.value:
+                        if label in (base, target):
+                            nb, nt = known[base, target, alpha]
+                            own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+                            mixed = np.bincount(own, (at < (nb if label == base else nt)).astype(float), len(c))
+                            whole = np.bincount(own, minlength=len(c)) if label == base else np.zeros(len(c))
+                            old = counts.get((base, target, alpha), 0)
+                            counts[base, target, alpha] = old + np.stack([whole, mixed])
+            rows = [(*key, j, int(v[0, j]), int(v[1, j])) for key, v in counts.items() for j in range(v.shape[1])]
+            yield pd.DataFrame(rows, columns=["base", "target", "alpha", "cluster", "x", "y"])
+
+        return vectors.select("label", "vec_id", "embedding").mapInPandas(run, f"base {kind}, target {kind}, alpha double, cluster int, x long, y long")
+
+    counts, batch, size = None, [], 0
+    for r in [*fitted, None]:
+        if r is not None:
+            batch.append((r.base, r.target, r.alpha, np.frombuffer(bytes(r.centres)).reshape(r.k, -1)))
+            size += len(r.centres)
+        if batch and (r is None or size > CENTRES_BYTES):
+            counts, batch, size = assigned(batch) if counts is None else counts.unionByName(assigned(batch)), [], 0
+    if counts is None:
+        return spark.createDataFrame([], f"base {kind}, target {kind}, alpha double, semantic_cluster_js double")
+    key = ["base", "target", "alpha"]
+    full = counts.groupBy(*key, "cluster").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    part = full.withColumn("js", smoothed_js(F.col("x"), F.col("y"), Window.partitionBy(*key)))
+    return part.groupBy(*key).agg(F.sum("js").alias("semantic_cluster_js"))
+
+
 def occupancy_js(assigned: DataFrame, k: int | None = None, times: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(<by>, a, b, js): divergence of the two corpora's cluster occupancy; clusters from 0 to ``k`` - 1, or to the
     pair's highest, count with 0 where nothing lies."""

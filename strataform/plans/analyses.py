@@ -9,12 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
 from strataform.functions.text import strip
-from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, replicates, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
 from strataform.sources import readers, sinks
 
@@ -191,22 +193,29 @@ def own_members(chunks: DataFrame) -> DataFrame:
     return chunks.select("label", F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times"))
 
 
+def composed_ratios(chunks: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, lzma_ratio) of composed corpora: the codec sees a uniform sample of ``MAX_CHUNKS`` chunks of a larger one, so that texts don't
+    travel once a composed corpus."""
+    place = F.concat_ws("/", "of", F.format_string("%012d", "chunk_index"))
+    heard = sampling.reservoir(members.withColumn("place", place), MAX_CHUNKS, SAMPLE_SEED, "place")
+    order = heard.join(chunks.select(F.col("label").alias("of"), "chunk_index", "text"), ["of", "chunk_index"]).select("label", F.col("place").alias("chunk_index"), "text", "times")
+    return compression.ratios(order, ("lzma",), times="times")
+
+
+def flagged(chunks: DataFrame) -> DataFrame:
+    """(label, chunk_index, refuses, marked): patterns are looked for once a chunk."""
+    return chunks.select("label", "chunk_index", F.col("text").rlike(extract.REFUSAL).alias("refuses"), F.col("text").rlike(extract.MARKER).alias("marked"))
+
+
 def composed_alone(chunks: DataFrame, vectors: DataFrame, members: DataFrame) -> DataFrame:
     """(label, n_chunks, lzma_ratio, total_variance, top1_share, top5_share, refusal_rate, marker_rate) of corpora composed of others' chunks.
 
-    ``members`` (label, of, chunk_index, times) says of which corpus which chunk is in ``label``, and how often. Patterns are looked
-    for once a chunk, and the codec sees a uniform sample of ``MAX_CHUNKS`` chunks of a larger corpus, so that texts don't
-    travel once a composed corpus.
+    ``members`` (label, of, chunk_index, times) says of which corpus which chunk is in ``label``, and how often.
     """
-    texts = chunks.select(F.col("label").alias("of"), "chunk_index", "text")
-    flags = texts.select("of", "chunk_index", F.col("text").rlike(extract.REFUSAL).alias("refuses"), F.col("text").rlike(extract.MARKER).alias("marked"))
     hit = lambda flag: F.sum(F.when(F.col(flag), F.col("times")).otherwise(0)) / F.sum("times")
-    rates = flags.join(members, ["of", "chunk_index"]).groupBy("label").agg(F.sum("times").alias("n_chunks"), hit("refuses").alias("refusal_rate"), hit("marked").alias("marker_rate"))
-    place = F.concat_ws("/", "of", F.format_string("%012d", "chunk_index"))
-    heard = sampling.reservoir(members.withColumn("place", place), MAX_CHUNKS, SAMPLE_SEED, "place")
-    order = heard.join(texts, ["of", "chunk_index"]).select("label", F.col("place").alias("chunk_index"), "text", "times")
+    rates = flagged(chunks).withColumnRenamed("label", "of").join(members, ["of", "chunk_index"]).groupBy("label").agg(F.sum("times").alias("n_chunks"), hit("refuses").alias("refusal_rate"), hit("marked").alias("marker_rate"))
     rows = vectors.select(F.col("label").alias("of"), F.col("vec_id").alias("chunk_index"), "embedding").join(members, ["of", "chunk_index"])
-    return rates.join(compression.ratios(order, ("lzma",), times="times"), "label").join(semantic.spectrum(rows, times="times").drop("n"), "label", "left")
+    return rates.join(composed_ratios(chunks, members), "label").join(semantic.spectrum(rows, times="times").drop("n"), "label", "left")
 
 
 def composed_words(grams: DataFrame, members: DataFrame, pairs_: DataFrame, sizes: tuple[int, ...], strict: bool = False) -> DataFrame:
@@ -277,23 +286,104 @@ def split_metrics(chunks: DataFrame, vectors: DataFrame, repeats: int, seed: int
 
 def mixture_panel(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alphas: tuple[float, ...] = ALPHAS, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
     """(base, target, alpha, rho, lexical_js, semantic_cluster_js, top1_share, top5_share, lzma_ratio, refusal_rate, marker_rate) of
-    every targeted corpus's mixtures with every other; the unmixed one is pinned to divergence 0 and agreement 1."""
+    every targeted corpus's mixtures with every other; the unmixed one is pinned to divergence 0 and agreement 1.
+
+    A corpus is cut into segments where any mixture's share ends. Grams, flags and moments are added up once a segment, and a
+    mixture is the sum of two prefixes; only the codec, which hears a sample, and k-means have work for each mixture.
+    """
     spark, targeted = panel.sparkSession, panel.filter("role = 'targeted'")
-    own = chunks.join(targeted.select("label"), "label")
-    p = pairs.ordered(targeted).select(F.col("a").alias("base"), F.col("b").alias("target"))
-    plan = sampling.mixture(own, p, spark.createDataFrame([(a,) for a in alphas], "alpha double"))
+    own = held(chunks.join(F.broadcast(targeted.select("label")), "label"))
+    plan = Mixtures.of(targeted, own, alphas)
+    kind = dict(chunks.dtypes)["label"]
+    wanted = spark.createDataFrame(plan.rows(), f"base {kind}, target {kind}, alpha double, whole int, base_col int, target_col int")
+    cols = replicates.segments(own, spark.createDataFrame(plan.ends(), f"label {kind}, col int, end long"))
+
+    asked = wanted.filter("alpha > 0").select(F.struct("base", "target", "alpha").alias("id"), F.col("base").alias("a"), F.col("whole").alias("a_col"), F.col("base").alias("b"), F.col("base_col").alias("b_col"), F.col("target").alias("more"), F.col("target_col").alias("more_col"))
+    cells = replicates.composed_cells(own, cols, plan.width, asked, sizes, tokenizers, orders, running=True)
+    words = cells.groupBy("id").agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho")).select("id.*", "lexical_js", "rho")
+
+    segment = cols.select("label", "chunk_index", F.col("cols")[0].alias("col"))
+    up_to = Window.partitionBy("label").orderBy("col")  # a row a segment
+    counted = flagged(own).join(segment, ["label", "chunk_index"]).groupBy("label", "col").agg(F.count("*").alias("n"), F.count_if("refuses").alias("refuses"), F.count_if("marked").alias("marked"))
+    flags = counted.select("label", "col", *(F.sum(c).over(up_to).alias(c) for c in ("n", "refuses", "marked")))
+    sums = semantic.prefix_moments(vectors.withColumnRenamed("vec_id", "chunk_index").join(segment, ["label", "chunk_index"]))
+
+    def both(rows: DataFrame, values: list[str]) -> DataFrame:
+        side = lambda s: rows.select(F.col("label").alias(s), F.col("col").alias(f"{s}_col"), *(F.col(v).alias(f"{s}_{v}") for v in values))
+        return wanted.join(side("base"), ["base", "base_col"], "left").join(side("target"), ["target", "target_col"], "left")
+
+    total = lambda v: F.coalesce(F.col(f"base_{v}"), F.lit(0)) + F.coalesce(F.col(f"target_{v}"), F.lit(0))
+    rates = both(flags, ["n", "refuses", "marked"]).select("base", "target", "alpha", (total("refuses") / total("n")).alias("refusal_rate"), (total("marked") / total("n")).alias("marker_rate"))
+
+    def spectra(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                parts = [(n, s, p) for n, s, p in ((r.base_n, r.base_s, r.base_p), (r.target_n, r.target_s, r.target_p)) if s is not None]
+                if parts:
+                    s = sum(np.frombuffer(x) for _, x, _ in parts)
+                    p = sum(np.frombuffer(x) for _, _, x in parts).reshape(len(s), len(s))
+                    out.append((r.base, r.target, r.alpha, *semantic.shares(int(sum(n for n, _, _ in parts)), s, p)[2:]))
+            yield pd.DataFrame(out, columns=["base", "target", "alpha", "top1_share", "top5_share"])
+
+    spread = both(sums, ["n", "s", "p"]).select("base", "target", "alpha", *(f"{x}_{v}" for x in ("base", "target") for v in "nsp"))
+    spectrum = spread.mapInPandas(spectra, f"base {kind}, target {kind}, alpha double, top1_share double, top5_share double")
+    clusters = semantic.mixture_clusters(vectors.join(F.broadcast(targeted.select("label")), "label"), [m for m in plan.mixtures() if m[2] > 0])
+
+    p = wanted.select("base", "target").distinct()
     name = F.concat_ws("@", "base", "target", F.col("alpha").cast("string"))
-    members = own_members(own).unionByName(plan.select(name.alias("label"), F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times")))
-    wanted = p.crossJoin(spark.createDataFrame([(a,) for a in alphas], "alpha double")).select("*", F.col("base").alias("a"), name.alias("b"))
-    mixed = wanted.filter("alpha > 0")
-    words = composed_words(resample.grid_grams(own, tokenizers, orders), members, mixed, sizes)
-    clusters = composed_clusters(vectors, members, mixed)
-    alone = composed_alone(chunks, vectors, members).withColumnRenamed("label", "b")
-    out = wanted.join(alone, "b").join(words, ["a", "b"], "left").join(clusters, ["a", "b"], "left")
+    members = sampling.mixture(own, p, spark.createDataFrame([(a,) for a in alphas], "alpha double")).select(name.alias("label"), F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times"))
+    heard = composed_ratios(own, members).withColumnRenamed("label", "_name")
+    key = ["base", "target", "alpha"]
+    out = wanted.withColumn("_name", name).join(heard, "_name").join(rates, key, "left").join(spectrum, key, "left").join(words, key, "left").join(clusters, key, "left")
     pinned = lambda m, v: F.when(F.col("alpha") == 0, F.lit(v)).otherwise(F.col(m)).alias(m)
     return out.select("base", "target", "alpha", pinned("rho", 1.0), pinned("lexical_js", 0.0), pinned("semantic_cluster_js", 0.0), "top1_share", "top5_share", "lzma_ratio", "refusal_rate", "marker_rate")
 
 
+@dataclass(frozen=True)
+class Mixtures:
+    """Which mixtures there are of corpora of known sizes, and where they cut these. A row a corpus, pair or mixture: all small."""
+
+    sizes: dict
+    alphas: tuple[float, ...]
+
+    @staticmethod
+    def of(corpora: DataFrame, chunks: DataFrame, alphas: tuple[float, ...]) -> Mixtures:
+        n = chunks.groupBy("label").agg(F.count("*").alias("n")).join(corpora.select("label", "ord"), "label").orderBy("ord").collect()
+        return Mixtures({r.label: r.n for r in n}, alphas)
+
+    def mixtures(self) -> list[tuple]:
+        """(base, target, alpha, chunks of the base, of the target): shares of the base's size, rounded half to even, and
+        no more of the target than there is."""
+        out = []
+        for base, n in self.sizes.items():
+            for target, m in self.sizes.items():
+                for alpha in self.alphas if base != target else ():
+                    taken = max(0, min(n, round(n * alpha)))
+                    out.append((base, target, alpha, n - taken, min(taken, m)))
+        return out
+
+    def cuts(self) -> dict:
+        """{corpus: where its segments end}; the last end is its size."""
+        ends: dict = {label: {n} for label, n in self.sizes.items()}
+        for base, target, _, nb, nt in self.mixtures():
+            ends[base].add(nb)
+            ends[target].add(nt)
+        return {label: sorted(e - {0}) for label, e in ends.items()}
+
+    @property
+    def width(self) -> int:
+        return max((len(e) for e in self.cuts().values()), default=1)
+
+    def ends(self) -> list[tuple]:
+        return [(label, k, e) for label, cut in self.cuts().items() for k, e in enumerate(cut)]
+
+    def rows(self) -> list[tuple]:
+        """(base, target, alpha, the base's last column, columns of both prefixes, or None of empty ones)."""
+        col = {label: {e: k for k, e in enumerate(cut)} for label, cut in self.cuts().items()}
+        return [(b, t, x, len(col[b]) - 1, col[b].get(nb), col[t].get(nt)) for b, t, x, nb, nt in self.mixtures()]
+
+
 def textual_grid(panel: DataFrame, chunks: DataFrame, codecs: tuple[str, ...] = ("gzip", "lzma", "zlib"), tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
     """One row a (tokenizer, n, v, codec): for each group of directed pairs (bb, bt, tb, tt) their number, mean divergence, agreement and signed
     compression gap, means of finite values alone, and whether the two orderings hold."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataform.catalog import QUERIES
 from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, ORDERS, PROJECTIONS, TOKENIZERS, Chunking
 from strataform.functions import text as T
-from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, replicates, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
 
 WHOLE = Chunking(per_document=None, per_corpus=None, documents=None)
@@ -481,16 +481,15 @@ def x2_embeddings(spark, sf):
 # Resampling and mixtures
 
 
-def _bootstrap(spark, sf, replicates):
-    grams = held(resample.chunk_grams(numbered(spark, sf)).join(studied(panel(spark, sf)).select("label"), "label"))
-    sizes = numbered(spark, sf).join(studied(panel(spark, sf)).select("label"), "label").groupBy("label").agg(F.count("*").alias("n"))
-    draws = sampling.bootstrap_draws(sizes, spark.range(replicates).withColumnRenamed("id", "replicate"), SEED)
-    counts = held(resample.resampled_counts(grams, draws, ("replicate", "label")))
-    vocab = lexical.vocabulary(counts, 256, ("replicate", "label"))
-    p = pairs.unordered(studied(panel(spark, sf)))
-    met = lexical.cells(vocab, counts, p.select("a", "b"), (256,), ("replicate",))
-    rows = lexical.lexical_pairs(met, ("replicate",)).join(p, ["a", "b"])
-    return rows.groupBy("replicate", "pair_class").agg(F.avg("lexical_js").alias("lexical_js"), F.avg("rho").alias("rho"))
+def _bootstrap(spark, sf, number):
+    """Family means of lexical distances for each replicate: counts of all replicates are one vector a gram."""
+    p = studied(panel(spark, sf))
+    rows = held(numbered(spark, sf).join(p.select("label"), "label"))
+    draws = sampling.bootstrap_draws(rows.groupBy("label").agg(F.count("*").alias("n")), spark.range(number).withColumnRenamed("id", "replicate"), SEED)
+    col = F.col("replicate").cast("int")
+    wanted = pairs.unordered(p).crossJoin(spark.range(number).withColumnRenamed("id", "replicate")).select(F.struct("replicate", "pair_class").alias("id"), "a", col.alias("a_col"), "b", col.alias("b_col"))
+    met = replicates.composed_cells(rows, replicates.drawn(draws), number, wanted)
+    return met.groupBy("id.replicate", "id.pair_class").agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho"))
 
 
 @query
@@ -504,34 +503,36 @@ def a14_bootstrap_quantiles(spark, sf):
     return rounded(out, "mean", "median", "q025", "q500", "q975")
 
 
+def _splits(spark, sf, repeats):
+    """Distances between random halves of each corpus and repeat."""
+    rows = held(numbered(spark, sf))
+    halves = sampling.halves(rows, spark.range(repeats).withColumnRenamed("id", "repeat"), SEED)
+    col = F.col("repeat") * 2
+    cols = replicates.drawn(halves.withColumn("col", col + F.when(F.col("half") == "A", 0).otherwise(1)), "col")
+    p = panel(spark, sf).crossJoin(spark.range(repeats).withColumnRenamed("id", "repeat"))
+    wanted = p.select(F.col("repeat").alias("id"), F.col("label").alias("a"), col.cast("int").alias("a_col"), F.col("label").alias("b"), (col + 1).cast("int").alias("b_col"))
+    return replicates.composed_cells(rows, cols, 2 * repeats, wanted).select(F.col("a").alias("label"), F.col("id").alias("repeat"), F.col("js").alias("lexical_js"), "rho")
+
+
 @query
 def c10_split_baseline(spark, sf):
     """Distances between random halves of each corpus, over two repeats, and the corpora's means."""
-    halves = sampling.halves(numbered(spark, sf), spark.range(2).withColumnRenamed("id", "repeat"), SEED)
-    grams = resample.chunk_grams(numbered(spark, sf))
-    named = halves.select("repeat", "label", "chunk_index", F.concat_ws("/", "label", "half").alias("side"))
-    counts = held(resample.resampled_counts(grams, named, ("repeat", "side")).withColumnRenamed("side", "label"))
-    p = panel(spark, sf).select(F.concat_ws("/", "label", F.lit("A")).alias("a"), F.concat_ws("/", "label", F.lit("B")).alias("b"))
-    met = lexical.cells(lexical.vocabulary(counts, 256, ("repeat", "label")), counts, p, (256,), ("repeat",))
-    out = met.groupBy(F.split_part("a", F.lit("/"), F.lit(1)).alias("label")).agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho"))
-    return rounded(out, "lexical_js", "rho")
+    return rounded(_splits(spark, sf, 2).groupBy("label").agg(F.avg("lexical_js").alias("lexical_js"), F.avg("rho").alias("rho")), "lexical_js", "rho")
 
 
 @query
 def x10_mixture_lexical(spark, sf):
     """Distances of every targeted corpus from its mixtures with every other; an unmixed one is pinned to 0 and 1."""
+    from strataform.plans.analyses import Mixtures
+
     targeted = panel(spark, sf).filter("role = 'targeted'")
-    p = pairs.ordered(targeted).select(F.col("a").alias("base"), F.col("b").alias("target"))
-    alphas = spark.createDataFrame([(a,) for a in ALPHAS if a], "alpha double")
-    spots = numbered(spark, sf)
-    plan = sampling.mixture(spots, p, alphas).withColumn("mix", F.concat_ws("/", "base", "target", "alpha"))
-    grams = held(resample.chunk_grams(spots).join(targeted.select("label"), "label"))
-    mixed = resample.resampled_counts(grams, plan.select("label", "chunk_index", "mix"), ("mix",)).withColumnRenamed("mix", "label")
-    own = held(grams.groupBy("label", "tokenizer", "n", "gram").agg(F.sum("cnt").alias("cnt"), resample.earliest().alias("first")))
-    names = p.join(alphas).select(F.col("base").alias("a"), F.concat_ws("/", "base", "target", "alpha").alias("b"))
-    met = lexical.lexical_pairs(lexical.cells(lexical.vocabulary(own, 256), mixed, names, (256,)))
-    out = met.select(F.col("a").alias("base"), F.split_part("b", F.lit("/"), F.lit(2)).alias("target"), F.split_part("b", F.lit("/"), F.lit(3)).cast("double").alias("alpha"), "lexical_js", "rho")
-    zero = p.select("base", "target", F.lit(0.0).alias("alpha"), F.lit(0.0).alias("lexical_js"), F.lit(1.0).alias("rho"))
+    rows = held(numbered(spark, sf).join(targeted.select("label"), "label"))
+    plan = Mixtures.of(targeted, rows, ALPHAS)
+    wanted = spark.createDataFrame(plan.rows(), "base string, target string, alpha double, whole int, base_col int, target_col int")
+    asked = wanted.filter("alpha > 0").select(F.struct("base", "target", "alpha").alias("id"), F.col("base").alias("a"), F.col("whole").alias("a_col"), F.col("base").alias("b"), F.col("base_col").alias("b_col"), F.col("target").alias("more"), F.col("target_col").alias("more_col"))
+    cols = replicates.segments(rows, spark.createDataFrame(plan.ends(), "label string, col int, end long"))
+    out = replicates.composed_cells(rows, cols, plan.width, asked, running=True).select("id.*", F.col("js").alias("lexical_js"), "rho")
+    zero = wanted.filter("alpha = 0").select("base", "target", "alpha", F.lit(0.0).alias("lexical_js"), F.lit(1.0).alias("rho"))
     return rounded(out.unionByName(zero), "lexical_js", "rho")
 
 
