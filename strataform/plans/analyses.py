@@ -170,22 +170,23 @@ def corpus_matrix(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, out:
         Path(out, "summary.md").write_text(sinks.report("Corpus matrix", [f"corpora: `{panel.count()}`"], {"Families": table("family", "pair_class"), "Directions": table("directions", F.lit(1)), "Orderings": table("orderings", "metric"), "Separation": table("separations", "metric"), "Corpora": table("standalone", "label")}))
 
 
-def bootstrap(panel: DataFrame, chunks: DataFrame, replicates: int, checkpoint: str, seed: int = 0, batch: int = 10) -> DataFrame:
+def bootstrap(panel: DataFrame, chunks: DataFrame, replicates_: int, checkpoint: str, seed: int = 0, batch: int = 10) -> DataFrame:
     """(replicate, pair_class, lexical_js, rho) of every replicate. Batches are appended to a checkpoint of JSON lines, and
     those that it holds aren't done again; a replicate depends on its number alone, so order and reruns don't matter."""
     spark = panel.sparkSession
     schema = "replicate long, pair_class string, lexical_js double, rho double"
-    grams = resample.chunk_grams(chunks).persist()
-    sizes, studied = chunks.groupBy("label").agg(F.count("*").alias("n")), pairs.unordered(panel)
-    left = sorted(r.replicate for r in resample.pending(replicates, readers.checkpoint(spark, checkpoint, schema).select("replicate").distinct()).collect())
+    own, studied = held(chunks.join(F.broadcast(panel.select("label")), "label")), pairs.unordered(panel)
+    sizes = own.groupBy("label").agg(F.count("*").alias("n"))
+    left = sorted(r.replicate for r in resample.pending(replicates_, readers.checkpoint(spark, checkpoint, schema).select("replicate").distinct()).collect())
     for i in range(0, len(left), batch):
-        draws = sampling.bootstrap_draws(sizes, spark.createDataFrame([(r,) for r in left[i : i + batch]], "replicate long"), seed)
-        counts = resample.resampled_counts(grams, draws, ("replicate", "label"))
-        cells = lexical.cells(lexical.vocabulary(counts, 512, ("replicate", "label")), counts, studied.select("a", "b"), (512,), ("replicate",))
-        rows = lexical.lexical_pairs(cells, ("replicate",)).join(studied, ["a", "b"]).groupBy("replicate", "pair_class").agg(F.avg("lexical_js").alias("lexical_js"), F.avg("rho").alias("rho"))
-        sinks.append_json_lines(rows, checkpoint)
-    grams.unpersist()
-    return readers.checkpoint(spark, checkpoint, schema).filter(F.col("replicate") < replicates)
+        reps = spark.createDataFrame([(r, k) for k, r in enumerate(left[i : i + batch])], "replicate long, col int")
+        draws = sampling.bootstrap_draws(sizes, reps.select("replicate"), seed).join(F.broadcast(reps), "replicate")
+        wanted = studied.crossJoin(reps).select(F.struct("replicate", "pair_class").alias("id"), "a", F.col("col").alias("a_col"), "b", F.col("col").alias("b_col"))
+        cells = replicates.composed_cells(own, replicates.drawn(draws, "col"), batch, wanted, (512,))
+        rows = cells.groupBy("id.replicate", "id.pair_class").agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho"))
+        sinks.append_json_lines(rows.select("replicate", "pair_class", "lexical_js", "rho"), checkpoint)
+        release()
+    return readers.checkpoint(spark, checkpoint, schema).filter(F.col("replicate") < replicates_)
 
 
 def own_members(chunks: DataFrame) -> DataFrame:
@@ -218,12 +219,10 @@ def composed_alone(chunks: DataFrame, vectors: DataFrame, members: DataFrame) ->
     return rates.join(composed_ratios(chunks, members), "label").join(semantic.spectrum(rows, times="times").drop("n"), "label", "left")
 
 
-def composed_words(grams: DataFrame, members: DataFrame, pairs_: DataFrame, sizes: tuple[int, ...], strict: bool = False) -> DataFrame:
-    """(a, b, lexical_js, rho) of pairs of composed corpora, from grams by chunk (``resample.grid_grams``)."""
-    met = grams.withColumnRenamed("label", "of").join(members, ["of", "chunk_index"])
-    counts = met.groupBy("label", "tokenizer", "n", "gram").agg(F.sum(F.col("cnt") * F.col("times")).alias("cnt"), resample.earliest().alias("first"))
-    counts = held(counts)
-    return lexical.lexical_pairs(lexical.cells(lexical.vocabulary(counts, max(sizes)), counts, pairs_.select("a", "b"), sizes), strict=strict)
+def means_of_cells(cells: DataFrame, strict: bool = False) -> DataFrame:
+    """(id, lexical_js, rho): means over a comparison's settings; an undefined agreement doesn't count, or with ``strict`` makes the mean NaN."""
+    rho = F.when(F.count("rho") < F.count("*"), F.lit(float("nan"))).otherwise(F.avg("rho")) if strict else F.avg("rho")
+    return cells.groupBy("id").agg(F.avg("js").alias("lexical_js"), rho.alias("rho"))
 
 
 def composed_clusters(vectors: DataFrame, members: DataFrame, pairs_: DataFrame, assigned: DataFrame | None = None, k: int = CLUSTERS) -> DataFrame:
@@ -242,12 +241,11 @@ def composed_clusters(vectors: DataFrame, members: DataFrame, pairs_: DataFrame,
     return semantic.occupancy_js(sides.join(known, ["a_of", "b_of", "of", "chunk_index"]), times="times")
 
 
-def composed_pairs(chunks: DataFrame, vectors: DataFrame, grams: DataFrame, members: DataFrame, pairs_: DataFrame, sizes: tuple[int, ...] = VOCABULARIES, assigned: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """``pairs_`` with the six metrics of composed corpora."""
+def composed_pairs(chunks: DataFrame, vectors: DataFrame, members: DataFrame, pairs_: DataFrame, words: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
+    """``pairs_`` (id, a, b, ...) with the six metrics of composed corpora; ``words``: ``means_of_cells`` of the same comparisons."""
     alone = composed_alone(chunks, vectors, members).withColumnsRenamed({"lzma_ratio": "compression", "top1_share": "top1", "top5_share": "top5"})
     out = compression.gaps(alone, pairs_, ["compression", "top1", "top5"])
-    out = out.join(composed_words(grams, members, pairs_, sizes, strict), ["a", "b"], "left")
-    return out.join(composed_clusters(vectors, members, pairs_, assigned), ["a", "b"], "left")
+    return out.join(words, "id", "left").join(composed_clusters(vectors, members, pairs_, assigned), ["a", "b"], "left")
 
 
 def drawn(draws: DataFrame, key: str = "replicate") -> DataFrame:
@@ -255,15 +253,18 @@ def drawn(draws: DataFrame, key: str = "replicate") -> DataFrame:
     return draws.select(F.concat_ws("@", "label", F.col(key).cast("string")).alias("label"), F.col("label").alias("of"), "chunk_index", "times")
 
 
-def bootstrap_metrics(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, replicates: int, seed: int = 0, k: int = CLUSTERS, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
+def bootstrap_metrics(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, replicates_: int, seed: int = 0, k: int = CLUSTERS, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
     """(replicate, a, b, pair_class, <six metrics>), in the order of replicates: chunks and vectors are drawn together with replacement,
     and clusters are fitted once a pair to the whole corpora. An undefined agreement makes the pair's NaN."""
     p, spark = pairs.unordered(panel), panel.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
-    draws = sampling.bootstrap_draws(chunks.join(panel.select("label"), "label").groupBy("label").agg(F.count("*").alias("n")), reps, seed)
+    own = held(chunks.join(F.broadcast(panel.select("label")), "label"))
+    reps = spark.range(replicates_).withColumnRenamed("id", "replicate")
+    draws = held(sampling.bootstrap_draws(own.groupBy("label").agg(F.count("*").alias("n")), reps, seed))
     name = lambda c: F.concat_ws("@", c, F.col("replicate").cast("string"))
-    wanted = p.crossJoin(reps).select("replicate", "pair_class", F.col("a").alias("a_of"), F.col("b").alias("b_of"), name("a").alias("a"), name("b").alias("b"))
-    out = composed_pairs(chunks, vectors, resample.grid_grams(chunks, tokenizers, orders), drawn(draws), wanted, sizes, semantic.pair_clusters(vectors, p, k), strict=True)
+    asked, col = p.crossJoin(reps).withColumn("id", F.struct("replicate", "a", "b")), F.col("replicate").cast("int")
+    cells = replicates.composed_cells(own, replicates.drawn(draws), replicates_, asked.select("id", "a", col.alias("a_col"), "b", col.alias("b_col")), sizes, tokenizers, orders)
+    wanted = asked.select("id", "replicate", "pair_class", F.col("a").alias("a_of"), F.col("b").alias("b_of"), name("a").alias("a"), name("b").alias("b"))
+    out = composed_pairs(own, vectors, drawn(draws), wanted, means_of_cells(cells, strict=True), semantic.pair_clusters(vectors, p, k))
     return out.select("replicate", F.col("a_of").alias("a"), F.col("b_of").alias("b"), "pair_class", *METRICS).orderBy("replicate", "a", "b")
 
 
@@ -275,12 +276,16 @@ def bootstrap_summary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split_metrics(chunks: DataFrame, vectors: DataFrame, repeats: int, seed: int = 0, tokenizers=TOKENIZERS, orders=ORDERS, sizes=VOCABULARIES) -> DataFrame:
     """(label, repeat, <six metrics>) between the random halves of each corpus; ``resample.split_summary`` sums up."""
-    reps = chunks.sparkSession.range(repeats).withColumnRenamed("id", "repeat")
-    halves = sampling.halves(chunks, reps, seed)
+    reps, chunks = chunks.sparkSession.range(repeats).withColumnRenamed("id", "repeat"), held(chunks)
+    halves = held(sampling.halves(chunks, reps, seed))
     name = lambda half: F.concat_ws("@", "label", F.col("repeat").cast("string"), half)
+    col = lambda half: (F.col("repeat") * 2 + half).cast("int")
     members = halves.select(name(F.col("half")).alias("label"), F.col("label").alias("of"), "chunk_index", F.lit(1).cast("long").alias("times"))
-    wanted = chunks.select("label").distinct().crossJoin(reps).select(F.col("label").alias("corpus"), "repeat", name(F.lit("A")).alias("a"), name(F.lit("B")).alias("b"))
-    out = composed_pairs(chunks, vectors, resample.grid_grams(chunks, tokenizers, orders), members, wanted, sizes)
+    asked = chunks.select("label").distinct().crossJoin(reps).withColumn("id", F.struct("label", "repeat"))
+    cols = replicates.drawn(halves.withColumn("col", col(F.when(F.col("half") == "A", 0).otherwise(1))), "col")
+    cells = replicates.composed_cells(chunks, cols, 2 * repeats, asked.select("id", F.col("label").alias("a"), col(F.lit(0)).alias("a_col"), F.col("label").alias("b"), col(F.lit(1)).alias("b_col")), sizes, tokenizers, orders)
+    wanted = asked.select("id", "repeat", F.col("label").alias("corpus"), name(F.lit("A")).alias("a"), name(F.lit("B")).alias("b"))
+    out = composed_pairs(chunks, vectors, members, wanted, means_of_cells(cells))
     return out.select(F.col("corpus").alias("label"), "repeat", *METRICS)
 
 
@@ -300,7 +305,7 @@ def mixture_panel(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alpha
 
     asked = wanted.filter("alpha > 0").select(F.struct("base", "target", "alpha").alias("id"), F.col("base").alias("a"), F.col("whole").alias("a_col"), F.col("base").alias("b"), F.col("base_col").alias("b_col"), F.col("target").alias("more"), F.col("target_col").alias("more_col"))
     cells = replicates.composed_cells(own, cols, plan.width, asked, sizes, tokenizers, orders, running=True)
-    words = cells.groupBy("id").agg(F.avg("js").alias("lexical_js"), F.avg("rho").alias("rho")).select("id.*", "lexical_js", "rho")
+    words = means_of_cells(cells).select("id.*", "lexical_js", "rho")
 
     segment = cols.select("label", "chunk_index", F.col("cols")[0].alias("col"))
     up_to = Window.partitionBy("label").orderBy("col")  # a row a segment

@@ -9,8 +9,8 @@ from strataform.catalog import ORACLES
 from strataform.config import ALPHAS
 from strataform.operators import compression, extract, lexical, pairs, resample, sampling, semantic
 from strataform.plans import analyses
-from strataform.plans.oracles import BOOT, BOTH, CHUNKS, DISTANCES, DRAW, FAMILY, LONG, NORMAL, ORDERED, PANEL, SPACE, UNORDERED, VPANEL, at
-from strataform.plans.queries import SEED, _bootstrap, _fixed, directed_pairs, docs, numbered, panel, query, rounded, studied, vector_panel, vectors
+from strataform.plans.oracles import ALL_GRAMS1, BOOT, BOTH, CHUNKS, DISTANCES, DRAW, FAMILY, LONG, NORMAL, ORDERED, PANEL, SPACE, UNORDERED, VPANEL, at, boot, halved
+from strataform.plans.queries import SEED, _bootstrap, _fixed, _splits, directed_pairs, docs, numbered, panel, query, rounded, studied, vector_panel, vectors
 
 TEXT = ["lexical_js", "rho"]
 SMALL = {"tokenizers": ("stable",), "orders": (1,), "sizes": (256,)}
@@ -151,8 +151,12 @@ def x1_build_chunks(spark, sf):
 @query
 def m10_bootstrap_clusters(spark, sf):
     """Cluster divergence of resampled vectors under partitions that were fixed once (by nearest corpus mean), three replicates."""
+    return _fixed_partitions(spark, sf, 3)
+
+
+def _fixed_partitions(spark, sf, replicates):
     v, p = numbered_vectors(spark, sf), pairs.unordered(studied(vector_panel(spark, sf)))
-    reps = spark.range(3).withColumnRenamed("id", "replicate")
+    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
     draws = sampling.bootstrap_draws(v.groupBy("label").agg(F.count("*").alias("n")), reps, SEED)
     near = semantic.nearest_centroid(v).join(v.select("label", "vec_id", "chunk_index"), ["label", "vec_id"])
     name = lambda c: F.concat_ws("@", F.col(c).cast("string"), F.col("replicate").cast("string"))
@@ -211,6 +215,72 @@ def x4_textual_grid(spark, sf):
     return rounded(out, *(c for c, t in out.dtypes if t == "double"))
 
 
+# Production counts: what the queries above do with few, to keep their SQL short
+
+REPLICATES, REPEATS = 200, 50
+
+
+@query
+def c8_bootstrap_production(spark, sf):
+    return rounded(_bootstrap(spark, sf, REPLICATES), *TEXT)
+
+
+@query
+def a7_ordering_production(spark, sf):
+    return pairs.held_counts(pairs.checks(_bootstrap(spark, sf, REPLICATES), TEXT, ("replicate",)))
+
+
+@query
+def a14_bootstrap_production(spark, sf):
+    return rounded(resample.summary(_bootstrap(spark, sf, REPLICATES), TEXT), "mean", "median", "q025", "q500", "q975")
+
+
+@query
+def c10_split_production(spark, sf):
+    """Every repeat's distance between the halves of each corpus."""
+    return rounded(_splits(spark, sf, REPEATS), *TEXT)
+
+
+@query
+def a15_split_production(spark, sf):
+    """Quantiles over corpora of their means over repeats."""
+    return rounded(resample.split_summary(_splits(spark, sf, REPEATS), TEXT), "mean", "median", "q025", "q500", "q975")
+
+
+@query
+def m10_bootstrap_clusters_production(spark, sf):
+    return _fixed_partitions(spark, sf, REPLICATES)
+
+
+@query
+def x5_bootstrap_production(spark, sf):
+    """Quantiles over 200 replicates of all six metrics, over all 18 settings."""
+    p, rows, vecs = _text_corpora(spark, sf)
+    out = analyses.bootstrap_metrics(p, rows, vecs, REPLICATES, SEED)
+    return rounded(analyses.bootstrap_summary(out)[0], "mean", "median", "q025", "q500", "q975")
+
+
+@query
+def x7_split_production(spark, sf):
+    p, rows, vecs = _text_corpora(spark, sf)
+    return rounded(analyses.split_metrics(rows, vecs, REPEATS, SEED), *analyses.METRICS)
+
+
+@query
+def x10_mixture_production(spark, sf):
+    """All six shares, over all 18 settings."""
+    p, rows, vecs = _text_corpora(spark, sf)
+    out = analyses.mixture_panel(p, rows, vecs)
+    return rounded(out, *(c for c in out.columns if c not in ("base", "target", "alpha")))
+
+
+@query
+def x4_textual_production(spark, sf):
+    """All 54 settings."""
+    out = analyses.textual_grid(studied(panel(spark, sf)), numbered(spark, sf))
+    return rounded(out, *(c for c, t in out.dtypes if t == "double"))
+
+
 BLANKED = "blanked AS (SELECT source, doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 11 <> 0 THEN text END AS text FROM documents)"
 FILLED = f"{BLANKED}, filled AS (SELECT source AS label, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM blanked WHERE regexp_replace(coalesce(text, ''), {SPACE}, '', 'g') <> '')"
 SCANNED = "drawn AS (SELECT label, doc_id, text, i - {skip} AS source_document_index, row_number() OVER (PARTITION BY label ORDER BY md5('20260505|' || label || '|' || doc_id), doc_id) - 1 AS document_sample_rank FROM filled WHERE i >= {skip} AND i < {end})"
@@ -297,3 +367,16 @@ ORACLES |= {
  pq AS (SELECT *, x / sum(x) OVER (PARTITION BY base, target, alpha) AS p, y / sum(y) OVER (PARTITION BY base, target, alpha) AS q FROM xy)
  SELECT CAST(base AS VARCHAR) AS a, base || '/' || target || '/' || alpha AS b, round(sum(0.5 * p * ln(p / ((p + q) / 2)) + 0.5 * q * ln(q / ((p + q) / 2))), 6) AS semantic_cluster_js FROM pq GROUP BY base, target, alpha""",
 }
+
+_CLUSTERS = ORACLES["m10_bootstrap_clusters"]
+_QUANTILES = "round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.025), 6) AS q025, round(quantile_cont(v, 0.5), 6) AS q500, round(quantile_cont(v, 0.975), 6) AS q975"
+_MANY, _HALVED = boot(REPLICATES, ALL_GRAMS1), halved(REPEATS, ALL_GRAMS1)
+ORACLES |= {
+    "c8_bootstrap_production": f"{_MANY} SELECT replicate, pair_class, round(lexical_js, 6) AS lexical_js, round(rho, 6) AS rho FROM rows",
+    "a7_ordering_production": ORACLES["a7_ordering_counts"].replace(BOOT, _MANY),
+    "a14_bootstrap_production": ORACLES["a14_bootstrap_summary"].replace(BOOT, _MANY),
+    "c10_split_production": f"{_HALVED} SELECT string_split(a, '/')[1] AS label, repeat, round(js, 6) AS lexical_js, round(rho, 6) AS rho FROM cells",
+    "a15_split_production": f"""{_HALVED}, m AS (SELECT string_split(a, '/')[1] AS label, avg(js) AS js, avg(rho) AS rho FROM cells GROUP BY 1),
+ l AS (SELECT 'lexical_js' AS metric, js AS v FROM m UNION ALL SELECT 'rho', rho FROM m) SELECT metric, {_QUANTILES} FROM l GROUP BY 1""",
+    "m10_bootstrap_clusters_production": _CLUSTERS.replace("range(0, 3)", f"range(0, {REPLICATES})"),
+}

@@ -90,12 +90,29 @@ FIXED = f"""{NEAREST}, {VPANEL}, {UNORDERED}, grid AS (SELECT a, b, pair_class,
  pq AS (SELECT *, x / sum(x) OVER (PARTITION BY a, b) AS p, y / sum(y) OVER (PARTITION BY a, b) AS q FROM xy),
  fixed AS (SELECT a, b, round(sum(0.5 * p * ln(p / ((p + q) / 2)) + 0.5 * q * ln(q / ((p + q) / 2))), 6) AS semantic_cluster_js FROM pq GROUP BY ALL)"""
 GRAMS1 = f"{PANEL}, {CHUNKS}, {INDEXED}, {grams(('stable',), (1,), 'indexed', 'label, chunk_index')}, byc AS (SELECT label, chunk_index, tokenizer, n, gram, count(*) AS cnt, min(pos) AS pos FROM grams GROUP BY ALL)"
-BOOT = f"""WITH {GRAMS1}, {STUDIED}, sizes AS (SELECT label, count(*) AS n FROM indexed JOIN panel USING (label) WHERE role <> 'candidate' GROUP BY 1),
- slots AS (SELECT label, n, unnest(range(0, n)) AS i FROM sizes), reps AS (SELECT unnest(range(0, 4)) AS replicate),
+def boot(number: int, grams1: str = GRAMS1) -> str:
+    """rows: family means of lexical distances for each of ``number`` replicates."""
+    return f"""WITH {grams1}, {STUDIED}, sizes AS (SELECT label, count(*) AS n FROM indexed JOIN panel USING (label) WHERE role <> 'candidate' GROUP BY 1),
+ slots AS (SELECT label, n, unnest(range(0, n)) AS i FROM sizes), reps AS (SELECT unnest(range(0, {number})) AS replicate),
  draws AS (SELECT replicate, label, {DRAW("'20260505|' || replicate || '|' || label || '|' || i")} % n AS chunk_index, count(*) AS times FROM slots, reps GROUP BY ALL),
  counts AS (SELECT replicate, label, tokenizer, n, gram, sum(cnt * times) AS cnt, min(chunk_index * 1000 + pos) AS first FROM byc JOIN draws USING (label, chunk_index) GROUP BY ALL),
  {cells('unordered', (256,), 'replicate')}, rows AS (SELECT replicate, pair_class, avg(lexical_js) AS lexical_js, avg(rho) AS rho FROM lexical JOIN unordered USING (a, b) GROUP BY ALL)"""
+
+
+BOOT = boot(4)
+ALL_GRAMS1 = GRAMS1.replace(" WHERE chunk_index < 2048", "")  # without a budget, as the queries are
 ROUND = "round(lexical_js, 6) AS lexical_js, round(rho, 6) AS rho"
+
+
+def halved(repeats: int, grams1: str) -> str:
+    """cells: distances between random halves of each corpus and repeat."""
+    return f"""WITH {grams1}, reps AS (SELECT unnest(range(0, {repeats})) AS repeat),
+ k AS (SELECT repeat, label, chunk_index, row_number() OVER (PARTITION BY repeat, label ORDER BY {DRAW("'20260505|' || label || '|' || repeat || '|' || chunk_index")}, chunk_index) AS k, count(*) OVER (PARTITION BY repeat, label) // 2 AS h FROM indexed, reps),
+ halves AS (SELECT repeat, label || CASE WHEN k <= h THEN '/A' ELSE '/B' END AS side, label, chunk_index FROM k WHERE k <= 2 * h),
+ counts AS (SELECT repeat, side AS label, tokenizer, n, gram, sum(cnt) AS cnt, min(chunk_index * 1000 + pos) AS first FROM byc JOIN halves USING (label, chunk_index) GROUP BY ALL),
+ pp AS (SELECT label || '/A' AS a, label || '/B' AS b FROM panel), {cells('pp', (256,), 'repeat')}"""
+
+
 GRIDS = grams(("punct", "stable"), (1, 2, 3))
 
 
@@ -177,12 +194,7 @@ ORACLES |= {
  FROM unordered JOIN q x ON x.label = a JOIN q y ON y.label = b AND y.dim = x.dim AND y.i = x.i GROUP BY ALL""",
     "c8_bootstrap_lexical": f"{BOOT} SELECT replicate, pair_class, {ROUND} FROM rows",
     "a14_bootstrap_quantiles": f"{BOOT} SELECT pair_class, round(avg(lexical_js), 6) AS mean, round(quantile_cont(lexical_js, 0.5), 6) AS median, round(quantile_cont(lexical_js, 0.025), 6) AS q025, round(quantile_cont(lexical_js, 0.5), 6) AS q500, round(quantile_cont(lexical_js, 0.975), 6) AS q975 FROM rows GROUP BY 1",
-    "c10_split_baseline": f"""WITH {GRAMS1}, reps AS (SELECT unnest(range(0, 2)) AS repeat),
- k AS (SELECT repeat, label, chunk_index, row_number() OVER (PARTITION BY repeat, label ORDER BY {DRAW("'20260505|' || label || '|' || repeat || '|' || chunk_index")}, chunk_index) AS k, count(*) OVER (PARTITION BY repeat, label) // 2 AS h FROM indexed, reps),
- halves AS (SELECT repeat, label || CASE WHEN k <= h THEN '/A' ELSE '/B' END AS side, label, chunk_index FROM k WHERE k <= 2 * h),
- counts AS (SELECT repeat, side AS label, tokenizer, n, gram, sum(cnt) AS cnt, min(chunk_index * 1000 + pos) AS first FROM byc JOIN halves USING (label, chunk_index) GROUP BY ALL),
- pp AS (SELECT label || '/A' AS a, label || '/B' AS b FROM panel), {cells('pp', (256,), 'repeat')}
- SELECT string_split(a, '/')[1] AS label, round(avg(js), 6) AS lexical_js, round(avg(rho), 6) AS rho FROM cells GROUP BY 1""",
+    "c10_split_baseline": f"{halved(2, GRAMS1)} SELECT string_split(a, '/')[1] AS label, round(avg(js), 6) AS lexical_js, round(avg(rho), 6) AS rho FROM cells GROUP BY 1",
     "x10_mixture_lexical": f"""WITH {GRAMS1}, {ORDERED}, alphas AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS if a)}) t(alpha)),
  sizes AS (SELECT label, count(*) AS n FROM indexed GROUP BY 1),
  plan AS (SELECT o.a AS base, o.b AS target, alpha, n, CAST(round_even(n * alpha, 0) AS BIGINT) AS nt FROM ordered o JOIN sizes ON sizes.label = o.a JOIN alphas ON true WHERE pair_class = 'targeted_targeted'),

@@ -76,6 +76,7 @@ def test_queries_equal_duckdb(spark):
 
 def test_only_codecs_have_a_budget(spark, monkeypatch):
     """Draws, halves and mixtures see all chunks; with a small budget they still equal the SQL over whole tables."""
+    import __spark_entry__  # noqa: F401  fills the catalog
     from strataform.catalog import ORACLES, QUERIES
     from strataform.operators import chunking
     from tests.compare import compare, duck
