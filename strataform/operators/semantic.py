@@ -23,6 +23,8 @@ CENTRES_BYTES = 128 << 20
 SUMS_BYTES = 256 << 20
 #: Values of a corpus and projection that a task compares at once.
 STRETCH = 4096
+#: Ranges that a projection with more distinct values is ranked in.
+SPANS = 64
 
 
 def normalized(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -306,6 +308,26 @@ def sliced_wasserstein(projected: DataFrame, pairs: DataFrame, grid: int = GRID)
     return pairs.join(x, "a").join(y, ["b", "proj", "i"]).groupBy("a", "b", "pair_class").agg(F.avg(F.abs(d)).alias("sliced_wasserstein_l1"), F.sqrt(F.avg(d * d)).alias("sliced_wasserstein_l2"))
 
 
+def ranked_values(projected: DataFrame) -> DataFrame:
+    """(label, proj, value, c, i, n): distinct values of a corpus's projection, how often each is met, how many lie below, how many there are.
+
+    Equal values are one row first, so that a value that all rows share is no hot key. Projections with more than ``STRETCH`` distinct
+    values are then cut into ``SPANS`` ranges by quantile sketches; ranks are counted within a range and added to what lies
+    in the ranges below, so that no window holds a whole projection.
+    """
+    by = ["label", "proj"]
+    distinct = projected.groupBy(*by, "value").agg(F.count("*").alias("c"))
+    points = [i / SPANS for i in range(1, SPANS)]
+    sizes = distinct.groupBy(*by).agg(F.sum("c").alias("n"), F.count("*").alias("rows"), F.percentile_approx("value", points, 1000).alias("bounds"))
+    span = F.when(F.col("rows") <= STRETCH, 0).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("value"))))
+    met = distinct.join(F.broadcast(sizes), by).select(*by, "value", "c", "n", span.alias("span"))  # SPANS numbers a corpus and projection
+    up_to = Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    below = met.groupBy(*by, "span").agg(F.sum("c").alias("c")).select(*by, "span", F.coalesce(F.sum("c").over(up_to), F.lit(0)).alias("below"))
+    before = Window.partitionBy(*by, "span").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = met.withColumn("inside", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    return inside.join(F.broadcast(below), [*by, "span"]).select(*by, "value", "c", (F.col("below") + F.col("inside")).alias("i"), "n")
+
+
 def exact_wasserstein(projected: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, pair_class, sliced_wasserstein_l1, l2) from all values: the quantile functions of n and m values are compared
     between their merged breakpoints i/n and j/m. Of equal sizes this is the difference rank by rank.
@@ -313,16 +335,15 @@ def exact_wasserstein(projected: DataFrame, pairs: DataFrame) -> DataFrame:
     A projection is cut into equal stretches of ranks, so that a task holds at most about ``STRETCH`` values a corpus.
     """
     kinds, wanted = dict(pairs.dtypes), [(r.a, r.b, r.pair_class) for r in pairs.select("a", "b", "pair_class").collect()]
-    sizes = projected.groupBy("label", "proj").agg(F.count("*").alias("n"))
-    cuts = -(-(sizes.agg(F.max("n")).first()[0] or 1) // STRETCH)
-    rank = F.row_number().over(Window.partitionBy("label", "proj").orderBy("value")).cast("long") - 1
-    ranked = projected.withColumn("i", rank).join(sizes, ["label", "proj"])
-    dealt = ranked.withColumn("cut", F.explode(F.sequence(F.expr(f"i * {cuts} div n"), F.expr(f"((i + 1) * {cuts} - 1) div n"))))
+    ranked = ranked_values(projected)
+    cuts = projected.groupBy("label", "proj").agg(F.count("*").alias("n")).agg(F.ceil(F.max("n") / STRETCH).cast("long").alias("cuts"))  # one row
+    dealt = ranked.crossJoin(F.broadcast(cuts)).withColumn("cut", F.explode(F.sequence(F.expr("i * cuts div n"), F.expr("((i + c) * cuts - 1) div n"))))
 
     def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        begin, end, known, out = key[1] / cuts, (key[1] + 1) / cuts, {}, []
+        cuts, known, out = int(f["cuts"].iloc[0]), {}, []
+        begin, end = key[1] / cuts, (key[1] + 1) / cuts
         for label, g in f.sort_values("i").groupby("label"):
-            known[label] = g["value"].to_numpy(), np.minimum((g["i"].to_numpy() + 1) / g["n"].to_numpy(), end)
+            known[label] = g["value"].to_numpy(), np.minimum((g["i"].to_numpy() + g["c"].to_numpy()) / g["n"].to_numpy(), end)
         for a, b, c in wanted:
             if a in known and b in known:
                 (x, ex), (y, ey) = known[a], known[b]

@@ -300,25 +300,15 @@ def mixture_panel(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alpha
     own = held(chunks.join(F.broadcast(targeted.select("label")), "label"))
     plan = Mixtures.of(targeted, own, alphas)
     kind = dict(chunks.dtypes)["label"]
-    wanted = spark.createDataFrame(plan.rows(), f"base {kind}, target {kind}, alpha double, whole int, base_col int, target_col int")
-    cols = replicates.segments(own, spark.createDataFrame(plan.ends(), f"label {kind}, col int, end long"))
+    wanted, cols = plan.frames(own)
 
     asked = wanted.filter("alpha > 0").select(F.struct("base", "target", "alpha").alias("id"), F.col("base").alias("a"), F.col("whole").alias("a_col"), F.col("base").alias("b"), F.col("base_col").alias("b_col"), F.col("target").alias("more"), F.col("target_col").alias("more_col"))
     cells = replicates.composed_cells(own, cols, plan.width, asked, sizes, tokenizers, orders, running=True)
     words = means_of_cells(cells).select("id.*", "lexical_js", "rho")
 
-    segment = cols.select("label", "chunk_index", F.col("cols")[0].alias("col"))
-    up_to = Window.partitionBy("label").orderBy("col")  # a row a segment
-    counted = flagged(own).join(segment, ["label", "chunk_index"]).groupBy("label", "col").agg(F.count("*").alias("n"), F.count_if("refuses").alias("refuses"), F.count_if("marked").alias("marked"))
-    flags = counted.select("label", "col", *(F.sum(c).over(up_to).alias(c) for c in ("n", "refuses", "marked")))
-    sums = semantic.prefix_moments(vectors.withColumnRenamed("vec_id", "chunk_index").join(segment, ["label", "chunk_index"]))
-
-    def both(rows: DataFrame, values: list[str]) -> DataFrame:
-        side = lambda s: rows.select(F.col("label").alias(s), F.col("col").alias(f"{s}_col"), *(F.col(v).alias(f"{s}_{v}") for v in values))
-        return wanted.join(side("base"), ["base", "base_col"], "left").join(side("target"), ["target", "target_col"], "left")
-
-    total = lambda v: F.coalesce(F.col(f"base_{v}"), F.lit(0)) + F.coalesce(F.col(f"target_{v}"), F.lit(0))
-    rates = both(flags, ["n", "refuses", "marked"]).select("base", "target", "alpha", (total("refuses") / total("n")).alias("refusal_rate"), (total("marked") / total("n")).alias("marker_rate"))
+    sums = semantic.prefix_moments(vectors.withColumnRenamed("vec_id", "chunk_index").join(segment_of(cols), ["label", "chunk_index"]))
+    met = mixed_sums(wanted, flagged(own).withColumns({c: F.col(c).cast("long") for c in ("refuses", "marked")}), cols, ["refuses", "marked"])
+    rates = met.select("base", "target", "alpha", (F.col("refuses") / F.col("n")).alias("refusal_rate"), (F.col("marked") / F.col("n")).alias("marker_rate"))
 
     def spectra(frames):
         for f in frames:
@@ -331,7 +321,7 @@ def mixture_panel(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alpha
                     out.append((r.base, r.target, r.alpha, *semantic.shares(int(sum(n for n, _, _ in parts)), s, p)[2:]))
             yield pd.DataFrame(out, columns=["base", "target", "alpha", "top1_share", "top5_share"])
 
-    spread = both(sums, ["n", "s", "p"]).select("base", "target", "alpha", *(f"{x}_{v}" for x in ("base", "target") for v in "nsp"))
+    spread = both_sides(wanted, sums, ["n", "s", "p"]).select("base", "target", "alpha", *(f"{x}_{v}" for x in ("base", "target") for v in "nsp"))
     spectrum = spread.mapInPandas(spectra, f"base {kind}, target {kind}, alpha double, top1_share double, top5_share double")
     clusters = semantic.mixture_clusters(vectors.join(F.broadcast(targeted.select("label")), "label"), [m for m in plan.mixtures() if m[2] > 0])
 
@@ -345,6 +335,27 @@ def mixture_panel(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alpha
     return out.select("base", "target", "alpha", pinned("rho", 1.0), pinned("lexical_js", 0.0), pinned("semantic_cluster_js", 0.0), "top1_share", "top5_share", "lzma_ratio", "refusal_rate", "marker_rate")
 
 
+def segment_of(cols: DataFrame) -> DataFrame:
+    """(label, chunk_index, col) of ``replicates.segments``."""
+    return cols.select("label", "chunk_index", F.col("cols")[0].alias("col"))
+
+
+def both_sides(wanted: DataFrame, prefixes: DataFrame, values: list[str]) -> DataFrame:
+    """``wanted`` (``Mixtures.rows``) with the values of both prefixes (label, col, <values>): base_<value>, target_<value>; null of empty ones."""
+    side = lambda s: prefixes.select(F.col("label").alias(s), F.col("col").alias(f"{s}_col"), *(F.col(v).alias(f"{s}_{v}") for v in values))
+    return wanted.join(side("base"), ["base", "base_col"], "left").join(side("target"), ["target", "target_col"], "left")
+
+
+def mixed_sums(wanted: DataFrame, rows: DataFrame, cols: DataFrame, values: list[str]) -> DataFrame:
+    """``wanted`` with n, the chunks of each mixture, and the sums of ``values`` (whole numbers) over them: added up once a segment of ``rows``
+    (label, chunk_index, <values>), then over prefixes."""
+    up_to = Window.partitionBy("label").orderBy("col")  # a row a segment
+    counted = rows.join(segment_of(cols), ["label", "chunk_index"]).groupBy("label", "col").agg(F.count("*").alias("n"), *(F.sum(v).alias(v) for v in values))
+    prefixes = counted.select("label", "col", *(F.sum(v).over(up_to).alias(v) for v in ("n", *values)))
+    total = lambda v: (F.coalesce(F.col(f"base_{v}"), F.lit(0)) + F.coalesce(F.col(f"target_{v}"), F.lit(0))).alias(v)
+    return both_sides(wanted, prefixes, ["n", *values]).select(*wanted.columns, *map(total, ("n", *values)))
+
+
 @dataclass(frozen=True)
 class Mixtures:
     """Which mixtures there are of corpora of known sizes, and where they cut these. A row a corpus, pair or mixture: all small."""
@@ -383,6 +394,12 @@ class Mixtures:
     def ends(self) -> list[tuple]:
         return [(label, k, e) for label, cut in self.cuts().items() for k, e in enumerate(cut)]
 
+    def frames(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``rows`` and the segments of ``chunks`` as frames."""
+        spark, kind = chunks.sparkSession, dict(chunks.dtypes)["label"]
+        wanted = spark.createDataFrame(self.rows(), f"base {kind}, target {kind}, alpha double, whole int, base_col int, target_col int")
+        return wanted, replicates.segments(chunks, spark.createDataFrame(self.ends(), f"label {kind}, col int, end long"))
+
     def rows(self) -> list[tuple]:
         """(base, target, alpha, the base's last column, columns of both prefixes, or None of empty ones)."""
         col = {label: {e: k for k, e in enumerate(cut)} for label, cut in self.cuts().items()}

@@ -9,6 +9,7 @@ from strataform.catalog import ORACLES
 from strataform.config import ALPHAS
 from strataform.operators import compression, extract, lexical, pairs, resample, sampling, semantic
 from strataform.plans import analyses
+from strataform.plans.held import held
 from strataform.plans.oracles import ALL_GRAMS1, BOOT, BOTH, CHUNKS, DISTANCES, DRAW, FAMILY, LONG, NORMAL, ORDERED, PANEL, SPACE, UNORDERED, VPANEL, at, boot, halved
 from strataform.plans.queries import SEED, _bootstrap, _fixed, _splits, directed_pairs, docs, numbered, panel, query, rounded, studied, vector_panel, vectors
 
@@ -168,14 +169,13 @@ def _fixed_partitions(spark, sf, replicates):
 
 @query
 def x10_mixture_rates(spark, sf):
-    """Shares of chunks of every mixture that refuse or carry an assistant's mark."""
+    """Shares of chunks of every mixture that refuse or hold a word of a kind."""
     targeted = panel(spark, sf).filter("role = 'targeted'")
-    rows = numbered(spark, sf).withColumn("flag", F.col("text").rlike(r"(?i)\bth"))
-    p = pairs.ordered(targeted).select(F.col("a").alias("base"), F.col("b").alias("target"))
-    plan = sampling.mixture(rows, p, spark.createDataFrame([(a,) for a in ALPHAS], "alpha double"))
-    met = plan.join(rows.select("label", "chunk_index", "text", "flag"), ["label", "chunk_index"])
-    out = met.groupBy("base", "target", "alpha").agg(F.count("*").alias("chunks"), extract.rate("text", extract.REFUSAL).alias("refusal_rate"), F.avg(F.col("flag").cast("double")).alias("flag_rate"))
-    return rounded(out, "refusal_rate", "flag_rate")
+    rows = held(numbered(spark, sf).join(targeted.select("label"), "label"))
+    wanted, cols = analyses.Mixtures.of(targeted, rows, ALPHAS).frames(rows)
+    flags = rows.select("label", "chunk_index", F.col("text").rlike(extract.REFUSAL).cast("long").alias("refuses"), F.col("text").rlike(r"(?i)\bth").cast("long").alias("flag"))
+    out = analyses.mixed_sums(wanted, flags, cols, ["refuses", "flag"])
+    return rounded(out.select("base", "target", "alpha", F.col("n").alias("chunks"), (F.col("refuses") / F.col("n")).alias("refusal_rate"), (F.col("flag") / F.col("n")).alias("flag_rate")), "refusal_rate", "flag_rate")
 
 
 def _text_corpora(spark, sf):

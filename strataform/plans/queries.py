@@ -528,9 +528,8 @@ def x10_mixture_lexical(spark, sf):
     targeted = panel(spark, sf).filter("role = 'targeted'")
     rows = held(numbered(spark, sf).join(targeted.select("label"), "label"))
     plan = Mixtures.of(targeted, rows, ALPHAS)
-    wanted = spark.createDataFrame(plan.rows(), "base string, target string, alpha double, whole int, base_col int, target_col int")
+    wanted, cols = plan.frames(rows)
     asked = wanted.filter("alpha > 0").select(F.struct("base", "target", "alpha").alias("id"), F.col("base").alias("a"), F.col("whole").alias("a_col"), F.col("base").alias("b"), F.col("base_col").alias("b_col"), F.col("target").alias("more"), F.col("target_col").alias("more_col"))
-    cols = replicates.segments(rows, spark.createDataFrame(plan.ends(), "label string, col int, end long"))
     out = replicates.composed_cells(rows, cols, plan.width, asked, running=True).select("id.*", F.col("js").alias("lexical_js"), "rho")
     zero = wanted.filter("alpha = 0").select("base", "target", "alpha", F.lit(0.0).alias("lexical_js"), F.lit(1.0).alias("rho"))
     return rounded(out.unionByName(zero), "lexical_js", "rho")
@@ -538,16 +537,22 @@ def x10_mixture_lexical(spark, sf):
 
 @query
 def x10_mixture_semantic(spark, sf):
-    """Cluster divergence of each corpus of vectors from mixtures with the next one."""
+    """Cluster divergence of each targeted corpus of vectors from its mixtures with every other, by nearest corpus mean."""
+    from strataform.plans.analyses import Mixtures, mixed_sums
+
     order = Window.partitionBy("label").orderBy("vec_id")
-    v = vectors(spark, sf).withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long"))
-    p = pairs.ordered(vector_panel(spark, sf).filter("role = 'targeted'")).select(F.col("a").alias("base"), F.col("b").alias("target"))
-    plan = sampling.mixture(v, p, spark.createDataFrame([(a,) for a in ALPHAS if a], "alpha double"))
-    near = semantic.nearest_centroid(v).join(v.select("label", "vec_id", "chunk_index"), ["label", "vec_id"])
-    key = F.concat_ws("/", "base", "target", "alpha")
-    mixed = plan.withColumn("b", key).join(near, ["label", "chunk_index"]).select(F.col("base").cast("string").alias("a"), "b", F.col("b").alias("label"), "vec_id", "cluster")
-    own = plan.select("base", key.alias("b")).distinct().join(near, F.col("base") == F.col("label")).select(F.col("base").cast("string").alias("a"), "b", F.col("base").cast("string").alias("label"), "vec_id", "cluster")
-    return rounded(semantic.occupancy_js(own.unionByName(mixed), 10), "semantic_cluster_js")
+    targeted = vector_panel(spark, sf).filter("role = 'targeted'")
+    v = held(vectors(spark, sf).withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long")).join(targeted.select("label"), "label"))
+    plan = Mixtures.of(targeted, v, tuple(a for a in ALPHAS if a))
+    wanted, cols = plan.frames(v)
+    near = semantic.nearest_centroid(vectors(spark, sf)).join(v.select("label", "vec_id", "chunk_index"), ["label", "vec_id"])
+    spots = [f"c{i}" for i in range(10)]
+    met = mixed_sums(wanted, near.select("label", "chunk_index", *((F.col("cluster") == i).cast("long").alias(c) for i, c in enumerate(spots))), cols, spots)
+    own = near.groupBy("label").agg(*(F.count_if(F.col("cluster") == i).alias(f"o{i}") for i in range(10)))
+    long = met.join(own.withColumnRenamed("label", "base"), "base").select("base", "target", "alpha", F.explode(F.array(*(F.struct(F.col(f"o{i}").alias("x"), F.col(c).alias("y")) for i, c in enumerate(spots)))).alias("s")).select("base", "target", "alpha", "s.*")
+    js = lexical.smoothed_js(F.col("x"), F.col("y"), Window.partitionBy("base", "target", "alpha"))
+    out = long.withColumn("js", js).groupBy("base", "target", "alpha").agg(F.sum("js").alias("semantic_cluster_js"))
+    return rounded(out.select(F.col("base").cast("string").alias("a"), F.concat_ws("/", "base", "target", "alpha").alias("b"), "semantic_cluster_js"), "semantic_cluster_js")
 
 
 @query
