@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataform.config import Chunking
 from strataform.functions.text import strip
+from strataform.operators import ordinals
 
 
 def windows(text: Column, rule: Chunking = Chunking()) -> Column:
@@ -47,6 +48,18 @@ def numbered(chunks: DataFrame, bounds: list, order: str = "doc_id") -> DataFram
     return met.withColumn("chunk_index", F.col("_first") + F.col("_rank") - 1).drop("_span", "_label", "_at", "_first", "_rank")
 
 
+def indexed(docs: DataFrame, rule: Chunking, row: tuple[str, ...], order: str = "doc_id") -> DataFrame:
+    """All chunks, numbered from 0 within their corpus in order. ``row`` names columns that tell rows of ``docs`` apart.
+
+    Documents' numbers of chunks are added up over their keys alone; texts are neither sorted nor put through a window. Rows that share
+    an id follow one another in the order of ``row``.
+    """
+    body = docs.filter(F.col("text").isNotNull()).withColumn("text", strip("text")).filter("text <> ''").select("label", order, *row, windows(F.col("text"), rule).alias("w")).filter(F.size("w") > 0)
+    first = ordinals.ahead(body.select("label", order, *row, F.size("w").cast("long").alias("n")), ["label"], [order, *row], "n").select(*row, "ahead")
+    out = body.join(first, list(row)).select("label", order, "ahead", F.posexplode("w").alias("chunk_in_document", "c"))
+    return out.select("label", order, "chunk_in_document", "c.char_start", "c.char_end", "c.text", (F.col("ahead") + F.col("chunk_in_document")).alias("chunk_index"))
+
+
 def short_corpora(chunks: DataFrame, most: int) -> DataFrame:
     """(label, chunk_count) of corpora with fewer than ``most`` chunks."""
     return chunks.groupBy("label").agg(F.count("*").alias("chunk_count")).filter(F.col("chunk_count") < most)
@@ -55,21 +68,19 @@ def short_corpora(chunks: DataFrame, most: int) -> DataFrame:
 def provenance(docs: DataFrame, rule: Chunking = Chunking(), row: tuple[str, ...] = ()) -> DataFrame:
     """Chunks with their document's ordinal, digests and places.
 
-    ``row`` names columns that tell rows of ``docs`` apart, such as file and place: ordinals are then found from ids alone, and no
+    ``row`` names columns that tell rows of ``docs`` apart, such as file and place: ordinals are then found from keys alone, and no
     text is sorted. Without them ordinals are given beside the texts. Either way each row has one, repeated ids or not
     (these follow one another in the order of ``row``, else of their texts' digests).
     """
     body = docs.filter(F.col("text").isNotNull()).withColumn("text", strip("text")).filter("text <> ''")
-    ties = row or (F.md5(F.col("text").cast("binary")),)
-    index = (F.row_number().over(Window.partitionBy("label").orderBy("doc_id", *ties)) - 1).cast("long")
-    if not row:
-        body = body.withColumn("source_document_index", index)
-    facts = body.select(*row, *([] if row else ["source_document_index"]), "label", "doc_id", F.sha2("text", 256).alias("source_text_sha256"), F.length("text").cast("long").alias("source_text_chars"), F.posexplode(windows(F.col("text"), rule)).alias("chunk_in_document", "c"))
-    out = facts.select("*", "c.char_start", "c.char_end", F.sha2("c.text", 256).alias("chunk_sha256")).drop("c")
-    if not row:
-        return out
-    light = body.select("label", "doc_id", *row).withColumn("source_document_index", index).drop("label", "doc_id")
-    return out.join(light, list(row)).drop(*row)
+    if row:
+        light = ordinals.ahead(body.select("label", "doc_id", *row), ["label"], ["doc_id", *row]).withColumnRenamed("ahead", "source_document_index")
+        body = body.join(light.drop("label", "doc_id"), list(row))
+    else:
+        ties = Window.partitionBy("label").orderBy("doc_id", F.md5(F.col("text").cast("binary")))
+        body = body.withColumn("source_document_index", (F.row_number().over(ties) - 1).cast("long"))
+    facts = body.select("label", "doc_id", "source_document_index", F.sha2("text", 256).alias("source_text_sha256"), F.length("text").cast("long").alias("source_text_chars"), F.posexplode(windows(F.col("text"), rule)).alias("chunk_in_document", "c"))
+    return facts.select("*", "c.char_start", "c.char_end", F.sha2("c.text", 256).alias("chunk_sha256")).drop("c")
 
 
 def build_statistics(docs: DataFrame, rule: Chunking = Chunking()) -> DataFrame:

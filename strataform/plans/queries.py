@@ -73,11 +73,14 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.budget(chunks(spark, sf), MAX_CHUNKS)
 
 
+def keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with file and row, dealt to all cores."""
+    return spread(documents(spark, sf), "doc_id")
+
+
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks, numbered within their corpus."""
-    ranges = 64
-    bounds = spark.read.parquet(f"{sf}/documents.parquet").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 2000)).first()[0]
-    return chunking.numbered(chunks(spark, sf), sorted(set(bounds or [])))
+    return chunking.indexed(keyed(spark, sf), WHOLE, ("file", "row"))
 
 
 def sampled(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,7 +155,7 @@ def e9_chunk_rates(spark, sf):
 
 @query
 def e12_skip_first(spark, sf):
-    return extract.skip_first(docs(spark, sf), 5).select("label", "doc_id", F.col("source_document_index").cast("long").alias("source_document_index"))
+    return extract.skip_first(keyed(spark, sf), 5, row=("file", "row")).select("label", "doc_id", F.col("source_document_index").cast("long").alias("source_document_index"))
 
 
 @query
@@ -191,7 +194,7 @@ def c5_short_corpora(spark, sf):
 
 @query
 def c6_chunk_provenance(spark, sf):
-    out = chunking.provenance(spread(documents(spark, sf), "doc_id"), WHOLE, ("file", "row"))
+    out = chunking.provenance(keyed(spark, sf), WHOLE, ("file", "row"))
     return out.select("label", "doc_id", "source_document_index", "source_text_sha256", "source_text_chars", F.col("chunk_in_document").cast("long").alias("chunk_in_document"), "chunk_sha256")
 
 
