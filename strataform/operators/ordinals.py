@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform.plans.held import held
+
 #: Ranges that each group's order is cut into.
 SPANS = 256
 
@@ -18,7 +20,7 @@ def ahead(rows: DataFrame, by: list[str], order: list[str], weight: str | None =
     rows within each. Any bounds give the same places, so that sketches needn't be exact. Rows that share the first column share a
     range. ``rows`` should hold keys only, as they are shuffled.
     """
-    what = F.col(weight) if weight else F.lit(1)
+    rows, what = held(rows), F.col(weight) if weight else F.lit(1)
     points = [i / SPANS for i in range(1, SPANS)]
     same = lambda names: reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names))
     bounds = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.array_distinct(F.percentile_approx(order[0], points, 2000)).alias("_bounds"))

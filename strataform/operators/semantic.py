@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from strataform.config import CLUSTER_SEEDS, CLUSTERS
 from strataform.operators.lexical import smoothed_js
 
-#: Vectors of a pair that centres are fitted to: a seeded uniform sample of a pair that has more.
-FITTED = 100_000
+#: Vectors of a pair that centres are fitted to, and the bytes these may take: a seeded uniform sample of a pair that has more.
+FITTED, FITTED_BYTES = 100_000, 128 << 20
 #: Quantiles at which sorted projections of corpora of any size are compared.
 GRID = 32
 #: Bytes of centres that are broadcast at once; more are dealt with in several rounds.
@@ -80,7 +80,7 @@ def moments(vectors: DataFrame, keys: list[str], column: str = "embedding", time
 
 def shares(n: int, s: np.ndarray, p: np.ndarray) -> tuple[int, float, float, float]:
     """(n, total variance, shares of the largest and the five largest eigenvalues) of the sample covariance of summed vectors."""
-    values = np.clip(np.linalg.eigvalsh((p - np.outer(s, s) / n) / max(1, n - 1))[::-1], 0, None)
+    values = np.clip(np.linalg.eigvalsh((p - np.outer(s, s) / max(1, n)) / max(1, n - 1))[::-1], 0, None)
     total = float(values.sum())
     return n, total, float(values[0] / total) if total else 0.0, float(values[:5].sum() / total) if total else 0.0
 
@@ -154,12 +154,17 @@ def lloyd(x: np.ndarray, k: int, seeds: int, w: np.ndarray | None = None) -> np.
     return best
 
 
+def _fitted(ranked: DataFrame, column: str) -> DataFrame:
+    """The first ``FITTED`` rows by ``_rank``, or as many as ``FITTED_BYTES`` hold as doubles."""
+    return ranked.filter(F.col("_rank") <= FITTED).filter(F.col("_rank") * F.size(column) * 8 <= FITTED_BYTES).drop("_rank")
+
+
 def pair_centres(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS, column: str = "embedding") -> DataFrame:
     """(a, b, centres): k-means over the pooled vectors of every pair; of more than ``FITTED`` the least by a seeded digest."""
     kind = dict(vectors.dtypes)["label"]
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("label")).join(vectors.select("label", "vec_id", column), "label")
     order = Window.partitionBy("a", "b").orderBy(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("vec_id").cast("string")).cast("binary")), "label", "vec_id")
-    sample = sides.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= FITTED).drop("_rank")
+    sample = _fitted(sides.withColumn("_rank", F.row_number().over(order)), column)
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["label", "vec_id"])
@@ -203,7 +208,8 @@ def mixture_clusters(vectors: DataFrame, mixtures: list[tuple], k: int = CLUSTER
         by_pair.setdefault((base, target), []).append(rest)
     sides = spark.createDataFrame([(b, t, x) for b, t in by_pair for x in (b, t)], f"base {kind}, target {kind}, label {kind}")
     order = Window.partitionBy("base", "target").orderBy(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("vec_id").cast("string")).cast("binary")), "label", "vec_id")
-    sample = F.broadcast(sides).join(vectors.select("label", "vec_id", "embedding"), "label").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= FITTED).drop("_rank")
+    sample = F.broadcast(sides).join(vectors.select("label", "vec_id", "embedding"), "label").withColumn("_rank", F.row_number().over(order))
+    sample = _fitted(sample, "embedding")
 
     def often(label: np.ndarray, vec_id: np.ndarray, base, target, nb: int, nt: int) -> np.ndarray:
         return np.where(label == base, 1 + (vec_id < nb), 0) + np.where(label == target, vec_id < nt, 0)
@@ -363,29 +369,56 @@ def near_ceiling(pairs: DataFrame, limit: float) -> DataFrame:
     return pairs.filter(F.col("semantic_cluster_js").isNotNull() & (F.col("semantic_cluster_js") >= limit))
 
 
+def pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Means over the token rows that ``mask`` marks, of a padded batch (texts x tokens x dimensions); nothing marked gives zeros."""
+    m = mask.astype(np.float64)[..., None]
+    return (states * m).sum(1) / np.maximum(m.sum(1), 1e-9)
+
+
 class HashedGrams:
-    """A deterministic stand-in encoder: hashed character trigrams per token, one row a token."""
+    """A deterministic stand-in encoder: hashed runs of ``width`` characters per token, one row a token.
 
-    def __init__(self, dimension: int = 64):
-        self.dimension = dimension
+    An encoder has ``encode(texts)``, which gives a padded batch (texts x tokens x dimensions) and its mask (texts x tokens).
+    """
+
+    def __init__(self, dimension: int = 64, width: int = 3):
+        self.dimension, self.width = dimension, width
 
     def tokens(self, text: str) -> np.ndarray:
         import zlib
 
         out = np.zeros((max(1, len(text.split())), self.dimension))
         for i, word in enumerate(text.split()):
-            for j in range(max(1, len(word) - 2)):
-                h = zlib.crc32(word[j : j + 3].encode())
+            for j in range(max(1, len(word) - self.width + 1)):
+                h = zlib.crc32(word[j : j + self.width].encode())
                 out[i, h % self.dimension] += 1 if h & 1 << 20 else -1
         return out
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [self.tokens(t) for t in texts]
+        longest = max(map(len, rows), default=0)
+        states, mask = np.zeros((len(rows), longest, self.dimension)), np.zeros((len(rows), longest), np.int8)
+        for i, r in enumerate(rows):
+            states[i, : len(r)], mask[i, : len(r)] = r, 1
+        return states, mask
+
+
+#: Stand-ins by name; a real model takes the place of any through the same method.
+ENCODERS = {"trigrams_64": HashedGrams(64), "bigrams_48": HashedGrams(48, 2)}
+
 
-def embed(chunks: DataFrame, encoder=HashedGrams(), text: str = "text") -> DataFrame:
-    """Chunks with ``embedding``: the mean over an encoder's token rows, scaled to length 1."""
+def embed(chunks: DataFrame, encoder=ENCODERS["trigrams_64"], text: str = "text", batch: int = 16) -> DataFrame:
+    """Chunks with ``embedding``: the masked mean over an encoder's token rows, scaled to length 1. Texts of like length share a padded
+    batch; the encoder travels with the task."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        pooled = [encoder.tokens(t or "").mean(0) for t in texts]
-        return pd.Series([(v / max(float(np.linalg.norm(v)), 1e-9)).astype(np.float32) for v in pooled])
+        known = [t or "" for t in texts]
+        out: list = [None] * len(known)
+        order = sorted(range(len(known)), key=lambda i: len(known[i]))
+        for at in (order[i : i + batch] for i in range(0, len(order), batch)):
+            for i, v in zip(at, pooled(*encoder.encode([known[i] for i in at])), strict=True):
+                out[i] = (v / max(float(np.linalg.norm(v)), 1e-9)).astype(np.float32)
+        return pd.Series(out)
 
     return chunks.withColumn("embedding", run(text))

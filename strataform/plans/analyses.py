@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
+from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, NEAR_CEILING, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
 from strataform.functions.text import strip
 from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, replicates, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
@@ -480,6 +480,29 @@ def continuous(panel: DataFrame, vectors: DataFrame, clusters: DataFrame, projec
     return pairs.attach(far, clusters, "semantic_cluster_js")
 
 
+def near_ceiling_ranking(rows: DataFrame, limit: float = NEAR_CEILING) -> DataFrame:
+    """``continuous`` pairs whose cluster divergence is near its ceiling, by sliced Wasserstein distance: (place, a, b, ...), farthest first."""
+    near = semantic.near_ceiling(rows, limit)
+    place = F.row_number().over(Window.orderBy(F.desc("sliced_wasserstein_l1"), "a", "b"))  # a row a pair of corpora
+    return near.withColumn("place", place)
+
+
+def semantic_sweep(panel: DataFrame, docs: DataFrame, encoders: dict | None = None, sizes: tuple[int, ...] = (256, 512, 768, 1024), k: int = CLUSTERS) -> DataFrame:
+    """(encoder, chars, pair_class, pairs, semantic_cluster_js, top1_abs_diff, top5_abs_diff): family means for every encoder and size of
+    chunks, of all chunks of ``docs`` (label, doc_id, text)."""
+    p, out, names = pairs.unordered(panel), None, ["semantic_cluster_js", "top1_abs_diff", "top5_abs_diff"]
+    for size in sizes:
+        rows = chunking.chunk(docs.join(F.broadcast(panel.select("label")), "label"), Chunking(size, None, None, None))
+        numbered = rows.withColumn("vec_id", F.xxhash64("doc_id", "chunk_in_document"))
+        for name, encoder in (encoders or semantic.ENCODERS).items():
+            vectors = held(semantic.embed(numbered, encoder).select("label", "vec_id", "embedding"))
+            alone = semantic.spectrum(vectors).withColumnsRenamed({"top1_share": "top1", "top5_share": "top5"})
+            far = compression.gaps(alone, p, ["top1", "top5"]).join(semantic.occupancy_js(semantic.pair_clusters(vectors, p, k), k), ["a", "b"])
+            part = pairs.family_means(far, names).select(F.lit(name).alias("encoder"), F.lit(size).alias("chars"), "pair_class", "pairs", *names)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def figure_data(out: str, spark: SparkSession) -> dict[str, DataFrame]:
     """What figures of a matrix show: multipliers and one symmetric matrix a metric; plotting is left to the caller."""
     rows = spark.read.parquet(f"{out}/pairs")

@@ -94,6 +94,15 @@ def m16_continuous_means(spark, sf):
     return rounded(pairs.family_means(far, names), *names)
 
 
+@query
+def x12_near_ceiling(spark, sf):
+    """Studied pairs of a cluster divergence of 0.05 or more, by their exact sliced Wasserstein distance."""
+    p = studied(vector_panel(spark, sf))
+    far = semantic.exact_wasserstein(semantic.axis_projections(vectors(spark, sf)), pairs.unordered(p))
+    rows = rounded(pairs.attach(far, _fixed(spark, sf), "semantic_cluster_js"), "sliced_wasserstein_l1", "sliced_wasserstein_l2", "semantic_cluster_js")
+    return analyses.near_ceiling_ranking(rows, 0.05).withColumn("place", F.col("place").cast("long"))
+
+
 @query
 def j9_metric_pivot(spark, sf):
     """Measures in long form, merged to one row a pair."""
@@ -331,6 +340,8 @@ ORACLES |= {
  dist AS (SELECT a, b, pair_class, 1 - sum(x.value * y.value) / (sqrt(sum(x.value * x.value)) * sqrt(sum(y.value * y.value))) AS c, sqrt(sum((x.value - y.value) * (x.value - y.value))) AS l FROM unordered JOIN cent x ON x.label = a JOIN cent y ON y.label = b AND y.dim = x.dim GROUP BY ALL)
  SELECT pair_class, count(*) AS pairs, round(avg(c), 6) AS centroid_cosine_distance, round(avg(l), 6) AS centroid_l2_distance, round(avg(sliced_wasserstein_l1), 6) AS sliced_wasserstein_l1, round(avg(sliced_wasserstein_l2), 6) AS sliced_wasserstein_l2
  FROM dist JOIN sliced USING (a, b, pair_class) WHERE pair_class <> 'candidate_pair' GROUP BY 1""",
+    "x12_near_ceiling": f"""WITH {EXACT}, {CLUSTERED}, r AS (SELECT a, b, s.pair_class, round(sliced_wasserstein_l1, 6) AS sliced_wasserstein_l1, round(sliced_wasserstein_l2, 6) AS sliced_wasserstein_l2, round(js, 6) AS semantic_cluster_js FROM sliced s JOIN vjs USING (a, b))
+ SELECT *, row_number() OVER (ORDER BY sliced_wasserstein_l1 DESC, a, b) AS place FROM r WHERE semantic_cluster_js >= 0.05""",
     "j9_metric_pivot": f"WITH {DISTANCES} SELECT a, b, round(centroid_cosine_distance, 6) AS centroid_cosine_distance, round(centroid_l2_distance, 6) AS centroid_l2_distance FROM dist",
     "j8_positional_zip": """WITH c AS (SELECT label, count(*) AS chunks FROM embeddings WHERE label < 8 GROUP BY 1), v AS (SELECT label, count(*) AS vectors FROM embeddings WHERE label > 1 AND NOT (label = 5 AND vec_id % 2 = 0) GROUP BY 1)
  SELECT label, chunks, vectors FROM c FULL JOIN v USING (label) WHERE chunks IS DISTINCT FROM vectors""",

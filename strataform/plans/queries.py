@@ -569,6 +569,15 @@ def x9_chunk_size_sweep(spark, sf):
     return rounded(out, "top1_share")
 
 
+@query
+def x9_encoder_sweep(spark, sf):
+    """Family means of cluster divergence and of spectra's differences, for every encoder and size of chunks."""
+    from strataform.plans.analyses import semantic_sweep
+
+    out = semantic_sweep(studied(panel(spark, sf)), docs(spark, sf))
+    return rounded(out, "semantic_cluster_js", "top1_abs_diff", "top5_abs_diff")
+
+
 @query
 def u5_checkpoint_resume(spark, sf):
     """Twelve replicates, of which a checkpoint holds every third (and one too many)."""

@@ -161,3 +161,38 @@ def test_wasserstein_counts_every_value(spark, monkeypatch, stretch):
     for (a, b), g in got.items():
         d = wide[a] - wide[b]
         assert (g.sliced_wasserstein_l1, g.sliced_wasserstein_l2) == pytest.approx((np.abs(d).mean(), np.sqrt((d * d).mean())))
+
+
+def test_masked_pooling(spark):
+    """Padded batches pool to what each text's own token rows give; padding and a mask of nothing don't count."""
+    encoder, texts = semantic.HashedGrams(16, 2), ["a", "bb cc " * 40, "", "ddd ee f", None, "x " * 300]
+    states, mask = encoder.encode([t or "" for t in texts])
+    assert states.shape == (6, 300, 16) and mask.sum(1).tolist() == [1, 80, 1, 3, 1, 300]
+    states[mask == 0] = 1e9  # whatever padding holds
+    got = semantic.pooled(states, mask)
+    assert np.allclose(got, [encoder.tokens(t or "").mean(0) for t in texts]) and not semantic.pooled(states, mask * 0).any()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for batch in (2, 16):
+        rows = {r.i: r.embedding for r in semantic.embed(df, encoder, batch=batch).collect()}
+        for i, v in enumerate(got):
+            assert np.allclose(rows[i], v / max(np.linalg.norm(v), 1e-9), atol=1e-6)
+
+
+def test_sums_of_many_keys_stay_bounded(spark, monkeypatch):
+    """Tasks that pass on their sums early give the same spectra, weights and keys included."""
+    r = np.random.default_rng(0)
+    rows = [(f"c{i % 30}", i % 3, r.normal(size=6).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "label string, times long, embedding array<double>").coalesce(3)
+    whole = sorted(map(tuple, semantic.spectrum(df, times="times").collect()))
+    assert semantic.moments(df, ["label"]).count() == 90
+    monkeypatch.setattr(semantic, "SUMS_BYTES", 5 * 6 * 6 * 8)
+    assert semantic.moments(df, ["label"]).count() > 90  # a task holds five keys' sums at most
+    assert np.allclose([x[1:] for x in sorted(map(tuple, semantic.spectrum(df, times="times").collect()))], [x[1:] for x in whole])
+
+
+def test_weighted_k_means_equals_repeated_rows():
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(size=(30, 3)) + 8 * k for k in range(4)])
+    w = r.integers(0, 4, len(x))
+    a, b = semantic.lloyd(x, 4, 5, w), semantic.lloyd(np.repeat(x, w, axis=0), 4, 5)
+    assert np.allclose(np.sort(a, axis=0), np.sort(b, axis=0))
