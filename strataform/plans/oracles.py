@@ -118,6 +118,7 @@ GRIDS = grams(("punct", "stable"), (1, 2, 3))
 
 ORACLES |= {
     "e1_plain_text_extract": f"SELECT source AS label, doc_id, length(t) AS chars, sha256(t) AS sha FROM (SELECT *, regexp_replace(text, {SPACE}, '', 'g') AS t FROM documents) WHERE t <> ''",
+    "s3_dataset_scan": f"SELECT source AS label, doc_id, length(t) AS chars, sha256(t) AS sha FROM (SELECT *, regexp_replace(text, {SPACE}, '', 'g') AS t FROM documents) WHERE t <> ''",
     "e2_role_lang_filter": f"SELECT doc_id, length(t) AS chars FROM (SELECT *, regexp_replace(text, {SPACE}, '', 'g') AS t FROM documents) WHERE lang = 'en' AND doc_id % 3 <> 0 AND t <> ''",
     "e3_last_assistant_message": f"SELECT conv_id, t AS text FROM (SELECT conv_id, role, regexp_replace(text, {SPACE}, '', 'g') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1 AND role = 'assistant' AND t <> ''",
     "e4_transcript_last_assistant": rf"""WITH s AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN chr(10) || chr(10) || 'Assistant: ' ELSE chr(10) || chr(10) || 'Human: ' END || text, '' ORDER BY turn) AS t FROM conversations GROUP BY 1),

@@ -167,6 +167,15 @@ def s1_tolerant_json(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("kept"), F.sum(F.expr("try_variant_get(row, '$.k', 'long')")).alias("k_sum"))
 
 
+@query
+def s3_dataset_scan(spark, sf):
+    """Documents by the dataset source and its shuffle buffer: lengths and digests of texts that aren't blank."""
+    from strataform.sources.dataset import dataset
+
+    rows = dataset(spark, f"{sf}/documents.parquet", ["doc_id", "source", "text"], seed=SEED, buffer=500)
+    return extract.plain(rows, "text").select(F.col("source").alias("label"), "doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha"))
+
+
 # Chunking and sampling
 
 

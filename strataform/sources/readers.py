@@ -40,11 +40,17 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "FAILFAST").json(path, multiLine=True)
 
 
+def object_of(line: str) -> Column:
+    """The one JSON object that a line holds, as a variant; null if it holds anything else or more."""
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col(line), F.lit("]")))  # so that what follows an object is an error
+    row = F.try_variant_get(alone, "$[0]", "variant")
+    one = row.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull() & F.startswith(F.schema_of_variant(row), F.lit("OBJECT"))
+    return F.when(one, row)
+
+
 def parsed(lines: DataFrame, column: str) -> DataFrame:
     """Lines that hold one JSON object and nothing else, as a variant ``row``."""
-    alone = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))  # so that what follows an object is an error
-    rows = lines.withColumn("row", F.try_variant_get(alone, "$[0]", "variant")).withColumn("_more", F.try_variant_get(alone, "$[1]", "variant"))
-    return rows.filter(F.col("row").isNotNull() & F.col("_more").isNull() & F.startswith(F.schema_of_variant("row"), F.lit("OBJECT"))).drop("_more")
+    return lines.withColumn("row", object_of(column)).filter(F.col("row").isNotNull())
 
 
 def text_files(spark: SparkSession, glob: str) -> DataFrame:
@@ -120,6 +126,14 @@ def source(spark: SparkSession, spec: dict, base: str = ".") -> DataFrame:
         return text_files(spark, where)
     if kind in ("table", "hf", "parquet"):
         return table(spark, where, spec.get("field") or "text", spec.get("shuffle_seed"))
+    if kind == "dataset":
+        from strataform.sources.dataset import BUFFER, dataset
+
+        return dataset(spark, where, spec.get("columns"), spec.get("config"), spec.get("split"), spec.get("shuffle_seed"), spec.get("shuffle_buffer") or BUFFER)
+    if kind == "capped_shards":
+        from strataform.sources.remote import capped_shards
+
+        return capped_shards(spark, spark.read.text(where).select(F.col("value").alias("url")), spec["rows_per_shard"], spec.get("include"), spec.get("exclude"), spec.get("seed")).filter("row IS NOT NULL")
     if kind in ("url_manifest", "shards"):
         return shards(spark, spark.read.text(where).select(F.col("value").alias("url")), spec.get("include"), spec.get("exclude"), spec.get("rows_per_shard"), spec.get("seed"))
     raise ValueError(f"unknown source_type {kind!r}")
