@@ -18,6 +18,7 @@ VOCABULARIES = (256, 512, 1024)
 JS_EPSILON = 1e-12
 CLUSTERS = 24
 CLUSTER_SEEDS = 10
+CLUSTER_ROUNDS = 25
 CLUSTER_SWEEP = (12, 16, 24, 32, 48)
 ALPHAS = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
 PROJECTIONS = 256

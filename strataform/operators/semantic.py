@@ -174,13 +174,59 @@ def pair_centres(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds:
     return sample.groupBy("a", "b").applyInPandas(fit, f"a {kind}, b {kind}, centres array<array<double>>")
 
 
-def pair_clusters(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS, column: str = "embedding") -> DataFrame:
+def refined(vectors: DataFrame, fitted: list[tuple], rounds: int, column: str = "embedding") -> list[tuple]:
+    """``fitted`` (a, b, centres) after steps of k-means over all vectors of all pairs at once, until no centre moves or ``rounds`` are over.
+
+    A step is one pass over the vectors where they lie and one sum over (pair, cluster): tasks pass on a row a centre, and the
+    driver takes one. Centres that nothing is nearest to stay.
+    """
+    for _ in range(rounds if fitted else 0):
+        shared = vectors.sparkSession.sparkContext.broadcast(fitted)
+
+        def sums(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            total: dict = {}
+            for f in frames:
+                for label, g in f.groupby("label"):
+                    x = np.stack(g[column].to_numpy()).astype(np.float64)
+                    for i, (a, b, c) in enumerate(shared.value):
+                        if label in (a, b):
+                            own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+                            one = np.zeros((len(c), len(x)))
+                            one[own, np.arange(len(x))] = 1
+                            n, s = total.get(i, (0, 0.0))
+                            total[i] = n + one.sum(1), s + one @ x
+            rows = [(i, j, int(n[j]), s[j].tobytes()) for i, (n, s) in total.items() for j in range(len(n)) if n[j]]
+            yield pd.DataFrame(rows, columns=["i", "j", "n", "s"])
+
+        def merged(f: pd.DataFrame) -> pd.DataFrame:
+            whole = sum(np.frombuffer(x) for x in f["s"])
+            return pd.DataFrame([(f["i"].iloc[0], f["j"].iloc[0], int(f["n"].sum()), whole.tobytes())], columns=["i", "j", "n", "s"])
+
+        schema = "i int, j int, n long, s binary"
+        new = [(a, b, c.copy()) for a, b, c in fitted]
+        for r in vectors.select("label", column).mapInPandas(sums, schema).groupBy("i", "j").applyInPandas(merged, schema).collect():
+            new[r.i][2][r.j] = np.frombuffer(bytes(r.s)) / r.n
+        still = all(np.allclose(x[2], y[2]) for x, y in zip(fitted, new, strict=True))
+        fitted = new
+        if still:
+            break
+    return fitted
+
+
+def pair_clusters(vectors: DataFrame, pairs: DataFrame, k: int = CLUSTERS, seeds: int = CLUSTER_SEEDS, column: str = "embedding", rounds: int = 0) -> DataFrame:
     """(a, b, label, vec_id, cluster): every vector's nearest centre, for each pair of its corpus.
 
-    Centres reach the workers through the driver: ``k`` rows a pair, whatever the number of vectors, which aren't shuffled.
+    Centres reach the workers through the driver: ``k`` rows a pair, whatever the number of vectors, which aren't shuffled. Of pairs that a sample
+    was fitted to, up to ``rounds`` steps over all vectors follow; where all were fitted, centres stand still already.
     """
     kind = dict(vectors.dtypes)["label"]
     fitted = [(r.a, r.b, np.array(r.centres)) for r in pair_centres(vectors, pairs, k, seeds, column).collect()]
+    if rounds and fitted:
+        n = {r.label: r.n for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        most = min(FITTED, FITTED_BYTES // (8 * fitted[0][2].shape[1]))
+        large = [f for f in fitted if n.get(f[0], 0) + n.get(f[1], 0) > most]
+        better = {(a, b): c for a, b, c in refined(vectors, large, rounds, column)}
+        fitted = [(a, b, better.get((a, b), c)) for a, b, c in fitted]
     shared = vectors.sparkSession.sparkContext.broadcast(fitted)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

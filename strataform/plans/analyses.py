@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, NEAR_CEILING, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
+from strataform.config import ALPHAS, CHUNK_CHARS, CLUSTER_ROUNDS, CLUSTER_SWEEP, CLUSTERS, MAX_CHUNKS, MAX_CHUNKS_PER_DOCUMENT, MAX_DOCUMENTS, METRICS, NEAR_CEILING, ORDERS, PROJECTIONS, SAMPLE_SEED, TOKENIZERS, VOCABULARIES, Chunking
 from strataform.functions.text import strip
 from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, replicates, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
@@ -81,6 +81,11 @@ def corpus_chunks(docs: DataFrame, s: Settings) -> DataFrame:
         picked, order = sampling.prefix(docs, s.documents, s.skip).withColumn("document_sample_rank", F.lit(None).cast("long")), "source_document_index"
     else:
         picked, order = sampling.reservoir(sampling.scanned(docs, s.scan, s.skip), s.reservoir, s.seed), "document_sample_rank"
+    return picked_chunks(picked, order, s)
+
+
+def picked_chunks(picked: DataFrame, order: str, s: Settings) -> DataFrame:
+    """``corpus_chunks`` of documents that are chosen already, in ``order``."""
     rule = Chunking(s.chars, s.per_document, s.chunks, s.documents)
     body = picked.withColumn("text", strip("text"))
     facts = body.select("label", "doc_id", "source_document_index", "document_sample_rank", F.sha2("text", 256).alias("source_text_sha256"), F.length("text").cast("long").alias("source_text_chars"), F.posexplode(chunking.windows(F.col("text"), rule)).alias("chunk_in_document", "c"))
@@ -140,7 +145,7 @@ def pair_metrics(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, alone:
     directed = pairs.directed(panel)
     counts = held(frequent.frequent_counts(chunks, 1024, tokenizers))
     words = lexical.lexical_pairs(lexical.cells(lexical.vocabulary(counts, 1024), counts, directed.select("a", "b")))
-    clusters = semantic.occupancy_js(semantic.pair_clusters(vectors, pairs.unordered(panel), k), k)
+    clusters = semantic.occupancy_js(semantic.pair_clusters(vectors, pairs.unordered(panel), k, rounds=CLUSTER_ROUNDS), k)
     gaps = compression.gaps(alone.withColumnRenamed("lzma_ratio", "compression").withColumnsRenamed({"top1_share": "top1", "top5_share": "top5"}), directed, ["compression", "top1", "top5"])
     return pairs.attach(gaps.join(words, ["a", "b"], "left"), clusters, "semantic_cluster_js").select("a", "b", "pair_class", "direction", *METRICS)
 
@@ -264,7 +269,7 @@ def bootstrap_metrics(panel: DataFrame, chunks: DataFrame, vectors: DataFrame, r
     asked, col = p.crossJoin(reps).withColumn("id", F.struct("replicate", "a", "b")), F.col("replicate").cast("int")
     cells = replicates.composed_cells(own, replicates.drawn(draws), replicates_, asked.select("id", "a", col.alias("a_col"), "b", col.alias("b_col")), sizes, tokenizers, orders)
     wanted = asked.select("id", "replicate", "pair_class", F.col("a").alias("a_of"), F.col("b").alias("b_of"), name("a").alias("a"), name("b").alias("b"))
-    out = composed_pairs(own, vectors, drawn(draws), wanted, means_of_cells(cells, strict=True), semantic.pair_clusters(vectors, p, k))
+    out = composed_pairs(own, vectors, drawn(draws), wanted, means_of_cells(cells, strict=True), semantic.pair_clusters(vectors, p, k, rounds=CLUSTER_ROUNDS))
     return out.select("replicate", F.col("a_of").alias("a"), F.col("b_of").alias("b"), "pair_class", *METRICS).orderBy("replicate", "a", "b")
 
 
@@ -426,7 +431,7 @@ def cluster_stability(panel: DataFrame, vectors: DataFrame, sweep: tuple[int, ..
     """(k, pair_class, pairs, semantic_cluster_js): family means for each number of clusters."""
     p, out = pairs.unordered(panel), None
     for k in sweep:
-        part = pairs.family_means(semantic.occupancy_js(semantic.pair_clusters(vectors, p, k)).join(p, ["a", "b"]), ["semantic_cluster_js"]).withColumn("k", F.lit(k))
+        part = pairs.family_means(semantic.occupancy_js(semantic.pair_clusters(vectors, p, k, rounds=CLUSTER_ROUNDS)).join(p, ["a", "b"]), ["semantic_cluster_js"]).withColumn("k", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -497,7 +502,7 @@ def semantic_sweep(panel: DataFrame, docs: DataFrame, encoders: dict | None = No
         for name, encoder in (encoders or semantic.ENCODERS).items():
             vectors = held(semantic.embed(numbered, encoder).select("label", "vec_id", "embedding"))
             alone = semantic.spectrum(vectors).withColumnsRenamed({"top1_share": "top1", "top5_share": "top5"})
-            far = compression.gaps(alone, p, ["top1", "top5"]).join(semantic.occupancy_js(semantic.pair_clusters(vectors, p, k), k), ["a", "b"])
+            far = compression.gaps(alone, p, ["top1", "top5"]).join(semantic.occupancy_js(semantic.pair_clusters(vectors, p, k, rounds=CLUSTER_ROUNDS), k), ["a", "b"])
             part = pairs.family_means(far, names).select(F.lit(name).alias("encoder"), F.lit(size).alias("chars"), "pair_class", "pairs", *names)
             out = part if out is None else out.unionByName(part)
     return out

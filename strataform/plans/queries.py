@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.catalog import QUERIES
-from strataform.config import ALPHAS, CLUSTER_SWEEP, MAX_CHUNKS, ORDERS, PROJECTIONS, TOKENIZERS, Chunking
+from strataform.config import ALPHAS, CLUSTER_ROUNDS, CLUSTER_SWEEP, MAX_CHUNKS, ORDERS, PROJECTIONS, TOKENIZERS, Chunking
 from strataform.functions import text as T
 from strataform.operators import chunking, compression, extract, frequent, lexical, pairs, replicates, resample, sampling, scorecard, semantic
 from strataform.plans.held import held, release
@@ -439,7 +439,7 @@ def m9_cluster_js_fixed(spark, sf):
 @query
 def m9_cluster_js_kmeans(spark, sf):
     p = pairs.unordered(studied(vector_panel(spark, sf)))
-    return rounded(semantic.occupancy_js(semantic.pair_clusters(vectors(spark, sf), p)), "semantic_cluster_js")
+    return rounded(semantic.occupancy_js(semantic.pair_clusters(vectors(spark, sf), p, rounds=CLUSTER_ROUNDS)), "semantic_cluster_js")
 
 
 @query
@@ -447,7 +447,7 @@ def x8_k_stability(spark, sf):
     """Family means of cluster divergence for each number of clusters."""
     p, out = pairs.unordered(studied(vector_panel(spark, sf))), None
     for k in CLUSTER_SWEEP:
-        js = semantic.occupancy_js(semantic.pair_clusters(vectors(spark, sf), p, k)).join(p, ["a", "b"])
+        js = semantic.occupancy_js(semantic.pair_clusters(vectors(spark, sf), p, k, rounds=CLUSTER_ROUNDS)).join(p, ["a", "b"])
         part = pairs.family_means(js, ["semantic_cluster_js"]).withColumn("k", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return rounded(out, "semantic_cluster_js")

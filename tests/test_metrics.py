@@ -201,3 +201,25 @@ def test_weighted_k_means_equals_repeated_rows():
     w = r.integers(0, 4, len(x))
     a, b = semantic.lloyd(x, 4, 5, w), semantic.lloyd(np.repeat(x, w, axis=0), 4, 5)
     assert np.allclose(np.sort(a, axis=0), np.sort(b, axis=0))
+
+
+def test_steps_over_all_vectors(spark, monkeypatch):
+    """Pairs that a sample was fitted to end at a fixed point of k-means over all vectors, at no more than the sample's cost."""
+    r = np.random.default_rng(4)
+    vecs = {g: r.normal(size=(n, 4)) + np.repeat(r.normal(size=(6, 4)) * 3, -(-n // 6), axis=0)[:n] for g, n in (("a", 300), ("b", 200), ("c", 20), ("d", 10))}
+    df = spark.createDataFrame([(g, i, v.tolist()) for g, x in vecs.items() for i, v in enumerate(x)], "label string, vec_id long, embedding array<double>")
+    p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "a string, b string")
+    monkeypatch.setattr(semantic, "FITTED", 60)
+    start = [(x.a, x.b, np.array(x.centres)) for x in semantic.pair_centres(df, p, 6, 3).collect()]
+    end = semantic.refined(df, start, 50)
+    near = lambda x, c: ((x[:, None] - c) ** 2).sum(2)
+    for (a, b, c), (_, _, e) in zip(start, end, strict=True):
+        x = np.concatenate([vecs[a], vecs[b]])
+        assert near(x, e).min(1).sum() <= near(x, c).min(1).sum() + 1e-9
+        own = near(x, e).argmin(1)
+        assert np.allclose([x[own == j].mean(0) if (own == j).any() else e[j] for j in range(6)], e)
+        assert near(x, e).min(1).sum() <= 1.1 * near(x, semantic.lloyd(x, 6, 3)).min(1).sum()
+    got = {(r.a, r.b, r.label, r.vec_id): r.cluster for r in semantic.pair_clusters(df, p, 6, 3, rounds=50).collect()}
+    known = {(a, b): (s if {a, b} == {"c", "d"} else e) for (a, b, s), (_, _, e) in zip(start, end, strict=True)}
+    assert len(got) == 750 and all(near(vecs[g][[i]], known[a, b]).argmin() == cl for (a, b, g, i), cl in got.items())
+    assert semantic.refined(df, [], 5) == []
