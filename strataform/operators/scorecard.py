@@ -22,6 +22,7 @@ def problems(entry: Column, public: bool) -> Column:
     is_object = lambda path: F.coalesce(at(path).startswith("{"), F.lit(False))
     inside = lambda path, bad: is_object(path) & bad
     sha = F.coalesce(at("artifact.sha256"), F.lit(""))
+    # What is said of an entry, field by field; users of other validators of such entries look for these words.
     rules = [
         (differs("schema", ENTRY_SCHEMA), "schema"),
         (differs("metric_suite_version", SUITE), "metric_suite_version"),

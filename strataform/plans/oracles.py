@@ -150,6 +150,7 @@ ORACLES |= {
     "m3_spearman_cell": f"WITH {ONE}, {ORDERED}, {cells('ordered')} SELECT a, b, round(rho, 6) AS rho FROM lexical",
     "m4_lexical_pair_grid": f"WITH {PANEL}, {CHUNKS}, {GRIDS}, {COUNTS}, {STUDIED}, {cells('unordered', (256, 512, 1024))} SELECT a, b, {ROUND} FROM lexical",
     "m4b_lexical_pair_stable": f"WITH {PANEL}, {CHUNKS}, {grams(('stable',), (1, 2))}, {COUNTS}, {STUDIED}, {cells('unordered', (256, 512))} SELECT a, b, {ROUND} FROM lexical",
+    "m4b_lexical_pair_twin": f"WITH {PANEL}, {CHUNKS}, {grams(('stable',), (1, 2, 3))}, {COUNTS}, {STUDIED}, {cells('unordered', (256, 512, 1024))} SELECT a, b, {ROUND} FROM lexical",
     "m5_lexical_metrics_topk": f"""WITH {PANEL}, {CHUNKS}, {grams(('stable',))}, {COUNTS}, {UNORDERED},
  vocab AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, first) AS rank FROM counts) WHERE rank <= 512),
  met AS (SELECT p.a, p.b, v.rank AS rx, v.cnt AS x, coalesce(c.cnt, 0) AS y FROM unordered p JOIN vocab v ON v.label = p.a LEFT JOIN counts c ON c.label = p.b AND c.gram = v.gram),

@@ -285,6 +285,14 @@ def m4b_lexical_pair_stable(spark, sf):
     return rounded(lexical.lexical_pairs(met), "lexical_js", "rho")
 
 
+@query
+def m4b_lexical_pair_twin(spark, sf):
+    """All nine settings of the second tokenizer."""
+    counts = held(leading(spark, sf, 1024, ("stable",)))
+    met = lexical.cells(lexical.vocabulary(counts, 1024), counts, pairs.unordered(studied(panel(spark, sf))).select("a", "b"))
+    return rounded(lexical.lexical_pairs(met), "lexical_js", "rho")
+
+
 @query
 def m5_lexical_metrics_topk(spark, sf):
     counts = held(lexical.gram_counts(chunks(spark, sf), ("stable",), (1,)))
