@@ -203,7 +203,7 @@ def c5_short_corpora(spark, sf):
 
 @query
 def c6_chunk_provenance(spark, sf):
-    out = chunking.provenance(keyed(spark, sf), WHOLE, ("file", "row"))
+    out = chunking.provenance(documents(spark, sf), WHOLE, ("file", "row"))
     return out.select("label", "doc_id", "source_document_index", "source_text_sha256", "source_text_chars", F.col("chunk_in_document").cast("long").alias("chunk_in_document"), "chunk_sha256")
 
 
