@@ -8,9 +8,12 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.config import MAX_CHUNKS
+
 CODECS: dict[str, Callable[[bytes], bytes]] = {
     "lzma": lambda raw: lzma.compress(raw, preset=6),
     "gzip": lambda raw: gzip.compress(raw, 9, mtime=0),
@@ -45,6 +48,27 @@ def ratios(chunks: DataFrame, codecs: tuple[str, ...] = ("lzma",), by: tuple[str
     return out.drop("joined")
 
 
+def whole_ratios(chunks: DataFrame, codecs: tuple[str, ...] = ("lzma",), block: int = MAX_CHUNKS) -> DataFrame:
+    """(label, <codec>_ratio) of all chunks of each corpus, whatever its length: runs of ``block`` chunks are a stream each, as block-wise
+    archivers cut their input, and the ratio is that of the sums of bytes.
+
+    A corpus of at most ``block`` chunks is one stream, for which ``ratios`` gives the same. A task holds one run, and the runs of a hot corpus are as many
+    tasks as they need. Chunks are numbered from 0 within their corpus; null texts count as empty, a corpus without bytes has ratio 0.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("chunk_index")
+        first = rows["block"][0].as_py() == 0
+        raw = "\n\n".join([*([] if first else [""]), *(t or "" for t in rows["text"].to_pylist())]).encode("utf-8", errors="ignore")
+        sizes = [len(CODECS[c](raw)) if raw else 0 for c in codecs]
+        return pa.table([rows["label"].slice(0, 1), pa.array([len(raw)]), *(pa.array([n]) for n in sizes)], names=["label", "raw", *codecs])
+
+    placed = chunks.select(F.col("label").cast("string").alias("label"), "chunk_index", "text", F.floor(F.col("chunk_index") / block).alias("block"))
+    sizes = placed.groupBy("label", "block").applyInArrow(run, "label string, raw long, " + ", ".join(f"{c} long" for c in codecs))
+    share = lambda c: F.when(F.sum("raw") > 0, F.sum(c) / F.sum("raw")).otherwise(0.0).alias(f"{c}_ratio")
+    return sizes.groupBy("label").agg(*map(share, codecs))
+
+
 def gaps(values: DataFrame, pairs: DataFrame, columns: list[str], signed: bool = False) -> DataFrame:
     """Pairs with the (absolute) difference of each corpus-level column."""
     side = lambda s: values.select(F.col("label").alias(s), *(F.col(c).alias(f"_{s}_{c}") for c in columns))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strataform.functions.text import draw, strip
 
+#: Ranges of draws, a power of two.
+SPANS = 256
+
 
 def with_text(docs: DataFrame) -> DataFrame:
     """Documents whose text holds more than white space; all, if the frame has no text."""
@@ -55,13 +58,26 @@ def gather(chunks: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def halves(chunks: DataFrame, repeats: DataFrame, seed: int) -> DataFrame:
-    """Chunks split at random into halves A and B for every repeat; an odd one is left out."""
-    rows = chunks.select("label", "chunk_index").join(repeats)
-    within = Window.partitionBy("repeat", "label")
-    rank = F.row_number().over(within.orderBy(draw(F.lit(seed), F.col("label"), F.col("repeat"), F.col("chunk_index")), "chunk_index"))
-    out = rows.withColumn("k", rank).withColumn("h", F.floor(F.count("*").over(within) / 2))
-    half = F.when(F.col("k") <= F.col("h"), "A").when(F.col("k") <= 2 * F.col("h"), "B")
-    return out.withColumn("half", half).filter("half IS NOT NULL").select("repeat", "label", "chunk_index", "half")
+    """Chunks split at random into halves A and B for every repeat; an odd one is left out.
+
+    Draws are uniform below 2**32, so that equal ranges of them hold equal shares of a corpus. Counts by range tell where the halves end;
+    only the two ranges in which they do are ranked, all other rows stay where they are.
+    """
+    value = draw(F.lit(seed), F.col("label"), F.col("repeat"), F.col("chunk_index"))
+    rows = chunks.select("label", "chunk_index").join(repeats).withColumn("_draw", value).withColumn("_span", F.floor(F.col("_draw") / (2**32 // SPANS)))
+    own = Window.partitionBy("repeat", "label")
+    before = F.coalesce(F.sum("_k").over(own.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy("repeat", "label", "_span").agg(F.count("*").alias("_k")).withColumn("_below", before).withColumn("_h", F.floor(F.sum("_k").over(own) / 2))
+    ends = lambda at: F.max(F.when((F.col("_below") < at) & (at <= F.col("_below") + F.col("_k")), F.struct("_span", "_below")))
+    cuts = sums.groupBy(F.col("repeat").alias("_repeat"), F.col("label").alias("_label")).agg(F.max("_h").alias("_h"), ends(F.col("_h")).alias("_a"), ends(2 * F.col("_h")).alias("_b"))
+    met = rows.join(cuts, F.col("repeat").eqNullSafe(F.col("_repeat")) & F.col("label").eqNullSafe(F.col("_label"))).filter("_h > 0 AND _span <= _b._span")
+    inside = F.col("_span").isin(F.col("_a._span"), F.col("_b._span"))
+    plain = met.filter(~inside).withColumn("half", F.when(F.col("_span") < F.col("_a._span"), "A").otherwise("B"))
+    rank = F.row_number().over(Window.partitionBy("repeat", "label", "_span").orderBy("_draw", "chunk_index"))
+    place = F.when(F.col("_span") == F.col("_a._span"), F.col("_a._below")).otherwise(F.col("_b._below")) + rank
+    ranked = met.filter(inside).withColumn("_place", place).withColumn("half", F.when(F.col("_place") <= F.col("_h"), "A").when(F.col("_place") <= 2 * F.col("_h"), "B"))
+    columns = ["repeat", "label", "chunk_index", "half"]
+    return plain.select(columns).unionByName(ranked.filter("half IS NOT NULL").select(columns))
 
 
 def mixture(chunks: DataFrame, pairs: DataFrame, alphas: DataFrame) -> DataFrame:

@@ -82,13 +82,19 @@ def missing_labels(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def integrity(spark: SparkSession, folder: str) -> DataFrame:
-    """(files, bytes, sha256): totals and one digest over all files' digests in the order of their paths below ``folder``."""
+    """(files, bytes, sha256): totals and one digest over all files below ``folder``.
+
+    Lines of a path below the folder and its digest are dealt to 4,096 buckets by the path's digest; the result is the digest of the
+    buckets' digests in order, each that of its sorted lines. No row holds the lines of all files.
+    """
     from strataform.sources.readers import digests
 
-    rows = digests(spark, folder)
     name = F.element_at(F.split("path", "\\Q" + folder.rstrip("/").split("://")[-1] + "\\E/+", 2), -1)
-    lines = F.array_sort(F.collect_list(F.concat_ws(" ", name, "sha256")))
-    return rows.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    rows = digests(spark, folder).select("bytes", name.alias("name"), "sha256").withColumn("bucket", F.substring(F.sha2("name", 256), 1, 3))
+    joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "sha256"))), "\n")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(joined, 256).alias("digest"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat_ws(" ", x["bucket"], x["digest"]))
+    return buckets.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
 
 
 def package_entry(label: str, display: str, source: dict, standalone: dict, pairs: list[dict], status: str = "submitted", artifact: dict | None = None) -> dict:

@@ -206,7 +206,9 @@ ORACLES |= {
  pp AS (SELECT base AS a, base || '/' || target || '/' || alpha AS b FROM plan), {cells('pp', (256,), '', 'own', 'mixed')}
  SELECT a AS base, string_split(b, '/')[2] AS target, CAST(string_split(b, '/')[3] AS DOUBLE) AS alpha, {ROUND} FROM lexical
  UNION ALL SELECT DISTINCT base, target, 0.0::DOUBLE, 0.0, 1.0 FROM plan""",
-    "u5_checkpoint_resume": "SELECT i AS replicate, CASE WHEN i % 3 = 0 THEN i * 0.5::DOUBLE ELSE i * 2.0::DOUBLE END AS value FROM (SELECT unnest(range(0, 12)) AS i)",
+    "u5_checkpoint_resume": """WITH n AS (SELECT max(c_custkey) + 1 AS n FROM customer), held AS (SELECT c_custkey AS replicate, CAST(c_acctbal AS DOUBLE) AS value FROM customer WHERE c_custkey % 3 = 0),
+ spent AS (SELECT o_custkey AS replicate, sum(CAST(o_totalprice AS DOUBLE)) AS value FROM orders GROUP BY 1), ids AS (SELECT unnest(range(0, n)) AS replicate FROM n)
+ SELECT replicate, round(CASE WHEN held.replicate IS NOT NULL THEN held.value ELSE spent.value END, 6) AS value FROM ids LEFT JOIN held USING (replicate) LEFT JOIN spent USING (replicate)""",
     "x14_validate_entries": """WITH k AS (SELECT c_custkey % 13 AS k FROM customer), m(k, problem) AS (VALUES (1, 'schema'), (2, 'label is required'), (3, 'status'), (4, 'source object is required'), (5, 'source.source is required'),
  (6, 'canonical_settings object is required'), (7, 'canonical_settings.chunks_per_corpus'), (8, 'top5_share is required'), (9, 'compression_ratio_lzma is required'), (10, 'artifact object is required'), (11, 'artifact.sha256 digest'))
  SELECT problem, count(*) AS entries FROM k JOIN m USING (k) GROUP BY 1""",

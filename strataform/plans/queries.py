@@ -402,6 +402,18 @@ def m7_compression_gzip_zlib(spark, sf):
     return rounded(compression.gaps(values, pairs.unordered(panel(spark, sf)), ["gzip_ratio", "zlib_ratio"], signed=True), "gzip_ratio_gap", "zlib_ratio_gap")
 
 
+@query
+def m6_compression_lzma_whole(spark, sf):
+    """All chunks of every corpus, in streams of a budget's length."""
+    return rounded(compression.whole_ratios(numbered(spark, sf), ("lzma",)), "lzma_ratio")
+
+
+@query
+def m7_compression_gzip_zlib_whole(spark, sf):
+    values = held(compression.whole_ratios(numbered(spark, sf), ("gzip", "zlib")))
+    return rounded(compression.gaps(values, pairs.unordered(panel(spark, sf)), ["gzip_ratio", "zlib_ratio"], signed=True), "gzip_ratio_gap", "zlib_ratio_gap")
+
+
 # Vectors
 
 
@@ -597,10 +609,15 @@ def x9_encoder_sweep(spark, sf):
 
 @query
 def u5_checkpoint_resume(spark, sf):
-    """Twelve replicates, of which a checkpoint holds every third (and one too many)."""
-    done = spark.range(0, 15, 3).select(F.col("id").alias("replicate"), (F.col("id") * 0.5).alias("value"))
-    new = resample.pending(12, done).select("replicate", (F.col("replicate") * 2.0).alias("value"))
-    return resample.resumed(done, new.unionByName(done.select("replicate", F.lit(-1.0).alias("value"))), 12)
+    """Customers as replicates: a checkpoint holds every third (and its number beyond the last), the rest are computed from their orders."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("replicate"), F.col("c_acctbal").cast("double").alias("value"))
+    n = customers.agg(F.max("replicate") + 1).first()[0] or 0
+    kept = customers.filter("replicate % 3 = 0")
+    done = kept.unionByName(kept.withColumn("replicate", F.col("replicate") + n))
+    spent = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("replicate")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("value"))
+    new = resample.pending(n, done).join(spent, "replicate", "left")
+    late = kept.withColumn("value", F.lit(-1.0))  # what a rerun computed once more
+    return rounded(resample.resumed(done, new.unionByName(late), n), "value")
 
 
 # Scorecard

@@ -164,8 +164,10 @@ def manifest(spark: SparkSession, path: str, base: str, required: tuple[str, ...
 
 
 def vectors(spark: SparkSession, glob: str, label: str) -> DataFrame:
-    """(label, vec_id, embedding) of two-dimensional .npy files; read through Spark, parsed in tasks."""
+    """(label, vec_id, embedding) of two-dimensional .npy files; read through Spark, parsed in tasks. Vectors are numbered from 0, or
+    from the number in the name of a part (``vector_parts``)."""
     import io
+    import re
     from collections.abc import Iterator
 
     import numpy as np
@@ -173,13 +175,15 @@ def vectors(spark: SparkSession, glob: str, label: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for content in f["content"]:
+            for path, content in zip(f["path"], f["content"]):
                 x = np.load(io.BytesIO(content))
+                part = re.search(r"/part-(\d{15})\.npy$", path)
+                first = int(part[1]) if part else 0
                 if x.ndim != 2:
                     raise ValueError(f"vectors must have two dimensions, not {x.ndim}")
-                yield pd.DataFrame({"label": label, "vec_id": np.arange(len(x)), "embedding": list(x.astype(np.float32))})
+                yield pd.DataFrame({"label": label, "vec_id": np.arange(first, first + len(x)), "embedding": list(x.astype(np.float32))})
 
-    return spark.read.format("binaryFile").load(glob).select("content").mapInPandas(run, "label string, vec_id long, embedding array<float>")
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "label string, vec_id long, embedding array<float>")
 
 
 def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -191,6 +195,11 @@ def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder."""
+    """(path, bytes, sha256) of every file below a folder. A scan passes over files without bytes, so those are taken from its listing of names."""
+    from urllib.parse import unquote
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = [(unquote(n).replace("file:///", "file:/", 1),) for n in files.inputFiles()]
+    blank = spark.createDataFrame(listed, "path string").join(rows.select("path"), "path", "left_anti")
+    return rows.unionByName(blank.select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))
