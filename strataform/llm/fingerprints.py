@@ -1,6 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches (operator 1, DataFrame functions only).
 
-A text's paragraphs (lines, long ones in stretches of ``STRETCH`` code points) are hashed to 64-bit digests.
+A text's paragraphs are hashed to 64-bit digests: lines, long ones in stretches of ``STRETCH`` code points, but in a text's opening (``OPENING``) shorter
+pieces that end with a word, so that short texts have several too.
 Each digest goes into one cell of each of three tables; a cell holds a count and the XOR of its digests and of
 their check hashes. Cells of two versions subtract; what both share cancels, and peeling cells that hold one
 digest recovers the digests in which the versions differ. Where peeling gets stuck, the pair is tried again
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from strataform.llm.store import discard, materialize, range_bucket, tasks
 
 STRETCH = 256
+#: Stretches of a text's opening, one after another: code points, and the least and most that a piece of a line has there.
+OPENING = ((64, 12, 32), (192, 48, 96))
 #: Cells of each table of a fingerprint, and rounds of peeling.
 CELLS, ROUNDS = 32, 14
 #: Pairs with more paragraphs than this are peeled as rows instead of within a row.
@@ -33,19 +36,24 @@ ZERO = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
 
 def digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{STRETCH}}}"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
-
-
-def _keys(digest: str, c: str) -> str:
-    spot = lambda t: f"cast(pmod(xxhash64(d, {t}), {c}) as int)"
-    return f"transform({digest}, d -> named_struct('k', d, 'h', xxhash64(d, 9), 'a', {spot(1)}, 'b', {spot(2)}, 'e', {spot(3)}))"
+    at, parts = 1, []
+    for size, least, most in OPENING:
+        word = rf"[^\n]{{{least},{most}}}?(?=\s)|[^\n]{{1,{most}}}"
+        parts.append(F.regexp_extract_all(F.substring(text, at, size), F.lit(word), F.lit(0)))
+        at += size
+    parts.append(F.regexp_extract_all(F.substring(text, F.lit(at), F.greatest(F.length(text), F.lit(1))), F.lit(rf"[^\n]{{1,{STRETCH}}}"), F.lit(0)))
+    return F.array_distinct(F.transform(F.concat(*parts), lambda p: F.xxhash64(p)))
 
 
 def sketch(digest: str, c: str) -> Column:
-    """The cells of the digests in column ``digest``: three tables of ``c``, one after another."""
-    table = lambda spot: f"transform(sequence(0, {c} - 1), j -> aggregate(keys, {ZERO}, (s, x) -> if(x.{spot} = j, named_struct('n', s.n + 1, 'k', s.k ^ x.k, 'h', s.h ^ x.h), s)))"
-    return F.expr(f"transform(array({_keys(digest, c)}), keys -> concat({table('a')}, {table('b')}, {table('e')}))[0]")
+    """The cells of the digests in column ``digest``: three tables of ``c``, one after another. Entries are sorted by cell, so that a cell
+    folds over its own entries alone."""
+    entry = lambda t: f"named_struct('j', cast({(t - 1)} * {c} + pmod(xxhash64(d, {t}), {c}) as int), 'k', d, 'h', xxhash64(d, 9))"
+    entries = f"sort_array(flatten(transform({digest}, d -> array({entry(1)}, {entry(2)}, {entry(3)}))))"
+    run = "slice(s, cast(array_position(p, j) as int), cast(size(p) + 2 - array_position(r, j) - array_position(p, j) as int))"
+    fold = f"aggregate({run}, {ZERO}, (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    cells = f"transform(sequence(0, 3 * {c} - 1), j -> if(array_position(p, j) = 0, {ZERO}, {fold}))"
+    return F.expr(f"transform(array({entries}), s -> transform(array(transform(s, x -> x.j)), p -> transform(array(reverse(p)), r -> {cells})[0])[0])[0]")
 
 
 def subtract(a: str, b: str) -> Column:
@@ -53,14 +61,14 @@ def subtract(a: str, b: str) -> Column:
 
 
 def peel(cells: str, c: str) -> Column:
-    """(cells, found): what is left of the cells, and how many digests were recovered. A round takes out all
-    digests that stand alone in a cell."""
+    """(cells, found, more): what is left of the cells, and how many digests were recovered. A round takes out all
+    digests that stand alone in a cell; the first that finds none is the last."""
     spot = lambda t: f"cast(pmod(xxhash64(x.k, {t}), {c}) as int)"
     alone = "filter(acc.cells, x -> abs(x.n) = 1 and x.h = xxhash64(x.k, 9))"
     keys = f"array_distinct(transform(p, x -> named_struct('n', x.n, 'k', x.k, 'h', x.h, 'a', {spot(1)}, 'b', {c} + {spot(2)}, 'e', 2 * {c} + {spot(3)})))"
     out = "transform(acc.cells, (y, j) -> aggregate(q, y, (s, x) -> if(x.a = j or x.b = j or x.e = j, named_struct('n', s.n - x.n, 'k', s.k ^ x.k, 'h', s.h ^ x.h), s)))"
-    step = f"transform(array({alone}), p -> if(size(p) = 0, acc, transform(array({keys}), q -> named_struct('cells', {out}, 'found', acc.found + size(q)))[0]))[0]"
-    return F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0), (acc, r) -> {step})")
+    step = f"transform(array({alone}), p -> if(size(p) = 0, named_struct('cells', acc.cells, 'found', acc.found, 'more', false), transform(array({keys}), q -> named_struct('cells', {out}, 'found', acc.found + size(q), 'more', true))[0]))[0]"
+    return F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'more', true), (acc, r) -> if(acc.more, {step}, acc))")
 
 
 def empty(cells: str) -> Column:

@@ -5,10 +5,17 @@ from strataform.llm import fingerprints as fp
 from tests.llm.helpers import frame, save, tricky
 
 
+def pieces(t):
+    out, at = set(), 0
+    for size, least, most in ((64, 12, 32), (192, 48, 96)):
+        out |= set(re.findall(rf"[^\n]{{{least},{most}}}?(?=[ \t\n\x0b\f\r])|[^\n]{{1,{most}}}", t[at : at + size]))
+        at += size
+    return out | set(re.findall("[^\n]{1,256}", t[at:]))
+
+
 def brute(rows):
     data = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
-    pieces = lambda t: set(re.findall("[^\n]{1,256}", t))
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
     for k, (i, t) in enumerate(data):
         nxt = data[k - 1][1]
@@ -43,3 +50,18 @@ def test_empty_and_lone(spark):
     assert fp.fingerprints(frame(spark, tricky()).limit(0)).count() == 0
     r = fp.fingerprints(frame(spark, [(1, "abcd")])).first()
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and r.near_next == 1
+
+
+def test_half_of_a_short_text_is_found(spark):
+    """Texts of one line that share their first half: like the edited text, unlike the next one."""
+    words = [f"{chr(97 + i % 26)}{i * 7919 % 1000}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 9 : i * 9 + 12 + i])) for i in range(40)]
+    got = fp.fingerprints(frame(spark, rows)).collect()
+    assert all(r.near_edited > r.near_next for r in got) and min(r.n_chars for r in got) < 64
+
+
+def test_sketch_holds_each_digest_once_a_table(spark):
+    r = spark.createDataFrame([(list(range(1, 200)), [5], [])], "a array<long>, b array<long>, e array<long>").select(*(fp.sketch(c, "8").alias(c) for c in "abe")).first()
+    for t in range(3):
+        assert sum(x.n for x in r.a[8 * t : 8 * t + 8]) == 199 and [x.k for x in r.b[8 * t : 8 * t + 8] if x.n] == [5]
+    assert len(r.a) == 24 and not any(x.n or x.k or x.h for x in r.e)
