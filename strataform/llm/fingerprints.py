@@ -46,14 +46,14 @@ def digests(text: Column) -> Column:
 
 
 def sketch(digest: str, c: str) -> Column:
-    """The cells of the digests in column ``digest``: three tables of ``c``, one after another. Entries are sorted by cell, so that a cell
-    folds over its own entries alone."""
-    entry = lambda t: f"named_struct('j', cast({(t - 1)} * {c} + pmod(xxhash64(d, {t}), {c}) as int), 'k', d, 'h', xxhash64(d, 9))"
-    entries = f"sort_array(flatten(transform({digest}, d -> array({entry(1)}, {entry(2)}, {entry(3)}))))"
+    """The cells of the digests in column ``digest``: three tables of ``c``, one after another. A table's entries are sorted by cell, so that
+    a cell folds over its own entries alone."""
     run = "slice(s, cast(array_position(p, j) as int), cast(size(p) + 2 - array_position(r, j) - array_position(p, j) as int))"
     fold = f"aggregate({run}, {ZERO}, (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
-    cells = f"transform(sequence(0, 3 * {c} - 1), j -> if(array_position(p, j) = 0, {ZERO}, {fold}))"
-    return F.expr(f"transform(array({entries}), s -> transform(array(transform(s, x -> x.j)), p -> transform(array(reverse(p)), r -> {cells})[0])[0])[0]")
+    cells = f"transform(sequence(0, {c} - 1), j -> if(array_position(p, j) = 0, {ZERO}, {fold}))"
+    entry = lambda t: f"named_struct('j', cast(pmod(xxhash64(d, {t}), {c}) as int), 'k', d, 'h', xxhash64(d, 9))"
+    table = lambda t: f"transform(array(sort_array(transform({digest}, d -> {entry(t)}))), s -> transform(array(transform(s, x -> x.j)), p -> transform(array(reverse(p)), r -> {cells})[0])[0])[0]"
+    return F.expr(f"concat({table(1)}, {table(2)}, {table(3)})")
 
 
 def subtract(a: str, b: str) -> Column:
