@@ -60,3 +60,14 @@ def test_half_columns(spark):
     want = replicates.drawn(halves.withColumn("col", F.col("repeat") * 2 + (F.col("half") == "B").cast("int")), "col")
     lists = lambda df: {(r.label, r.chunk_index): sorted(r.cols) for r in df.collect()}
     assert lists(sampling.half_columns(rows, 5, 7)) == lists(want)
+
+
+def test_pairs_meet_counts_not_draws(spark, monkeypatch):
+    import strataform.plans.measures  # noqa: F401  it fills the catalog
+    from strataform.operators import semantic
+    from strataform.catalog import QUERIES
+
+    seen, real = [], semantic.occupancy_js
+    monkeypatch.setattr(semantic, "occupancy_js", lambda rows, *a, **k: seen.append(rows.count()) or real(rows, *a, **k))
+    assert QUERIES["m10_bootstrap_clusters"](spark, "/root/testdata/sf0.01").count() == 9
+    assert seen[0] <= 36 * 2 * 3 * 10  # pairs, sides, replicates and clusters, however many vectors
