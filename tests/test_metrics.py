@@ -223,3 +223,42 @@ def test_steps_over_all_vectors(spark, monkeypatch):
     known = {(a, b): (s if {a, b} == {"c", "d"} else e) for (a, b, s), (_, _, e) in zip(start, end, strict=True)}
     assert len(got) == 750 and all(near(vecs[g][[i]], known[a, b]).argmin() == cl for (a, b, g, i), cl in got.items())
     assert semantic.refined(df, [], 5) == []
+
+
+def plain_lloyd(x, k, seeds):
+    """k-means that compares every row with every centre at each step; also how many comparisons that took."""
+    best, cost, sq = None, np.inf, (x * x).sum(1)
+    for seed in range(seeds):
+        rng = np.random.default_rng(seed)
+        picked = [int(rng.integers(len(x)))]
+        near = np.maximum(sq - 2 * x @ x[picked[0]] + sq[picked[0]], 0)
+        for _ in range(k - 1):
+            picked.append(int(rng.choice(len(x), p=near / near.sum())))
+            near = np.minimum(near, np.maximum(sq - 2 * x @ x[picked[-1]] + sq[picked[-1]], 0))
+        c = x[picked]
+        for _ in range(100):
+            d = sq[:, None] - 2 * x @ c.T + (c * c).sum(1)
+            own = d.argmin(1)
+            new = np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        if (inertia := np.maximum(d.min(1), 0).sum()) < cost:
+            best, cost = c, inertia
+    return best
+
+
+def test_bounded_steps_are_plain_steps():
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(9000, 8)), rng.normal(size=(500, 3)) * 1e3 + 1e4, np.repeat(rng.normal(size=(40, 5)), 9, axis=0)):
+        assert np.allclose(semantic.lloyd(x, 6, 3), plain_lloyd(x, 6, 3), rtol=1e-9, atol=1e-9)
+
+
+def test_clusters_of_a_sweep_are_counted_at_once(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i % 3, i, [float(v) for v in rng.normal(size=4)]) for i in range(300)], "label int, vec_id long, embedding array<double>").repartition(3)
+    p = spark.createDataFrame([(0, 1), (0, 2)], "a int, b int")
+    got = {(r.k, r.a, r.b, r.label, r.cluster): r.n for r in semantic.cluster_counts(df, p, (3, 5), 2).groupBy("k", "a", "b", "label", "cluster").agg(F.sum("n").alias("n")).collect()}
+    for k in (3, 5):
+        want = {(k, r.a, r.b, r.label, r.cluster): r["count"] for r in semantic.pair_clusters(df, p, k, 2).groupBy("a", "b", "label", "cluster").count().collect()}
+        assert {key: n for key, n in got.items() if key[0] == k} == want
