@@ -262,3 +262,23 @@ def test_clusters_of_a_sweep_are_counted_at_once(spark):
     for k in (3, 5):
         want = {(k, r.a, r.b, r.label, r.cluster): r["count"] for r in semantic.pair_clusters(df, p, k, 2).groupBy("a", "b", "label", "cluster").count().collect()}
         assert {key: n for key, n in got.items() if key[0] == k} == want
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """A word's grams are hashed when it is met first; results don't depend on what is kept and dropped."""
+    asked, word = [], semantic.HashedGrams.word
+    monkeypatch.setattr(semantic, "_CODES", {})
+    monkeypatch.setattr(semantic, "KNOWN", 9)
+    monkeypatch.setattr(semantic.HashedGrams, "word", lambda self, w, grams: asked.append(w) or word(self, w, grams))
+    texts = ["aa bcd aa bcd aa", "x", "", "efghij k l \u00e4\u00f6\u00fc\u00df", "aa bcd", "a b c d e f g h aa"]
+    for encoder in (semantic.HashedGrams(16), semantic.HashedGrams(12, 2)):
+        states, mask = encoder.encode(texts)
+        for k, text in enumerate(texts):
+            want = np.zeros((max(1, len(text.split())), encoder.dimension))
+            for i, w in enumerate(text.split()):
+                for j in range(max(1, len(w) - encoder.width + 1)):
+                    h = zlib.crc32(w[j : j + encoder.width].encode())
+                    want[i, h % encoder.dimension] += 1 if h & 1 << 20 else -1
+            assert (encoder.tokens(text) == want).all()
+            assert (states[k, : len(want)] == want).all() and not states[k, len(want) :].any() and mask[k].sum() == len(want)
+    assert asked[:3] == ["aa", "bcd", "x"]
