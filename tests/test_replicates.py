@@ -1,5 +1,6 @@
 """Composed corpora: only grams that can be in a vocabulary get vectors, and draws are made by all tasks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,10 @@ def test_pairs_meet_counts_not_draws(spark, monkeypatch):
     monkeypatch.setattr(semantic, "occupancy_js", lambda rows, *a, **k: seen.append(rows.count()) or real(rows, *a, **k))
     assert QUERIES["m10_bootstrap_clusters"](spark, "/root/testdata/sf0.01").count() == 9
     assert seen[0] <= 36 * 2 * 3 * 10  # pairs, sides, replicates and clusters, however many vectors
+
+
+def test_vectors_travel_in_few_bytes():
+    vec = np.array([[0, 255, 3], [256, 0, 1], [1 << 16, 2, 0], [1 << 32, 1, 1], [0, 0, 0], [replicates.NONE, 5, replicates.NONE]])
+    rows = replicates._bytes(vec)
+    assert [len(r) // 3 for r in rows] == [1, 2, 4, 8, 1, 8]
+    assert (replicates._matrix(rows, 3) == vec).all() and replicates._matrix([], 3).shape == (0, 3)
