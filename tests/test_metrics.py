@@ -282,3 +282,11 @@ def test_words_are_encoded_once(monkeypatch):
             assert (encoder.tokens(text) == want).all()
             assert (states[k, : len(want)] == want).all() and not states[k, len(want) :].any() and mask[k].sum() == len(want)
     assert asked[:3] == ["aa", "bcd", "x"]
+
+
+def test_means_of_whole_texts():
+    """An encoder's own means equal those over its tokens' rows, bytes of any length and white space of any kind; no word is looked up."""
+    texts = ["", " \n ", "a", "ab  c", "é", "日本語テ x", "\U0001f642" * 3 + " z y\x1cq", "ÿ" * 9, "a b c", "x " * 700]
+    for encoder in (semantic.HashedGrams(), semantic.HashedGrams(48, 2), semantic.HashedGrams(7, 5)):
+        assert (encoder.means(texts) == semantic.pooled(*encoder.encode(texts))).all()
+        assert not encoder.means(["", " "]).any() and encoder.means([]).shape == (0, encoder.dimension)
