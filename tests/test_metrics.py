@@ -290,3 +290,23 @@ def test_means_of_whole_texts():
     for encoder in (semantic.HashedGrams(), semantic.HashedGrams(48, 2), semantic.HashedGrams(7, 5)):
         assert (encoder.means(texts) == semantic.pooled(*encoder.encode(texts))).all()
         assert not encoder.means(["", " "]).any() and encoder.means([]).shape == (0, encoder.dimension)
+
+
+@pytest.mark.parametrize(("stretch", "size"), [(4096, 64 << 20), (16, 900), (16, 64 << 20)])
+def test_projected_wasserstein(spark, monkeypatch, stretch, size):
+    """All values of corpora of unequal sizes along random directions and axes, a hot vector among them, however they are cut and sent; rows that
+    leave a task are ranges, not values."""
+    monkeypatch.setattr(semantic, "STRETCH", stretch), monkeypatch.setattr(semantic, "VALUES_BYTES", size)
+    rng = np.random.default_rng(3)
+    x = {1: rng.normal(size=(90, 5)), 2: np.vstack([rng.normal(size=(30, 5)), np.ones((30, 5))]), 3: np.zeros((40, 5))}
+    rows = [(k, i, [float(e) for e in v]) for k, m in x.items() for i, v in enumerate(m)] + [(9, 0, [1.0] * 5), (1, 99, None)]
+    df = spark.createDataFrame(rows, "label int, vec_id long, embedding array<double>").repartition(3)
+    p = spark.createDataFrame([(1, 2, "x"), (1, 3, "y"), (2, 7, "z")], "a int, b int, pair_class string")
+    unit = {k: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for k, m in x.items()}
+    for count in (None, 7):
+        got = {(r.a, r.b): r for r in semantic.projected_wasserstein(df, p, count).collect()}
+        side = {k: np.repeat(np.sort(m @ semantic.directions(5, count) if count else m, axis=0), 360 // len(m), axis=0) for k, m in unit.items()}
+        assert set(got) == {(1, 2), (1, 3)}
+        for (a, b), r in got.items():
+            d = side[a] - side[b]
+            assert (r.sliced_wasserstein_l1, r.sliced_wasserstein_l2) == pytest.approx((np.abs(d).mean(), np.sqrt((d * d).mean())), abs=1e-9)
