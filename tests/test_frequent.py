@@ -89,3 +89,33 @@ def test_few_grams_travel(spark):
 def test_empty(spark):
     chunks = corpora(spark).limit(0)
     assert frequent.frequent_counts(chunks, 10).collect() == []
+
+
+def test_gram_totals(spark, monkeypatch):
+    """Numbers of different grams, of all and of the most frequent equal those of plain counting, however tasks and groups are cut; also where
+    64 bits of two grams' hashes are the same, and without a corpus's name. No string is shuffled."""
+    chunks = corpora(spark, hot=300)
+    plain = lexical.gram_counts(chunks, ("punct",), (1, 2, 3)).groupBy("label", "n").agg(F.count("*").alias("grams"), F.sum("cnt").alias("total"), F.max("cnt").alias("top"))
+    want = sorted(map(str, (tuple(r) for r in plain.collect())))
+    for rows, gathered, chars in ((2048, 2_000_000, 4 << 20), (7, 50, 100), (7, 2_000_000, 1000)):
+        monkeypatch.setattr(frequent, "ROWS", rows), monkeypatch.setattr(frequent, "GATHERED", gathered), monkeypatch.setattr(frequent, "GROUP_CHARS", chars)
+        assert sorted(map(str, (tuple(r) for r in frequent.gram_totals(chunks, "punct", (1, 2, 3)).collect()))) == want
+    h, g = np.array([5, 9, 5, 5, 9], np.uint64), np.array([1, 2, 3, 1, 2], np.uint32)
+    assert [x.tolist() for x in frequent._merged([h[:2], h[2:]], [g[:2], g[2:]], None)] == [[5, 5, 9], [1, 3, 2], [2, 1, 2]]
+    assert frequent._merged([h], [g], [np.arange(5)])[2].tolist() == [3, 2, 5]
+    assert "gram:string" not in frequent.gram_totals(chunks, "punct", (2,))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_counts():
+    """What a node gathers in parts counts as at once, beyond 32 bits too."""
+    rng, node, key = np.random.default_rng(0), frequent.Node(), (0, 1)
+    parts = [rng.integers(0, 50 * (i + 1), 400).astype(np.uint64) for i in range(5)]
+    for p in parts:
+        node.add(key, p)
+        node.count()
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    assert node.held == len(h) and (node.known[key][0] == h).all() and (node.known[key][1] == n).all() and node.known[key][1].dtype == np.uint32
+    node.known[key] = h, np.full(len(h), 2**32 - 1, np.uint32)
+    node.add(key, h[:1])
+    node.count()
+    assert int(node.known[key][1][0]) == 2**32
