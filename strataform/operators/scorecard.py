@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,16 +85,39 @@ def missing_labels(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.select("label").join(known.select("label"), "label", "left_anti")
 
 
+def _named_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(bytes, name, sha256) of every file by its path below ``folder``."""
+    from strataform.sources.readers import digests
+
+    name = F.element_at(F.split("path", "\\Q" + folder.rstrip("/").split("://")[-1] + "\\E/+", 2), -1)
+    return digests(spark, folder).select("bytes", name.alias("name"), "sha256")
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(files, bytes, sha256): totals and the digest of the lines "path digest" of all files below ``folder``, in the order of paths.
+
+    Files are digested by all tasks. The lines, a hundred bytes a file, are one chain and so pass through one task, in order and one after another;
+    ``integrity`` has a digest that needs no such chain.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, files, size = hashlib.sha256(), 0, 0
+        for f in frames:
+            for name, sha, n in zip(f["name"], f["sha256"], f["bytes"], strict=True):
+                known.update(f"{chr(10) if files else ''}{name} {sha}".encode())
+                files, size = files + 1, size + int(n)
+        yield pd.DataFrame([(files, size, known.hexdigest())], columns=["files", "bytes", "sha256"])
+
+    return _named_digests(spark, folder).repartition(1).sortWithinPartitions("name").mapInPandas(run, "files long, bytes long, sha256 string")
+
+
 def integrity(spark: SparkSession, folder: str) -> DataFrame:
     """(files, bytes, sha256): totals and one digest over all files below ``folder``.
 
     Lines of a path below the folder and its digest are dealt to 4,096 buckets by the path's digest; the result is the digest of the
     buckets' digests in order, each that of its sorted lines. No row holds the lines of all files.
     """
-    from strataform.sources.readers import digests
-
-    name = F.element_at(F.split("path", "\\Q" + folder.rstrip("/").split("://")[-1] + "\\E/+", 2), -1)
-    rows = digests(spark, folder).select("bytes", name.alias("name"), "sha256").withColumn("bucket", F.substring(F.sha2("name", 256), 1, 3))
+    rows = _named_digests(spark, folder).withColumn("bucket", F.substring(F.sha2("name", 256), 1, 3))
     joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", "sha256"))), "\n")
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(joined, 256).alias("digest"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat_ws(" ", x["bucket"], x["digest"]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -194,12 +197,38 @@ def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: Bytes of a file that are digested at once.
+DIGESTED = 8 << 20
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below a folder. A scan passes over files without bytes, so those are taken from its listing of names."""
+    """(path, bytes, sha256) of every file below a folder.
+
+    Local files are read block by block in tasks of a few files each, so that no file is held whole and one may be larger than 2 GB; a digest is
+    one chain over its file, which therefore stays one task. Files elsewhere are read by Spark's scan of binary files (up to 2 GB each), which passes
+    over files without bytes, so those are taken from its listing of names.
+    """
+    import hashlib
     from urllib.parse import unquote
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rows = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     listed = [(unquote(n).replace("file:///", "file:/", 1),) for n in files.inputFiles()]
+    if listed and all(path.startswith("file:") for (path,) in listed):
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for path in f["path"]:
+                    known, size = hashlib.sha256(), 0
+                    with open(path[len("file:") :], "rb") as raw:
+                        while block := raw.read(DIGESTED):
+                            known.update(block)
+                            size += len(block)
+                    out.append((path, size, known.hexdigest()))
+                yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
+
+        tasks = min(len(listed), 8 * spark.sparkContext.defaultParallelism)
+        return spark.createDataFrame(listed, "path string").repartition(tasks, "path").mapInPandas(run, "path string, bytes long, sha256 string")
+    rows = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     blank = spark.createDataFrame(listed, "path string").join(rows.select("path"), "path", "left_anti")
     return rows.unionByName(blank.select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256")))

@@ -80,3 +80,18 @@ def test_integrity_by_buckets(spark, tmp_path):
     assert (r.files, r.sha256) == (30, hashlib.sha256(whole.encode()).hexdigest()) and r.bytes == sum(p.stat().st_size for p in folder.rglob("*.txt"))
     (folder / "d0/0.txt").rename(folder / "d1/00.txt")
     assert scorecard.integrity(spark, str(folder)).select(F.col("sha256")).first()[0] != r.sha256
+
+
+def test_files_by_blocks(spark, tmp_path, monkeypatch):
+    """Names that urls escape, files of several blocks and of none; the manifest's digest is that of its sorted lines."""
+    from strataform.sources import readers
+
+    monkeypatch.setattr(readers, "DIGESTED", 1000)
+    for name, raw in {"b c%20.bin": b"xy" * 1500, "a/é.bin": b"q", "a.bin": b"", "a/z": bytes(1000)}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    files = {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    lines = "\n".join(f"{k} {hashlib.sha256(v).hexdigest()}" for k, v in sorted(files.items()))
+    assert [tuple(r) for r in scorecard.manifest(spark, str(tmp_path)).collect()] == [(4, 4001, hashlib.sha256(lines.encode()).hexdigest())]
+    plan = readers.digests(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
