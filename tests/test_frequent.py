@@ -119,3 +119,26 @@ def test_growing_counts():
     node.add(key, h[:1])
     node.count()
     assert int(node.known[key][1][0]) == 2**32
+
+
+def test_word_counts(spark):
+    """The vocabularies of plain counting, ties and all, without the place of every word: null and repeated ids, a corpus without a
+    name, places that differ only within a document; only leading words come back, with their counts in every corpus."""
+    from strataform.config import Chunking
+    from strataform.operators import chunking
+    from strataform.plans import held
+
+    rule = Chunking(chars=256, per_document=None, per_corpus=None, documents=None)
+    rows = [("a", 5, "zeta beta " * 40), ("a", 3, "gamma alpha " * 40), ("a", 3, "delta's beta, " * 30), ("a", -2, "x " + "rare words here " * 40), ("b", None, "alpha zeta " * 50), ("b", 9, "zeta omega " * 50), (None, 1, "beta only " * 40), ("b", 2, None)]
+    docs = spark.createDataFrame(rows, "label string, doc_id long, text string")
+    plain = lexical.gram_counts(chunking.chunk(docs, rule), ("punct",), (1,))
+    for size in (1, 2, 3, 5, 100):
+        held.release()
+        got = lexical.word_counts(docs, rule, size, "punct")
+        assert not any("decimal" in t for df in held._HELD for _, t in df.dtypes)  # what is held of all words are plain numbers
+        of = lambda df: sorted(map(str, lexical.vocabulary(df, size).select("label", "tokenizer", "n", "gram", "cnt", "rank", "first").collect()))
+        assert of(got) == of(plain)
+        leading = {r.gram for r in lexical.vocabulary(plain, size).collect()}
+        key = lambda df: {(r.label, r.gram, r.cnt) for r in df.collect()}
+        assert {x for x in key(plain) if x[1] in leading} <= key(got) <= key(plain)
+    held.release()
