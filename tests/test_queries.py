@@ -101,3 +101,11 @@ def test_ranks_of_values(spark, monkeypatch):
     side = lambda g, k: np.repeat(np.sort([v for x, q, v in rows if (x, q) == (g, k)]), {"a": 100, "b": 150}[g])
     d = [side("a", k) - side("b", k) for k in (0, 1)]
     assert abs(got.sliced_wasserstein_l1 - np.mean([np.abs(x).mean() for x in d])) < 1e-9 and abs(got.sliced_wasserstein_l2 - np.sqrt(np.mean([(x * x).mean() for x in d]))) < 1e-9
+
+
+def test_skipped_rows_as_sql_counts_them(spark, tmp_path):
+    """Blank texts count, rows without an id come last, repeated ids and a missing source are harmless."""
+    rows = [(i // 2 if i % 5 else None, (" ", None, "text")[i % 3], "en", f"src{i % 2}" if i % 7 else None, 0) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    ours, theirs = compare(spark, duck(str(tmp_path)), str(tmp_path), "e12_skip_first", entry.queries()["e12_skip_first"], entry.oracle_sql()["e12_skip_first"])
+    assert ours == theirs
