@@ -287,3 +287,16 @@ def test_queries_without_sql(spark):
     raw = [open(f"{SF}/{x}", "rb").read() for x in files]
     lines = "\n".join(f"{x} {hashlib.sha256(b).hexdigest()}" for x, b in zip(files, raw, strict=True))
     assert [tuple(r) for r in QUERIES["x17_integrity_manifest"](spark, SF).collect()] == [(len(raw), sum(map(len, raw)), hashlib.sha256(lines.encode()).hexdigest())]
+
+
+def streamed(texts, size, codec=lambda raw: lzma.compress(raw, preset=6)):
+    """The ratio of all texts, ``size`` a stream."""
+    raw = ["\n\n".join(([""] if i else []) + texts[i : i + size]).encode() for i in range(0, len(texts), size)]
+    return sum(len(codec(x)) for x in raw) / sum(map(len, raw))
+
+
+def test_codecs_see_all_chunks(spark, monkeypatch):
+    panel, chunks, vectors, texts, _ = corpora(spark)
+    monkeypatch.setattr(analyses, "MAX_CHUNKS", 5)
+    alone = {r.label: r for r in analyses.standalone(chunks, vectors).collect()}
+    assert {x: r.lzma_ratio for x, r in alone.items()} == pytest.approx({x: streamed(t, 5) for x, t in texts.items()}) and alone["a"].n_chunks == 24
