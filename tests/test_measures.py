@@ -300,3 +300,7 @@ def test_codecs_see_all_chunks(spark, monkeypatch):
     monkeypatch.setattr(analyses, "MAX_CHUNKS", 5)
     alone = {r.label: r for r in analyses.standalone(chunks, vectors).collect()}
     assert {x: r.lzma_ratio for x, r in alone.items()} == pytest.approx({x: streamed(t, 5) for x, t in texts.items()}) and alone["a"].n_chunks == 24
+    for codec, how in (("lzma", lambda raw: lzma.compress(raw, preset=6)), ("gzip", lambda raw: gzip.compress(raw, 9, mtime=0))):
+        value = {x: streamed(t, 5, how) for x, t in texts.items()}
+        r = analyses.textual_grid(panel, chunks, (codec,), ("stable",), (1,), (256,)).first()
+        assert r.bt_compression_gap == pytest.approx(np.mean([value[a] - value[b] for a in "ab" for b in "cd"]))
