@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.operators import lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.operators import compression, lexical, pairs, resample, sampling, scorecard, semantic
 from strataform.plans import analyses, queries
 from strataform.sources import readers, sinks
 
@@ -304,3 +304,24 @@ def test_codecs_see_all_chunks(spark, monkeypatch):
         value = {x: streamed(t, 5, how) for x, t in texts.items()}
         r = analyses.textual_grid(panel, chunks, (codec,), ("stable",), (1,), (256,)).first()
         assert r.bt_compression_gap == pytest.approx(np.mean([value[a] - value[b] for a in "ab" for b in "cd"]))
+
+
+def test_codec_sees_whole_mixtures(spark, monkeypatch):
+    """Places of a mixture are cut into streams of 5; a stream of several mixtures is packed once."""
+    panel, chunks, vectors, texts, _ = corpora(spark)
+    monkeypatch.setattr(analyses, "MAX_CHUNKS", 5)
+    packed, real = [], compression.stream_sizes
+    monkeypatch.setattr(compression, "stream_sizes", lambda rows, by, *a: packed.append(rows.select(by).distinct().count()) or real(rows, by, *a))
+    got = {(r.base, r.target, r.alpha): r.lzma_ratio for r in analyses.mixture_panel(panel, chunks, vectors, (0.0, 0.25, 0.5, 1.0), **CELL).collect()}
+    for (a, b, x), value in got.items():
+        n = round(24 * x)
+        assert value == pytest.approx(streamed(texts[a][: 24 - n] + texts[b][:n] if a < b else texts[b][:n] + texts[a][: 24 - n], 5))
+    assert len(got) == 8 and packed == [5 + 5 + 2 + 3 + 4]  # of 8 x 5
+
+
+def test_composed_corpora_are_cut_by_places(spark):
+    _, chunks, _, texts, _ = corpora(spark, "ab", 23)
+    times = {(x, i): (i * 5 + ord(x)) % 9 for x in "ab" for i in range(23)}
+    members = spark.createDataFrame([("m", *k, v) for k, v in times.items()] + [("b", "b", 3, 1)], "label string, of string, chunk_index long, times long")
+    got = {r.label: r.lzma_ratio for r in compression.composed_ratios(chunks, members, 4).collect()}
+    assert got == pytest.approx({"m": streamed([texts[x][i] for x, i in sorted(times) for _ in range(times[x, i])], 4), "b": streamed([texts["b"][3]], 4)})
