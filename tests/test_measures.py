@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.operators import compression, lexical, pairs, resample, sampling, scorecard, semantic
+from strataform.operators import composed, compression, lexical, pairs, resample, sampling, scorecard, semantic
 from strataform.plans import analyses, queries
 from strataform.sources import readers, sinks
 
@@ -306,6 +306,18 @@ def test_codecs_see_all_chunks(spark, monkeypatch):
         assert r.bt_compression_gap == pytest.approx(np.mean([value[a] - value[b] for a in "ab" for b in "cd"]))
 
 
+def test_codec_sees_whole_columns(spark):
+    """Every chunk of every column, as often as it is there; runs of 5 numbers are streams."""
+    _, chunks, _, texts, _ = corpora(spark, "ab", 23)
+    cols = {(x, i): [c for c in range(60) for _ in range((i * 7 + c + ord(x)) % 3)] for x in "ab" for i in range(23)}
+    rows = chunks.join(spark.createDataFrame([(*k, v) for k, v in cols.items()], "label string, chunk_index long, cols array<int>"), ["label", "chunk_index"])
+    got = {(r.label, r.col): r.lzma_ratio for r in composed.ratios(rows, 60, 5).collect()}
+    assert len(got) == 120
+    for (x, c), value in got.items():
+        raw = ["\n\n".join(([""] if i else []) + [texts[x][k] for k in range(i, min(i + 5, 23)) for _ in range(cols[x, k].count(c))]).encode() for i in range(0, 23, 5)]
+        assert value == pytest.approx(sum(len(lzma.compress(y, preset=6)) for y in raw) / sum(map(len, raw)))
+
+
 def test_codec_sees_whole_mixtures(spark, monkeypatch):
     """Places of a mixture are cut into streams of 5; a stream of several mixtures is packed once."""
     panel, chunks, vectors, texts, _ = corpora(spark)
