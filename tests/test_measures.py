@@ -337,3 +337,12 @@ def test_composed_corpora_are_cut_by_places(spark):
     members = spark.createDataFrame([("m", *k, v) for k, v in times.items()] + [("b", "b", 3, 1)], "label string, of string, chunk_index long, times long")
     got = {r.label: r.lzma_ratio for r in compression.composed_ratios(chunks, members, 4).collect()}
     assert got == pytest.approx({"m": streamed([texts[x][i] for x, i in sorted(times) for _ in range(times[x, i])], 4), "b": streamed([texts["b"][3]], 4)})
+
+
+def test_codecs_leave_out_corpora_of_no_pair(spark, monkeypatch):
+    panel, chunks, _, _, _ = corpora(spark)
+    more = chunks.unionByName(chunks.filter("label = 'a'").withColumn("label", F.lit("z")))
+    packed, real = [], compression.stream_sizes
+    monkeypatch.setattr(compression, "stream_sizes", lambda rows, by, *a: packed.append(rows.select("label").distinct().count()) or real(rows, by, *a))
+    analyses.textual_grid(panel, more, ("zlib",), ("stable",), (1,), (256,)).count()
+    assert packed == [4]
